@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 from ..functions.expressions import UNKNOWN_MARK, guarded, ref
 from ..plans.checks import dtype_of, require_columns
 from ..plans.quantiles import exact_quantiles
-from ..plans.sizing import broadcast_if_small
+from ..plans.rows import complete_rows
+from ..plans.sizing import is_small, settled
 
 NOTHING_LEFT = "no data left after dropping rows with missing values"
 HISTOGRAM_DECIMALS = 2
@@ -30,7 +31,7 @@ def known_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         is_text = isinstance(dtype_of(df, c), T.StringType)
         known = F.when(ref(c) != UNKNOWN_MARK, ref(c)) if is_text else ref(c)
         selected.append(known.alias(c))
-    return df.select(*selected).na.drop()
+    return complete_rows(df.select(*selected))
 
 
 def equivalence_classes(df: DataFrame, quasi_identifiers: Sequence[str]) -> DataFrame:
@@ -123,16 +124,16 @@ def class_distances(
     per_value = counts.groupBy("s").agg(F.sum("n").alias("n_s"))
     total = per_value.agg(F.sum("n_s")).scalar().cast("double")
     shares = per_value.select("s", (F.col("n_s") / total).alias("q"))
-    sized = broadcast_if_small(shares)
-    if sized is not shares:
+    if is_small(per_value):
         # few sensitive values, so a class has few rows here
+        shares = F.broadcast(shares)
         whole = counts.withColumn("n_class", F.sum("n").over(Window.partitionBy(*keys)))
     else:
         sizes = counts.groupBy(*keys).agg(F.sum("n").alias("n_class"))
         whole = counts.join(sizes, keys)
     p = F.col("n") / F.col("n_class").cast("double")
     return (
-        whole.join(sized, "s")
+        whole.join(shares, "s")
         .groupBy(*keys)
         .agg(
             F.first("n_class").alias("n"),
@@ -144,7 +145,7 @@ def class_distances(
 
 def t_closeness(df: DataFrame, quasi_identifiers: Sequence[str], sensitive: str) -> DataFrame:
     """``(t, min, max, mean, median)`` of class distances."""
-    distances = class_distances(df, quasi_identifiers, sensitive)
+    distances = settled(class_distances(df, quasi_identifiers, sensitive).select("t"))
     median = exact_quantiles(distances, ["t"], [0.5])["t"][0]
     return distances.agg(
         F.min("t").alias("min"), F.max("t").alias("max"), F.avg("t").alias("mean")

@@ -12,6 +12,7 @@ from ..plans.checks import dtype_of, require_columns, require_rows
 from ..plans.counts import value_counts
 from ..plans.ordering import running_total
 from ..plans.pairing import combine
+from ..plans.rows import complete_rows
 
 
 def representation_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -114,9 +115,9 @@ def compare_representation(dataset: DataFrame, real: DataFrame) -> DataFrame:
 
 def _outcome_counts(df: DataFrame, target: str, sensitive: str) -> DataFrame:
     require_columns(df, [target, sensitive])
+    pairs = df.select(ref(sensitive).alias("group"), ref(target).alias("class"))
     return (
-        df.select(ref(sensitive).alias("group"), ref(target).alias("class"))
-        .na.drop()
+        complete_rows(pairs)
         .groupBy("group", "class")
         .agg(F.count("*").alias("n"))
     )
@@ -146,7 +147,7 @@ def rate_deviation(df: DataFrame, target: str, sensitive: str) -> DataFrame:
     """
     counts = _outcome_counts(df, target, sensitive)
     groups = counts.groupBy("group").agg(F.sum("n").alias("total"))
-    n_groups = groups.agg(F.count("*")).scalar().cast("double")
+    n_groups = groups.agg(F.count("total")).scalar().cast("double")
     seen = F.col("seen")
     mean = seen * F.col("mean") / F.col("g")
     around_seen = seen * (F.col("var") + (F.col("mean") - mean) * (F.col("mean") - mean))

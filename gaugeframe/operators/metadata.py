@@ -1,12 +1,12 @@
 """FAIR checks over collections of JSON metadata documents.
 
 Input is a table ``(doc_id, doc)`` with one JSON text per row and unique ids.
-Everything up to the matched keys is row-wise; a document never meets another.
+All checks are row-wise: a document never meets another and nothing is shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.checks import require_columns
@@ -45,81 +45,99 @@ DATACITE_FIELDS = {
 
 
 def flatten_documents(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``(doc_id, ord, key, value)``: the leaves of every document.
+    """``(doc_id, ord, key, value)``: the leaves of every document, in its order.
 
     Keys are joined by ``_`` and list items numbered from 1; items of a list that
-    are lists themselves stay one leaf, empty containers have none. ``ord``
-    follows the document. If two paths give one key, the first place and the
-    last value count. Containers nested deeper than ``max_depth`` are an error.
-
-    A level is parsed twice, as text (which keeps the order of keys and the
-    source of nested parts) and as variants (which tell a text from a part that
-    looks like one), and unfolded by one ``explode``.
+    are lists themselves stay one leaf, empty containers have none. If two paths
+    give one key, the first place and the last value count. Containers nested
+    deeper than ``max_depth`` are an error.
     """
+    # the outer form: else the optimizer evaluates the array twice, for a filter on its size
+    return (
+        _with_leaves(docs, max_depth)
+        .select("doc_id", F.posexplode_outer("leaves").alias("ord", "leaf"))
+        .filter(F.col("leaf").isNotNull())
+        .select("doc_id", "ord", F.col("leaf.key").alias("key"), F.col("leaf.value").alias("value"))
+    )
+
+
+def _with_leaves(docs: DataFrame, max_depth: int) -> DataFrame:
+    """``(doc_id, leaves)``: all leaves of a document as one array, without a shuffle."""
     require_columns(docs, ["doc_id", "doc"], "document column")
-    level = docs.select(
-        "doc_id",
-        F.array().cast("array<int>").alias("ord"),
-        F.lit("").alias("key"),
-        F.col("doc").alias("text"),
+    root = F.struct(
+        F.lit(None).cast("string").alias("key"),
+        F.col("doc").alias("value"),
         F.lit("object").alias("kind"),
     )
-    for _ in range(max_depth):
-        level = _unfold(level)
-    deep = F.col("kind") != "leaf"
-    error = F.raise_error(F.lit(f"document nested deeper than {max_depth} levels"))
-    leaves = level.select(
-        "doc_id", "ord", "key", F.when(deep, error).otherwise(F.col("text")).alias("value")
+    found = docs.select("doc_id", _leaves_below(root, max_depth, max_depth).alias("found"))
+    listed = found.withColumn("keys", F.transform("found", lambda leaf: leaf["key"]))
+    last = F.transform(
+        F.array_distinct("keys"),
+        lambda key: F.element_at(F.filter("found", lambda leaf: leaf["key"] == key), -1),
     )
-    return leaves.groupBy("doc_id", "key").agg(
-        F.min("ord").alias("ord"), F.max_by("value", "ord").alias("value")
-    ).select("doc_id", "ord", "key", "value")
-
-
-def _unfold(level: DataFrame) -> DataFrame:
-    """Replaces every container by its entries; leaves stay as they are."""
-    kind, text = F.col("kind"), F.col("text")
-    as_object = kind == "object"
-    fields = F.from_json(F.when(as_object, text), "map<string,string>")
-    typed_fields = F.map_values(F.from_json(F.when(as_object, text), "map<string,variant>"))
-    items = F.from_json(F.when(kind == "array", text), "array<string>")
-    typed_items = F.from_json(F.when(kind == "array", text), "array<variant>")
-
-    def entry(name: Column, value: Column, variant: Column, parent: str) -> Column:
-        shape = F.schema_of_variant(variant)
-        found = F.when(F.startswith(shape, F.lit("OBJECT")), F.lit("object"))
-        if parent == "object":
-            found = found.when(F.startswith(shape, F.lit("ARRAY")), F.lit("array"))
-        return F.struct(
-            name.alias("name"), value.alias("text"), found.otherwise(F.lit("leaf")).alias("kind")
-        )
+    is_clear = F.size(F.array_distinct("keys")) == F.size("keys")
+    return listed.select(
+        "doc_id",
+        F.coalesce(
+            F.when(is_clear, F.col("found")).otherwise(last),
+            F.array().cast("array<struct<key:string,value:string,kind:string>>"),
+        ).alias("leaves"),
+    )
+
 
-    def numbered(values: Column, variants: Column, names: Column, parent: str) -> Column:
-        return F.transform(
-            F.arrays_zip(names.alias("n"), values.alias("v"), variants.alias("t")),
-            lambda e: entry(e["n"], e["v"], e["t"], parent),
+def _leaves_below(node: Column, depth: int, max_depth: int) -> Column:
+    """Leaves under a container, unrolled to ``depth`` further levels."""
+    if depth == 0:
+        error = F.raise_error(F.lit(f"document nested deeper than {max_depth} levels"))
+        return F.array(F.struct(node["key"].alias("key"), error.cast("string").alias("value"), node["kind"].alias("kind")))
+    return F.flatten(
+        F.transform(
+            _children(node),
+            lambda child: F.when(child["kind"] == "leaf", F.array(child)).otherwise(
+                _leaves_below(child, depth - 1, max_depth)
+            ),
         )
+    )
+
+
+def _children(node: Column) -> Column:
+    """Entries of a container as ``(key, value, kind)``, in document order.
 
-    positions = F.transform(items, lambda _, i: (i + 1).cast("string"))
-    itself = F.array(F.struct(F.lit(None).cast("string").alias("name"), text, kind))
-    entries = (
-        F.when(kind == "leaf", itself)
-        .when(as_object, numbered(F.map_values(fields), typed_fields, F.map_keys(fields), "object"))
-        .otherwise(numbered(items, typed_items, positions, "array"))
+    The text is parsed twice: into texts, which keeps the order of keys and the
+    source of nested parts, and into variants, which tell a text from a part
+    that looks like one.
+    """
+    text = node["value"]
+    fields = F.arrays_zip(
+        F.map_entries(F.from_json(text, "map<string,string>")).alias("entry"),
+        F.map_values(F.from_json(text, "map<string,variant>")).alias("typed"),
     )
-    key = (
-        F.when(F.col("e.name").isNull(), F.col("key"))
-        .when(F.col("key") == "", F.col("e.name"))
-        .otherwise(F.concat_ws("_", "key", "e.name"))
+    items = F.arrays_zip(
+        F.from_json(text, "array<string>").alias("value"),
+        F.from_json(text, "array<variant>").alias("typed"),
     )
-    return level.select("doc_id", "ord", "key", F.posexplode(entries).alias("pos", "e")).select(
-        "doc_id",
-        F.when(F.col("e.name").isNull(), F.col("ord"))
-        .otherwise(F.array_append("ord", F.col("pos")))
-        .alias("ord"),
-        key.alias("key"),
-        F.col("e.text").alias("text"),
-        F.col("e.kind").alias("kind"),
+
+    def child(name: Column, value: Column, typed: Column, nested: tuple[str, ...]) -> Column:
+        shape = F.schema_of_variant(typed)
+        kind = F.lit("leaf")
+        for container in nested:
+            prefix = F.startswith(shape, F.lit(container.upper()))
+            kind = F.when(prefix, F.lit(container)).otherwise(kind)
+        return F.struct(
+            F.concat_ws("_", node["key"], name).alias("key"), value.alias("value"), kind.alias("kind")
+        )
+
+    return F.when(
+        node["kind"] == "object",
+        F.transform(
+            fields,
+            lambda f: child(f["entry"]["key"], f["entry"]["value"], f["typed"], ("object", "array")),
+        ),
+    ).otherwise(
+        F.transform(
+            items,
+            lambda f, i: child((i + 1).cast("string"), f["value"], f["typed"], ("object",)),
+        )
     )
 
 
@@ -131,28 +149,87 @@ def dcat_checks(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     another, so a key can only match one field, and the second use of a field
     simply takes its second key.
     """
-    leaves = flatten_documents(docs, max_depth)
-    slots, uses = _dcat_slots()
-    matches = (
-        _matching_keys(leaves)
-        .filter(F.col("place") <= max(uses.values()))
-        .select("doc_id", F.struct("field", "place").alias("slot"), F.struct("key", "value").alias("hit"))
+    slots, _ = _dcat_slots()
+    wanted = F.array(
+        *[
+            F.struct(
+                F.lit(principle).alias("principle"),
+                F.lit(field).alias("field"),
+                F.lit(use).alias("place"),
+            )
+            for principle, field, use in slots
+        ]
+    )
+    hit = F.get(F.col("claims")[F.col("field")], F.col("place") - 1)
+    return (
+        _with_claims(docs, max_depth)
+        .select("doc_id", "claims", F.inline(wanted))
+        .select(
+            "doc_id",
+            "principle",
+            "field",
+            hit["key"].alias("matched_key"),
+            hit["value"].alias("value"),
+            hit.isNotNull().alias("passed"),
+        )
     )
-    return _checks_of(docs, matches, slots)
 
 
 def other_keys(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """``(doc_id, key, value)``: the leaves that no DCAT field claims."""
-    leaves = flatten_documents(docs, max_depth)
     _, uses = _dcat_slots()
-    limit = F.create_map(*[part for f, n in uses.items() for part in (F.lit(f), F.lit(n))])
-    taken = F.col("field").isNotNull() & (F.col("place") <= limit[F.col("field")])
-    ranked = leaves.withColumn("field", _matched_field(F.col("key")))
-    free = ranked.filter(F.col("field").isNull())
-    surplus = _matching_keys(leaves).filter(~taken)
-    return free.select("doc_id", "key", "value").unionByName(
-        surplus.select("doc_id", "key", "value")
+    taken = F.flatten(
+        F.array(
+            *[
+                F.transform(F.slice(F.col("claims")[field], 1, n), lambda leaf: leaf["key"])
+                for field, n in uses.items()
+            ]
+        )
+    )
+    return (
+        _with_claims(docs, max_depth)
+        .select("doc_id", "leaves", taken.alias("taken"))
+        .select(
+            "doc_id",
+            F.explode_outer(
+                F.filter("leaves", lambda leaf: ~F.array_contains(F.col("taken"), leaf["key"]))
+            ).alias("leaf"),
+        )
+        .filter(F.col("leaf").isNotNull())
+        .select("doc_id", F.col("leaf.key").alias("key"), F.col("leaf.value").alias("value"))
+    )
+
+
+def _with_claims(docs: DataFrame, max_depth: int) -> DataFrame:
+    """Adds ``claims``: for every DCAT field, the leaves that match it, in order."""
+    _, uses = _dcat_slots()
+    matched = F.transform(
+        "leaves",
+        lambda leaf: F.struct(
+            leaf["key"].alias("key"),
+            leaf["value"].alias("value"),
+            _matched_field(leaf["key"]).alias("field"),
+        ),
     )
+    return (
+        _with_leaves(docs, max_depth)
+        .select("doc_id", "leaves", F.filter(matched, lambda leaf: leaf["field"].isNotNull()).alias("matched"))
+        .select(
+            "doc_id",
+            "leaves",
+            F.create_map(
+                *[
+                    part
+                    for field in uses
+                    for part in (F.lit(field), _of_field("matched", field))
+                ]
+            ).alias("claims"),
+        )
+    )
+
+
+def _of_field(matched: str, field: str) -> Column:
+    return F.filter(matched, lambda leaf: leaf["field"] == F.lit(field))
 
 
 def _dcat_slots() -> tuple[list[tuple[str, str, int]], dict[str, int]]:
@@ -177,49 +254,6 @@ def _matched_field(key: Column) -> Column:
     return found
 
 
-def _matching_keys(leaves: DataFrame) -> DataFrame:
-    """Keys that stand for a field, numbered per document and field in document order."""
-    order = Window.partitionBy("doc_id", "field").orderBy("ord")
-    return (
-        leaves.withColumn("field", _matched_field(F.col("key")))
-        .filter(F.col("field").isNotNull())
-        .withColumn("place", F.row_number().over(order))
-    )
-
-
-def _checks_of(
-    docs: DataFrame, matches: DataFrame, slots: list[tuple[str, str, int]]
-) -> DataFrame:
-    """One row per document and slot; a document brings at most one hit per slot."""
-    hits = matches.groupBy("doc_id").agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", "hit"))).alias("hits")
-    )
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(principle).alias("principle"),
-                F.lit(field).alias("field"),
-                F.lit(use).alias("place"),
-            )
-            for principle, field, use in slots
-        ]
-    )
-    hit = F.col("hits")[F.struct("field", "place")]
-    return (
-        docs.select("doc_id")
-        .join(hits, "doc_id", "left")
-        .select("doc_id", "hits", F.inline(wanted))
-        .select(
-            "doc_id",
-            "principle",
-            "field",
-            hit["key"].alias("matched_key"),
-            hit["value"].alias("value"),
-            hit.isNotNull().alias("passed"),
-        )
-    )
-
-
 def datacite_checks(docs: DataFrame) -> DataFrame:
     """``(doc_id, principle, field, matched_key, value, passed)``: 19 rows per document.
 

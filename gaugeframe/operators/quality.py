@@ -4,23 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.expressions import as_double, ref, row_key
 from ..plans.checks import dtype_of, number_columns, require_columns
+from ..plans.rows import complete_rows, is_present
 from ..plans.quantiles import quantiles
 
 FENCE = 1.5  # interquartile ranges
 
 
-def _present(df: DataFrame, column: str) -> Column:
-    if isinstance(dtype_of(df, column), (T.FloatType, T.DoubleType)):
-        return ref(column).isNotNull() & ~F.isnan(ref(column))
-    return ref(column).isNotNull()
-
-
 def completeness_by_column(
     df: DataFrame, columns: Sequence[str] | None = None, incomplete_only: bool = True
 ) -> DataFrame:
@@ -30,7 +24,7 @@ def completeness_by_column(
     shares = [
         F.struct(
             F.lit(c).alias("column"),
-            F.avg(_present(df, c).cast("double")).alias("completeness"),
+            F.avg(is_present(df, c).cast("double")).alias("completeness"),
         )
         for c in columns
     ]
@@ -42,9 +36,9 @@ def overall_completeness(df: DataFrame, columns: Sequence[str] | None = None) ->
     """``(overall, status)``: share of rows without any missing value."""
     columns = list(columns or df.columns)
     require_columns(df, columns)
-    whole = _present(df, columns[0])
+    whole = is_present(df, columns[0])
     for c in columns[1:]:
-        whole = whole & _present(df, c)
+        whole = whole & is_present(df, c)
     status = (
         F.when(F.col("overall") == 1, "complete")
         .when(F.col("overall") == 0, "none")
@@ -87,7 +81,9 @@ def outlier_rates(
     columns = list(columns or number_columns(df))
     require_columns(df, columns, "numeric column")
     names = {f"v{i}": c for i, c in enumerate(columns)}
-    rows = df.select(*[as_double(ref(c)).alias(v) for v, c in names.items()]).na.drop()
+    rows = complete_rows(df, columns).select(
+        *[as_double(ref(c)).alias(v) for v, c in names.items()]
+    )
     quartiles = quantiles(rows, list(names), [0.25, 0.75], approx)
     rates = []
     for v, c in names.items():

@@ -18,7 +18,8 @@ from ..functions.expressions import as_double, guarded, ref
 from ..plans.checks import dtype_of, is_number, require_columns
 from ..plans.counts import cells
 from ..plans.quantiles import quantiles
-from ..plans.sizing import broadcast_if_small
+from ..plans.rows import complete_rows
+from ..plans.sizing import broadcast_if_small, settled
 
 DECIMALS = 2
 MAX_NUMERIC_VALUES = 100
@@ -35,7 +36,7 @@ def _check_names(df: DataFrame, id_column: str, qis: Sequence[str]) -> None:
 def _complete(df: DataFrame, id_column: str, qis: Sequence[str]) -> DataFrame:
     """Rows with identifier and all quasi-identifiers, the latter named q0, q1, ..."""
     names = [ref(q).alias(f"q{i}") for i, q in enumerate(qis)]
-    return df.select(ref(id_column).alias("id"), *names).na.drop()
+    return complete_rows(df.select(ref(id_column).alias("id"), *names))
 
 
 def _id_check(df: DataFrame, id_column: str, check_id: bool) -> list[tuple[Column, str]]:
@@ -267,24 +268,22 @@ def risk_box_plot(
 
     One box per quasi-identifier, or one for their combination.
     """
-    by_risk, box = _boxes(df, id_column, quasi_identifiers, combined, check_id)
-    risk, b = F.col("risk"), F.col("b")
-    inside = (risk >= b["low"]) & (risk <= b["high"])
+    inside = F.when(~F.col("is_flier"), F.col("risk"))
     return (
-        by_risk.withColumn("b", box[F.col("series")])
-        .groupBy("series", "b")
+        _with_boxes(df, id_column, quasi_identifiers, combined, check_id)
+        .groupBy("series", "q1", "median", "q3")
         .agg(
-            F.least(F.min(F.when(inside, risk)), F.first(b["q1"])).alias("whisker_lo"),
-            F.greatest(F.max(F.when(inside, risk)), F.first(b["q3"])).alias("whisker_hi"),
-            F.sum(F.when(inside, F.lit(0)).otherwise(F.col("n"))).alias("n_fliers"),
+            F.min(inside).alias("lowest"),
+            F.max(inside).alias("highest"),
+            F.sum(F.when(F.col("is_flier"), F.col("n")).otherwise(F.lit(0))).alias("n_fliers"),
         )
         .select(
             "series",
-            "whisker_lo",
-            b["q1"].alias("q1"),
-            b["median"].alias("median"),
-            b["q3"].alias("q3"),
-            "whisker_hi",
+            F.least("lowest", "q1").alias("whisker_lo"),
+            "q1",
+            "median",
+            "q3",
+            F.greatest("highest", "q3").alias("whisker_hi"),
             "n_fliers",
         )
     )
@@ -298,38 +297,33 @@ def risk_fliers(
     check_id: bool = True,
 ) -> DataFrame:
     """``(series, risk, n)``: the risks outside the whiskers and how many rows have them."""
-    by_risk, box = _boxes(df, id_column, quasi_identifiers, combined, check_id)
-    b = box[F.col("series")]
-    return by_risk.filter((F.col("risk") < b["low"]) | (F.col("risk") > b["high"]))
+    boxed = _with_boxes(df, id_column, quasi_identifiers, combined, check_id)
+    return boxed.filter("is_flier").select("series", "risk", "n")
 
 
-def _boxes(
+def _with_boxes(
     df: DataFrame, id_column: str, qis: Sequence[str], combined: bool, check_id: bool
-) -> tuple[DataFrame, Column]:
-    """Risk table (at most 101 rows per series) and the boxes by series."""
+) -> DataFrame:
+    """Risk table, at most 101 rows per series, with the box of its series."""
     if combined:
         risks = combination_risks(df, id_column, qis, check_id)
         risks = risks.select(F.lit(",".join(qis)).alias("series"), "risk", "n")
     else:
         risks = attribute_risks(df, id_column, qis, check_id).withColumnRenamed("qi", "series")
-    by_risk = _by_risk(risks, "series")
+    by_risk = settled(_by_risk(risks, "series"))
     reach = F.lit(WHISKER) * (F.col("p75") - F.col("p25"))
-    box = (
-        _weighted_statistics(by_risk, "series")
-        .select(
-            "series",
-            F.struct(
-                F.col("p25").alias("q1"),
-                F.col("p50").alias("median"),
-                F.col("p75").alias("q3"),
-                (F.col("p25") - reach).alias("low"),
-                (F.col("p75") + reach).alias("high"),
-            ).alias("b"),
-        )
-        .agg(F.map_from_entries(F.collect_list(F.struct("series", "b"))))
-        .scalar()
+    boxes = _weighted_statistics(by_risk, "series").select(
+        "series",
+        F.col("p25").alias("q1"),
+        F.col("p50").alias("median"),
+        F.col("p75").alias("q3"),
+        (F.col("p25") - reach).alias("low"),
+        (F.col("p75") + reach).alias("high"),
+    )
+    # one box per series, and a series is an argument of the call
+    return by_risk.join(F.broadcast(boxes), "series").withColumn(
+        "is_flier", (F.col("risk") < F.col("low")) | (F.col("risk") > F.col("high"))
     )
-    return by_risk, box
 
 
 def box_summary(df: DataFrame, columns: Sequence[str], approx: bool = False) -> DataFrame:

@@ -97,61 +97,60 @@ def feature_relevance(
     require_columns(df, [target], "target")
     if target in features:
         raise ValueError(f"target '{target}' is also listed as a feature")
+    numeric = [c for c in numeric if is_numeric_feature(dtype_of(df, c))]
+    if not categorical and not numeric:
+        raise ValueError("no feature can be scored")
+    rows = df.select(*[ref(c) for c in [*categorical, *numeric, target]])
+    if numeric:
+        rows = impute_mean(rows, numeric)
     if is_categorical_feature(dtype_of(df, target)):
-        base = label_encode(df.select(*[ref(c) for c in [*features, target]]), target, "__y")
-        y = F.col("__y").cast("double")
+        rows = label_encode(rows, target, "__y").withColumn("__y", F.col("__y").cast("double"))
     elif is_numeric_feature(dtype_of(df, target)):
-        base, y = df, as_double(ref(target))
+        rows = rows.withColumn("__y", as_double(ref(target)))
     else:
         raise ValueError(f"target '{target}' is neither numeric nor text")
+    rows = rows.filter(F.col("__y").isNotNull())
 
     parts = []
     if numeric:
-        numeric = [c for c in numeric if is_numeric_feature(dtype_of(df, c))]
-    if numeric:
-        imputed = impute_mean(base.select(*[ref(c) for c in numeric], y.alias("__y")), numeric)
         scores = [
-            F.struct(
-                F.lit(c).alias("feature"), pearson(ref(c), F.col("__y")).alias("corr")
-            )
+            F.struct(F.lit(c).alias("feature"), pearson(ref(c), F.col("__y")).alias("corr"))
             for c in numeric
         ]
-        parts.append(
-            imputed.filter(F.col("__y").isNotNull())
-            .agg(F.array(*scores).alias("scores"))
-            .select(F.inline("scores"))
-        )
+        parts.append(rows.agg(F.array(*scores).alias("scores")).select(F.inline("scores")))
     if categorical:
-        rows = base.withColumn("__y", y).filter(F.col("__y").isNotNull())
-        total = rows.agg(
-            F.struct(
-                F.count("*").cast("double").alias("n"),
-                F.avg("__y").alias("mean"),
-                F.stddev_pop("__y").alias("std"),
-            ).alias("t")
-        ).scalar()
-        cells = [
-            F.struct(
-                F.lit(c).alias("column"),
-                F.coalesce(as_text(ref(c), dtype_of(df, c)), F.lit(MISSING_LABEL)).alias("value"),
-            )
-            for c in categorical
-        ]
-        share = F.col("n") / F.col("t.n")
-        parts.append(
-            rows.select(F.inline(F.array(*cells)), "__y")
-            .groupBy("column", "value")
-            .agg(F.count("*").alias("n"), F.avg("__y").alias("mean"))
-            .withColumn("t", total)
-            .select(
-                F.concat_ws("_", "column", "value").alias("feature"),
-                F.try_divide(
-                    share * (F.col("mean") - F.col("t.mean")),
-                    F.sqrt(share * (F.lit(1.0) - share)) * F.col("t.std"),
-                ).alias("corr"),
-            )
-        )
-    if not parts:
-        raise ValueError("no feature can be scored")
+        parts.append(_one_hot_scores(rows, categorical))
     scores = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return scores.orderBy("feature")
+
+
+def _one_hot_scores(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Correlation of every one-hot column with ``__y``, from counts and means per value."""
+    total = rows.agg(
+        F.struct(
+            F.count("*").cast("double").alias("n"),
+            F.avg("__y").alias("mean"),
+            F.stddev_pop("__y").alias("std"),
+        ).alias("t")
+    ).scalar()
+    cells = [
+        F.struct(
+            F.lit(c).alias("column"),
+            F.coalesce(as_text(ref(c), dtype_of(rows, c)), F.lit(MISSING_LABEL)).alias("value"),
+        )
+        for c in columns
+    ]
+    share = F.col("n") / F.col("t.n")
+    return (
+        rows.select(F.inline(F.array(*cells)), "__y")
+        .groupBy("column", "value")
+        .agg(F.count("*").alias("n"), F.avg("__y").alias("mean"))
+        .withColumn("t", total)
+        .select(
+            F.concat_ws("_", "column", "value").alias("feature"),
+            F.try_divide(
+                share * (F.col("mean") - F.col("t.mean")),
+                F.sqrt(share * (F.lit(1.0) - share)) * F.col("t.std"),
+            ).alias("corr"),
+        )
+    )

@@ -46,32 +46,23 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def distinct_up_to(df: DataFrame, columns: Sequence[str], limit: int) -> DataFrame:
     """``(column, n_distinct)``: exact count, or NULL for columns above ``limit``.
 
-    A sketch sorts out the columns that are far above the limit first, so the
-    values of an identifier column never reach the shuffle.
+    A sketch of all columns (a small aggregate that runs at once) sorts out
+    those far above the limit, so identifier columns are neither read again nor
+    shuffled. ``limit`` is at most in the hundreds, where the sketch is close.
     """
-    estimates = df.agg(
-        F.create_map(
-            *[
-                part
-                for name in columns
-                for part in (F.lit(name), F.approx_count_distinct(ref(name)))
-            ]
-        ).alias("estimates")
-    )
-    names = estimates.select(F.explode("estimates").alias("column", "estimate"))
-    screened = (
-        df.withColumn("__estimates", estimates.scalar())
-        .transform(lambda d: cells(d, columns, F.col("__estimates")))
-        .filter(
-            F.col("value").isNotNull()
-            & (F.col("__estimates")[F.col("column")] <= limit * SCREEN_FACTOR)
-        )
+    sketch = df.agg(*[F.approx_count_distinct(ref(c)).alias(c) for c in columns]).first()
+    near = [c for c, n in zip(columns, sketch) if n <= limit * SCREEN_FACTOR]
+    names = F.array(*[F.lit(c) for c in columns])
+    listed = df.sparkSession.range(1, numPartitions=1).select(F.explode(names).alias("column"))
+    if not near:
+        return listed.select("column", F.lit(None).cast("bigint").alias("n_distinct"))
+    found = (
+        cells(df, near)
         .groupBy("column", "value")
-        .agg(F.lit(1).alias("one"))
+        .agg(F.count("*").alias("n"))
         .groupBy("column")
-        .agg(F.count("*").alias("found"))
+        .agg(F.count("value").alias("found"))
     )
-    count = F.when(F.col("estimate") == 0, F.lit(0)).otherwise(F.col("found"))
-    return names.join(F.broadcast(screened), "column", "left").select(
-        "column", F.when(count <= limit, count).cast("bigint").alias("n_distinct")
+    return listed.join(F.broadcast(found), "column", "left").select(
+        "column", F.when(F.col("found") <= limit, F.col("found")).alias("n_distinct")
     )

@@ -25,14 +25,15 @@ def running_total(
     logarithmic steps of numbers); the bucket totals are then summed in order.
     """
     by = list(by)
-    prefix = F.substring(F.col(text), 1, PREFIX_LENGTH)
+    prefix = F.coalesce(F.substring(F.col(text), 1, PREFIX_LENGTH), F.lit(""))
     if number is None:
         step, order = F.lit(0.0), [F.col(text)]
     else:
         x = F.col(number)
         step = F.coalesce(
-            F.floor(F.signum(x) * F.log1p(F.abs(x)) * F.lit(BUCKETS_PER_E_FOLD)), F.lit(0)
-        ).cast("double")
+            F.floor(F.signum(x) * F.log1p(F.abs(x)) * F.lit(BUCKETS_PER_E_FOLD)).cast("double"),
+            F.lit(0.0),
+        )
         prefix = F.when(x.isNull(), prefix).otherwise(F.lit(""))
         order = [x, F.col(text)]
     bucketed = values.withColumn("__step", step).withColumn("__prefix", prefix)

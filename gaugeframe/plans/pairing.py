@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPREAD = 32
+SPREAD = 32  # a power of two
 
 
 def combine(
@@ -24,9 +24,8 @@ def combine(
     more than one slot of the right side, even if one ``on`` value owns it all.
     """
     slots = F.sequence(F.lit(0), F.lit(spread - 1))
-    dealt = right.withColumn(
-        "__slot", F.pmod(F.xxhash64(*[F.col(c) for c in spread_by]), F.lit(spread)).cast("int")
-    )
+    slot = F.xxhash64(*[F.col(c) for c in spread_by]).bitwiseAND(F.lit(spread - 1))
+    dealt = right.withColumn("__slot", slot.cast("int"))
     return (
         left.withColumn("__slot", F.explode(slots))
         .join(dealt, [*on, "__slot"])

@@ -1,7 +1,9 @@
-"""Broadcasting behind a measured size."""
+"""Intermediate tables that are written once, and broadcast behind a measured size."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,14 +14,32 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 FIXED_BYTES = 16
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Adds a broadcast hint if the measured size of ``df`` stays below ``limit``.
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written to the checkpoint folder of the cluster.
 
-    Without the hint the join shuffles and adaptive execution splits hot keys.
+    For small results that several jobs read; survives the loss of executors.
+    A folder of its own is only made where the session names none.
     """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-"))
+    return df.checkpoint()
+
+
+def is_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Measures the table: fixed width per column plus the length of its texts."""
     width = F.lit(FIXED_BYTES * len(df.columns)).cast("bigint")
     for field in df.schema.fields:
         if isinstance(field.dataType, T.StringType):
             width = width + F.coalesce(F.octet_length(ref(field.name)), F.lit(0))
-    size = df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()["bytes"]
-    return F.broadcast(df) if size <= limit else df
+    return df.agg(F.coalesce(F.sum(width), F.lit(0)).alias("bytes")).first()["bytes"] <= limit
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Settles ``df`` and adds a broadcast hint if its measured size allows.
+
+    Without the hint the join shuffles and adaptive execution splits hot keys.
+    """
+    table = settled(df)
+    return F.broadcast(table) if is_small(table, limit) else table

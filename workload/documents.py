@@ -109,10 +109,12 @@ WITH leaves AS (
 """
 
 
-@query("metadata_leaves", LEAVES + "SELECT doc_id, ord, key, value FROM leaves")
+@query("metadata_leaves", LEAVES + """
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1)::INTEGER AS ord, key, value
+FROM leaves
+""")
 def metadata_leaves(spark, sf_dir):
-    leaves = gf.flatten_documents(dcat_documents(spark, sf_dir))
-    return leaves.withColumn("ord", F.array_join("ord", "."))
+    return gf.flatten_documents(dcat_documents(spark, sf_dir))
 
 
 DCAT = LEAVES + """,
