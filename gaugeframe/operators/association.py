@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import as_double, as_text, n_log_n, pearson, ref
+from ..functions.expressions import as_text, n_log_n, pearson, ref
 from ..plans.checks import (
     categorical_features,
     dtype_of,
@@ -17,6 +17,7 @@ from ..plans.checks import (
     numeric_features,
     require_columns,
 )
+from ..plans.rows import number
 
 
 def pearson_matrix(
@@ -28,7 +29,7 @@ def pearson_matrix(
     """
     columns = list(columns or numeric_features(df))
     require_columns(df, columns, "numeric column")
-    x = {c: as_double(ref(c)) for c in columns}
+    x = {c: number(df, c) for c in columns}
     pairs = list(combinations(columns, 2))
     pairs += [(c, c) for c in columns] if diagonal else []
     if not pairs:

@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import as_double, keyed_uniform, laplace_quantile, ref
+from ..functions.expressions import keyed_uniform, laplace_quantile, ref
 from ..plans.checks import dtype_of, is_number, require_columns, require_rows
+from ..plans.rows import number
 from .reidentification import box_summary
 
 DEFAULT_EPSILON = 0.1
@@ -44,7 +45,7 @@ def add_laplace_noise(
     noisy = {}
     for c in columns:
         u = keyed_uniform([ref(k) for k in key], seed, c) if key else F.rand()
-        noisy[PREFIX + c] = as_double(ref(c)) + laplace_quantile(u, scale)
+        noisy[PREFIX + c] = number(df, c) + laplace_quantile(u, scale)
     return rows.withColumns(noisy)
 
 
@@ -53,7 +54,7 @@ def noise_statistics(noisy: DataFrame, columns: Sequence[str]) -> DataFrame:
     require_columns(noisy, [*columns, *[PREFIX + c for c in columns]], "noisy column")
     stats = []
     for c in columns:
-        before, after = as_double(ref(c)), ref(PREFIX + c)
+        before, after = number(noisy, c), ref(PREFIX + c)
         stats.append(
             F.struct(
                 F.lit(c).alias("column"),

@@ -8,7 +8,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import as_double, ref
 from ..plans.checks import (
     categorical_features,
     number_columns,
@@ -17,6 +16,7 @@ from ..plans.checks import (
 )
 from ..plans.counts import distinct_up_to
 from ..plans.quantiles import quantiles
+from ..plans.rows import number
 
 CLASS_CANDIDATE_LIMIT = 30
 GRID_POINTS = 200
@@ -70,7 +70,7 @@ def summary_statistics(
     found = quantiles(df, columns, [0.25, 0.5, 0.75], approx)
     rows = []
     for c in columns:
-        x = as_double(ref(c))
+        x = number(df, c)
         p25, p50, p75 = found[c]
         rows.append(
             F.struct(
@@ -103,7 +103,7 @@ def density(
     columns = list(columns or number_columns(df))
     require_columns(df, columns, "numeric column")
     stats = df.agg(
-        F.array(*[_kernel_frame(c, bandwidth_factor, points) for c in columns]).alias("frames")
+        F.array(*[_kernel_frame(df, c, bandwidth_factor, points) for c in columns]).alias("frames")
     )
     frame = F.col("frames")[F.col("c")]
     reach = F.lit(KERNEL_REACH) * F.col("f.h")
@@ -115,7 +115,7 @@ def density(
 
     sums = (
         df.select(
-            F.posexplode(F.array(*[as_double(ref(c)) for c in columns])).alias("c", "v"),
+            F.posexplode(F.array(*[number(df, c) for c in columns])).alias("c", "v"),
             stats.scalar().alias("frames"),
         )
         .select("c", "v", frame.alias("f"))
@@ -148,9 +148,9 @@ def density(
     )
 
 
-def _kernel_frame(column: str, factor: float, points: int):
+def _kernel_frame(df: DataFrame, column: str, factor: float, points: int):
     """Bandwidth and grid of one column, as an aggregate."""
-    value = as_double(ref(column))
+    value = number(df, column)
     n = F.count(value).cast("double")
     h = F.lit(factor) * F.pow(F.nullif(n, F.lit(0.0)), F.lit(-0.2)) * F.stddev_samp(value)
     start = F.min(value) - F.lit(GRID_MARGIN) * h

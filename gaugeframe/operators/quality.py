@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import as_double, ref, row_key
+from ..functions.expressions import ref, row_key
 from ..plans.checks import dtype_of, number_columns, require_columns
 from ..plans.rows import complete_rows, is_present
 from ..plans.quantiles import quantiles
@@ -82,7 +82,7 @@ def outlier_rates(
     require_columns(df, columns, "numeric column")
     names = {f"v{i}": c for i, c in enumerate(columns)}
     rows = complete_rows(df, columns).select(
-        *[as_double(ref(c)).alias(v) for v, c in names.items()]
+        *[ref(c).cast("double").alias(v) for v, c in names.items()]
     )
     quartiles = quantiles(rows, list(names), [0.25, 0.75], approx)
     rates = []

@@ -14,11 +14,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import as_double, guarded, ref
+from ..functions.expressions import guarded, ref
 from ..plans.checks import dtype_of, is_number, require_columns
 from ..plans.counts import cells
 from ..plans.quantiles import quantiles
-from ..plans.rows import complete_rows
+from ..plans.rows import complete_rows, number
 from ..plans.sizing import broadcast_if_small, settled
 
 DECIMALS = 2
@@ -338,7 +338,7 @@ def box_summary(df: DataFrame, columns: Sequence[str], approx: bool = False) ->
         q1, median, q3 = found[c]
         reach = None if q1 is None else WHISKER * (q3 - q1)
         low, high = (None, None) if q1 is None else (q1 - reach, q3 + reach)
-        value = as_double(ref(c))
+        value = number(df, c)
         inside = F.when((value >= F.lit(low)) & (value <= F.lit(high)), value)
         boxes.append(
             F.struct(

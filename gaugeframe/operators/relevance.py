@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import as_double, as_text, pearson, ref
+from ..functions.expressions import as_text, pearson, ref
 from ..plans.checks import (
     dtype_of,
     is_categorical_feature,
@@ -15,6 +15,7 @@ from ..plans.checks import (
     require_columns,
 )
 from ..plans.ordering import running_total
+from ..plans.rows import number
 from ..plans.sizing import broadcast_if_small
 
 MISSING_LABEL = "Missing"
@@ -30,9 +31,9 @@ def impute_categorical(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def impute_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Missing numbers become the column mean; the columns turn into doubles."""
     require_columns(df, columns, "numeric column")
-    means = df.agg(F.array(*[F.avg(as_double(ref(c))) for c in columns]).alias("means")).scalar()
+    means = df.agg(F.array(*[F.avg(number(df, c)) for c in columns]).alias("means")).scalar()
     return df.withColumns(
-        {c: F.coalesce(as_double(ref(c)), means[i]) for i, c in enumerate(columns)}
+        {c: F.coalesce(number(df, c), means[i]) for i, c in enumerate(columns)}
     )
 
 
@@ -106,7 +107,7 @@ def feature_relevance(
     if is_categorical_feature(dtype_of(df, target)):
         rows = label_encode(rows, target, "__y").withColumn("__y", F.col("__y").cast("double"))
     elif is_numeric_feature(dtype_of(df, target)):
-        rows = rows.withColumn("__y", as_double(ref(target)))
+        rows = rows.withColumn("__y", number(df, target))
     else:
         raise ValueError(f"target '{target}' is neither numeric nor text")
     rows = rows.filter(F.col("__y").isNotNull())

@@ -1,124 +1,126 @@
 """Exact quantiles of many columns without a one-task ``percentile``.
 
 Spark's ``percentile`` gathers every distinct value of a column in the task that
-merges the partial results. Here each wanted quantile is a rank, and the rank is
-closed in from both sides:
-
-* a quantile sketch proposes a value range around the rank;
-* one aggregate counts the rows below and inside each range, which proves that
-  the rank is inside (else the range is opened to the whole column);
-* while a range holds more than ``FINAL_ROWS`` rows, it is sketched again;
-* the values of what is left are ranked.
-
-The sketch decides how fast this goes, never the result. All jobs are narrow
-aggregates whose results are a few numbers per column; like ``approxQuantile``
-they run at once.
+merges the partial results. Here each wanted quantile is a rank that is closed
+in from both sides, in three narrow passes over the columns:
+
+1. a sketch of fixed size per column proposes a value range around each rank;
+2. one aggregate counts the rows below, at both ends of and inside each range.
+   That proves where the rank is. If it is outside, a wider range is tried, at
+   last the whole column. If it is at an end, its value is known: so a value
+   that holds a third of the rows is settled here;
+3. the few rows strictly inside are grouped by value and ranked. Each range is
+   divided into ``BUCKETS`` parts in value order, so a running count covers one
+   part only.
+
+The sketch decides how fast this goes, never the result. All passes return a few
+numbers per column; like ``approxQuantile`` they run at once.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import as_double, ref
+from ..functions.expressions import ref
+from .rows import number
 
-ACCURACY = 1_000
-FINAL_ROWS = 2_000_000
-SMALL_ROWS = 200_000  # below this the built-in percentile holds little
+SKETCH_SIZE = 16_000
+MARGINS = (0.0005, 0.01)  # ranks around the wanted one, as shares of all rows
+BUCKETS = 1_024
+SMALL_ROWS = 200_000  # up to here the built-in percentile holds little
 
 
 @dataclass
 class Search:
-    """One wanted quantile: the ranks needed and the range known to hold them."""
+    """One wanted quantile: its two ranks and the value range that should hold them."""
 
-    column: str
-    probability: float
+    column: int
+    slot: int
     position: float
     low: float
     high: float
     below: int = 0
-    inside: int = 0
+    at_low: int = 0
+    under_high: int = 0
+    upto_high: int = 0
+    values: dict[int, float] = field(default_factory=dict)
 
     @property
-    def first(self) -> int:
-        return math.floor(self.position)
+    def ranks(self) -> tuple[int, int]:
+        return math.floor(self.position), math.ceil(self.position)
 
     @property
-    def last(self) -> int:
-        return math.ceil(self.position)
+    def is_covered(self) -> bool:
+        return self.below <= self.ranks[0] and self.ranks[1] < self.upto_high
 
     @property
-    def is_covered(self) -> bool:
-        return self.below <= self.first and self.last < self.below + self.inside
+    def inner_ranks(self) -> list[int]:
+        """Ranks whose value lies strictly inside the range."""
+        return [r for r in self.ranks if r not in self.values]
+
+    def settle_ends(self) -> None:
+        for r in self.ranks:
+            if self.below <= r < self.below + self.at_low:
+                self.values[r] = self.low
+            elif self.under_high <= r < self.upto_high:
+                self.values[r] = self.high
 
-    def condition(self):
-        value = F.col(self.column)
-        return (value >= F.lit(self.low)) & (value <= F.lit(self.high))
+    def result(self) -> float:
+        low, high = (self.values[r] for r in self.ranks)
+        return low if low == high else low + (high - low) * (self.position - self.ranks[0])
 
 
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probabilities: Sequence[float],
-    final_rows: int = FINAL_ROWS,
     small_rows: int = SMALL_ROWS,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column; missing values are left out."""
-    names = {f"v{i}": name for i, name in enumerate(columns)}
-    values = df.select(*[as_double(ref(name)).alias(v) for v, name in names.items()])
-    wanted = [q for p in probabilities for q in _around(p)]
-    start = values.agg(
-        *[
-            F.struct(
-                F.count(v).alias("n"),
-                F.min(v).alias("min"),
-                F.max(v).alias("max"),
-                F.percentile_approx(v, wanted, ACCURACY).alias("cuts"),
-            ).alias(v)
-            for v in names
-        ]
+    columns, probabilities = list(columns), list(probabilities)
+    numbers = [number(df, c) for c in columns]
+    start = df.agg(
+        *[_sketch(x, probabilities).alias(f"v{i}") for i, x in enumerate(numbers)]
     ).first()
-
-    if max(start[v]["n"] for v in names) <= small_rows:
-        exact = values.agg(*[F.percentile(v, list(probabilities)).alias(v) for v in names]).first()
-        return {name: exact[v] or [None] * len(probabilities) for v, name in names.items()}
-
-    searches = []
-    for v in names:
-        seen = start[v]
-        if seen["n"] == 0:
-            continue
-        for i, p in enumerate(probabilities):
-            low, high = seen["cuts"][2 * i : 2 * i + 2]
-            searches.append(Search(v, p, p * (seen["n"] - 1), low, high))
-
-    _count(values, searches)
+    if max(seen["n"] for seen in start) <= small_rows:
+        exact = df.agg(
+            *[F.percentile(x, probabilities).alias(f"v{i}") for i, x in enumerate(numbers)]
+        ).first()
+        return {c: exact[i] or [None] * len(probabilities) for i, c in enumerate(columns)}
+
+    # NaN stays in: no range ever holds it
+    cells = df.select(
+        F.posexplode(F.array(*[ref(c).cast("double") for c in columns])).alias("c", "v")
+    )
+    searches = [
+        Search(c, slot, p * (seen["n"] - 1), *seen["cuts"][slot][0])
+        for c, seen in enumerate(start)
+        for slot, p in enumerate(probabilities)
+        if seen["n"]
+    ]
+    grid = _Grid(len(columns), len(probabilities))
+    _count(cells, grid, searches)
+    for attempt in range(1, len(MARGINS) + 1):
+        missed = [s for s in searches if not s.is_covered]
+        for s in missed:
+            seen = start[s.column]
+            wider = (seen["min"], seen["max"])
+            s.low, s.high = seen["cuts"][s.slot][attempt] if attempt < len(MARGINS) else wider
+        _count(cells, grid, missed)
     for s in searches:
-        if not s.is_covered:
-            s.low, s.high = start[s.column]["min"], start[s.column]["max"]
-            s.below, s.inside = 0, start[s.column]["n"]
-    while True:
-        wide = [s for s in searches if s.low < s.high and s.inside > final_rows]
-        if not _narrow(values, wide):
-            break
-
-    found = _rank(values, [s for s in searches if s.low < s.high])
-    results: dict[str, list[float | None]] = {}
-    for v, name in names.items():
-        own = {s.probability: s for s in searches if s.column == v}
-        results[name] = [
-            None if p not in own else found.get((v, p), own[p].low) for p in probabilities
-        ]
-    return results
-
+        s.settle_ends()
+    _rank(cells, grid, [s for s in searches if s.inner_ranks])
 
-def _around(p: float) -> list[float]:
-    margin = 2.0 / ACCURACY
-    return [max(0.0, p - margin), min(1.0, p + margin)]
+    found = {(s.column, s.slot): s.result() for s in searches}
+    return {
+        name: [found.get((c, slot)) for slot in range(len(probabilities))]
+        for c, name in enumerate(columns)
+    }
 
 
 def approximate_quantiles(
@@ -127,7 +129,7 @@ def approximate_quantiles(
     """One pass; each returned value is off by at most n / accuracy ranks."""
     sketch = df.agg(
         *[
-            F.percentile_approx(as_double(ref(c)), list(probabilities), accuracy).alias(f"v{i}")
+            F.percentile_approx(number(df, c), list(probabilities), accuracy).alias(f"v{i}")
             for i, c in enumerate(columns)
         ]
     ).first()
@@ -141,88 +143,127 @@ def quantiles(
     return find(df, columns, probabilities)
 
 
-def _count(values: DataFrame, searches: list[Search]) -> None:
-    """Counts the rows below and inside every range, in one pass."""
-    if not searches:
-        return
-    counts = values.agg(
+def _sketch(value: Column, probabilities: Sequence[float]) -> Column:
+    """Count, extremes and, per probability and margin, the values around it."""
+    n = F.count(value)
+    sketch = F.kll_sketch_agg_double(value, F.lit(SKETCH_SIZE))
+
+    def value_at(rank: float) -> Column:
+        return F.kll_sketch_get_quantile_double(sketch, F.lit(min(1.0, max(0.0, rank))))
+
+    cuts = F.array(
         *[
-            F.struct(
-                F.count_if(F.col(s.column) < F.lit(s.low)), F.count_if(s.condition())
-            ).alias(f"s{i}")
-            for i, s in enumerate(searches)
+            F.array(*[F.array(value_at(p - m), value_at(p + m)) for m in MARGINS])
+            for p in probabilities
         ]
-    ).first()
-    for i, s in enumerate(searches):
-        s.below, s.inside = counts[i]
+    )
+    return F.struct(
+        n.alias("n"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+        F.when(n > 0, cuts).alias("cuts"),
+    )
 
 
-def _narrow(values: DataFrame, searches: list[Search]) -> bool:
-    """Sketches inside the ranges; True if at least one of them became smaller."""
+class _Grid:
+    """Numbers per column and slot, looked up by the column number of a cell."""
+
+    def __init__(self, n_columns: int, n_slots: int) -> None:
+        self.n_columns, self.n_slots = n_columns, n_slots
+
+    def lookup(self, searches: list[Search], slot: int, name: str) -> Column:
+        by_column = {s.column: getattr(s, name) for s in searches if s.slot == slot}
+        numbers = [F.lit(by_column.get(c)).cast("double") for c in range(self.n_columns)]
+        return F.array(*numbers)[F.col("c")]
+
+
+def _count(cells: DataFrame, grid: _Grid, searches: list[Search]) -> None:
+    """Counts the rows below, at the ends of and inside every range, in one pass."""
     if not searches:
-        return False
-    aggregates = []
-    for i, s in enumerate(searches):
-        p = (s.position - s.below) / max(1, s.inside - 1)
-        inside = F.when(s.condition(), F.col(s.column))
-        aggregates.append(F.percentile_approx(inside, _around(p), ACCURACY).alias(f"s{i}"))
-    cuts = values.agg(*aggregates).first()
-    tried = [
-        Search(s.column, s.probability, s.position, cuts[i][0], cuts[i][1])
-        for i, s in enumerate(searches)
-    ]
-    _count(values, tried)
-    smaller = False
-    for s, t in zip(searches, tried):
-        if t.is_covered and t.inside < s.inside:
-            s.low, s.high, s.below, s.inside = t.low, t.high, t.below, t.inside
-            smaller = True
-    return smaller
+        return
+    counts = []
+    for slot in range(grid.n_slots):
+        low = grid.lookup(searches, slot, "low")
+        high = grid.lookup(searches, slot, "high")
+        v = F.col("v")
+        tests = (v < low, v == low, v < high, v <= high)
+        counts.append(F.array(*[F.count_if(t) for t in tests]).alias(f"s{slot}"))
+    rows = {row["c"]: row for row in cells.groupBy("c").agg(*counts).collect()}
+    for s in searches:
+        s.below, s.at_low, s.under_high, s.upto_high = rows[s.column][f"s{s.slot}"]
 
 
-def _rank(values: DataFrame, searches: list[Search]) -> dict[tuple[str, float], float]:
-    """Values at the wanted ranks, from the rows inside the ranges alone."""
+def _rank(cells: DataFrame, grid: _Grid, searches: list[Search]) -> None:
+    """Finds the values at the inner ranks from the rows inside the ranges alone."""
     if not searches:
-        return {}
-    hits = F.array(
-        *[
-            F.when(
-                s.condition(),
-                F.struct(
-                    F.lit(i).alias("i"),
-                    F.col(s.column).alias("v"),
-                    F.lit(s.first - s.below).cast("bigint").alias("first"),
-                    F.lit(s.last - s.below).cast("bigint").alias("last"),
-                ),
-            )
-            for i, s in enumerate(searches)
-        ]
-    )
-    any_hit = searches[0].condition()
-    for s in searches[1:]:
-        any_hit = any_hit | s.condition()
-    upto = F.sum("n").over(
-        Window.partitionBy("i")
-        .orderBy("v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    rows = (
-        values.filter(any_hit)
-        .select(F.explode(F.array_compact(hits)).alias("h"))
+        return
+    v = F.col("v")
+    any_hit, hits = F.lit(False), []
+    for slot in range(grid.n_slots):
+        low = grid.lookup(searches, slot, "low")
+        high = grid.lookup(searches, slot, "high")
+        width = high - low
+        is_inside = (v > low) & (v < high)
+        part = F.least(F.floor((v - low) / width * F.lit(float(BUCKETS))), F.lit(BUCKETS - 1))
+        bucket = F.when((width > 0) & (width < F.lit(math.inf)), part).otherwise(F.lit(0))
+        hit = F.struct(
+            (F.col("c") + F.lit(slot * grid.n_columns)).alias("i"),
+            bucket.cast("int").alias("bucket"),
+            v.alias("v"),
+        )
+        any_hit = any_hit | is_inside
+        hits.append(F.when(is_inside, hit))
+    counts = (
+        cells.filter(any_hit)
+        .select(F.explode_outer(F.array(*hits)).alias("h"))
         .select("h.*")
-        .groupBy("i", "v", "first", "last")
+        .filter(F.col("i").isNotNull() & F.col("bucket").isNotNull())
+        .groupBy("i", "bucket", "v")
         .agg(F.count("*").alias("n"))
+    )
+    by_number = {s.column + s.slot * grid.n_columns: s for s in searches}
+    ends = F.create_map(
+        *[
+            part
+            for i, s in by_number.items()
+            for part in (F.lit(i), F.array(*[F.lit(end) for end in _inner_ends(s)]))
+        ]
+    )[F.col("i")]
+
+    def running(*by: str, order: str):
+        window = Window.partitionBy(*by).orderBy(order)
+        return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def holds(before: Column, upto: Column) -> Column:
+        return (ends[0] < upto) & (ends[1] >= before)
+
+    # at most searches x BUCKETS rows, of which at most two per search stay
+    upto = F.sum("total").over(running("i", order="bucket"))
+    targets = (
+        counts.groupBy("i", "bucket")
+        .agg(F.sum("n").alias("total"))
         .withColumn("upto", upto)
-        .filter((F.col("first") < F.col("upto")) & (F.col("last") >= F.col("upto") - F.col("n")))
-        .groupBy("i")
-        .agg(F.min("v").alias("low"), F.max("v").alias("high"))
+        .withColumn("before", F.col("upto") - F.col("total"))
+        .filter(holds(F.col("before"), F.col("upto")))
+        .select("i", "bucket", "before")
+    )
+    found = (
+        counts.join(F.broadcast(targets), ["i", "bucket"])
+        .withColumn("upto", F.col("before") + F.sum("n").over(running("i", "bucket", order="v")))
+        .withColumn("before", F.col("upto") - F.col("n"))
+        .filter(holds(F.col("before"), F.col("upto")))
+        .select("i", "v", "before", "upto")
         .collect()
     )
-    found = {}
-    for row in rows:
-        s = searches[row["i"]]
-        low, high = row["low"], row["high"]
-        part = s.position - s.first
-        value = low if low == high or part == 0 else low + (high - low) * part
-        found[(s.column, s.probability)] = value
-    return found
+    for row in found:
+        s = by_number[row["i"]]
+        start = s.below + s.at_low
+        for r in s.inner_ranks:
+            if start + row["before"] <= r < start + row["upto"]:
+                s.values[r] = row["v"]
+
+
+def _inner_ends(s: Search) -> tuple[int, int]:
+    """First and last inner rank, counted from the first row strictly inside."""
+    inner = s.inner_ranks
+    return inner[0] - s.below - s.at_low, inner[-1] - s.below - s.at_low

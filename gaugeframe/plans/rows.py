@@ -8,13 +8,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import ref
+from ..functions.expressions import as_double, ref
+
+
+def is_floating(dtype: T.DataType) -> bool:
+    return isinstance(dtype, (T.FloatType, T.DoubleType))
+
+
+def number(df: DataFrame, column: str) -> Column:
+    """Numeric column as double with NaN read as missing."""
+    if is_floating(df.schema[column].dataType):
+        return as_double(ref(column))
+    return ref(column).cast("double")
 
 
 def is_present(df: DataFrame, column: str) -> Column:
     """Neither NULL nor NaN."""
     present = ref(column).isNotNull()
-    if isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType)):
+    if is_floating(df.schema[column].dataType):
         return present & ~F.isnan(ref(column))
     return present
 
