@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import UNKNOWN_MARK, guarded, ref
-from ..plans.checks import dtype_of, require_columns
+from ..plans.checks import column_list, dtype_of, require_columns
 from ..plans.quantiles import exact_quantiles
 from ..plans.rows import complete_rows
 from ..plans.sizing import is_small, settled
@@ -118,7 +118,7 @@ def class_distances(
     With class shares p and overall shares q the distance is the sum of p - q
     over the values where p > q, so values a class lacks need no row.
     """
-    qis = list(quasi_identifiers)
+    qis = column_list(quasi_identifiers)
     keys = [f"q{i}" for i in range(len(qis))]
     counts = _sensitive_counts(df, qis, sensitive)
     per_value = counts.groupBy("s").agg(F.sum("n").alias("n_s"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.expressions import as_text, n_log_n, pearson, ref
 from ..plans.checks import (
     categorical_features,
+    column_list,
     dtype_of,
     is_categorical_feature,
     is_numeric_feature,
@@ -27,7 +28,7 @@ def pearson_matrix(
 
     NULL for constant columns. ``diagonal`` adds the cells a heat map needs.
     """
-    columns = list(columns or numeric_features(df))
+    columns = column_list(columns, numeric_features(df))
     require_columns(df, columns, "numeric column")
     x = {c: number(df, c) for c in columns}
     pairs = list(combinations(columns, 2))
@@ -59,7 +60,7 @@ def theil_u_matrix(
     Missing values are a category of their own. U is 0 if ``col_a`` is constant.
     All pairs share one shuffle of value-pair counts.
     """
-    columns = list(columns or categorical_features(df))
+    columns = column_list(columns, categorical_features(df))
     require_columns(df, columns, "categorical column")
     texts = [as_text(ref(c), dtype_of(df, c)) for c in columns]
     cells = [

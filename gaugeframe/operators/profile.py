@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..plans.checks import (
     categorical_features,
+    column_list,
     number_columns,
     numeric_features,
     require_columns,
@@ -65,7 +66,7 @@ def summary_statistics(
     df: DataFrame, columns: Sequence[str] | None = None, approx: bool = False
 ) -> DataFrame:
     """``(column, count, mean, std, min, p25, p50, p75, max)`` per numeric column."""
-    columns = list(columns or number_columns(df))
+    columns = column_list(columns, number_columns(df))
     require_columns(df, columns, "numeric column")
     found = quantiles(df, columns, [0.25, 0.5, 0.75], approx)
     rows = []
@@ -100,7 +101,7 @@ def density(
     rest would add exactly zero. The sums combine before the shuffle, so at
     most ``points`` rows per column leave a task. Constant columns get NULL.
     """
-    columns = list(columns or number_columns(df))
+    columns = column_list(columns, number_columns(df))
     require_columns(df, columns, "numeric column")
     stats = df.agg(
         F.array(*[_kernel_frame(df, c, bandwidth_factor, points) for c in columns]).alias("frames")

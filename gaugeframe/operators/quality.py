@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ref, row_key
-from ..plans.checks import dtype_of, number_columns, require_columns
+from ..plans.checks import column_list, dtype_of, number_columns, require_columns
 from ..plans.rows import complete_rows, is_present
 from ..plans.quantiles import quantiles
 
@@ -19,7 +19,7 @@ def completeness_by_column(
     df: DataFrame, columns: Sequence[str] | None = None, incomplete_only: bool = True
 ) -> DataFrame:
     """``(column, completeness)``: share of present values; complete columns left out."""
-    columns = list(columns or df.columns)
+    columns = column_list(columns, df.columns)
     require_columns(df, columns)
     shares = [
         F.struct(
@@ -34,7 +34,7 @@ def completeness_by_column(
 
 def overall_completeness(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """``(overall, status)``: share of rows without any missing value."""
-    columns = list(columns or df.columns)
+    columns = column_list(columns, df.columns)
     require_columns(df, columns)
     whole = is_present(df, columns[0])
     for c in columns[1:]:
@@ -54,7 +54,7 @@ def duplicity(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     and long texts cross it as digests, so neither a row that is repeated a
     billion times nor wide rows weigh on one task.
     """
-    columns = list(columns or df.columns)
+    columns = column_list(columns, df.columns)
     require_columns(df, columns)
     keys = [row_key(ref(c), dtype_of(df, c)).alias(f"k{i}") for i, c in enumerate(columns)]
     groups = df.select(*keys).groupBy(*[f"k{i}" for i in range(len(keys))])
@@ -78,7 +78,7 @@ def outlier_rates(
 
     Rows with a missing value in any of the numeric columns are left out first.
     """
-    columns = list(columns or number_columns(df))
+    columns = column_list(columns, number_columns(df))
     require_columns(df, columns, "numeric column")
     names = {f"v{i}": c for i, c in enumerate(columns)}
     rows = complete_rows(df, columns).select(

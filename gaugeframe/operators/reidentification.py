@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import guarded, ref
-from ..plans.checks import dtype_of, is_number, require_columns
+from ..plans.checks import column_list, dtype_of, is_number, require_columns
 from ..plans.counts import cells
 from ..plans.quantiles import quantiles
 from ..plans.rows import complete_rows, number
@@ -55,7 +55,7 @@ def attribute_risks(
 
     ``score`` is 1 - (n/N)(1 - 1/n), ``risk`` its rounding to two decimals.
     """
-    qis = list(quasi_identifiers)
+    qis = column_list(quasi_identifiers)
     _check_names(df, id_column, qis)
     rows = _complete(df, id_column, qis)
     columns = [f"q{i}" for i in range(len(qis))]
@@ -106,7 +106,7 @@ def combination_risks(
     pairs are rolled up from the combinations and joined back to them; the rows
     themselves are aggregated once and never joined.
     """
-    qis = list(quasi_identifiers)
+    qis = column_list(quasi_identifiers)
     _check_names(df, id_column, qis)
     keys = [f"q{i}" for i in range(len(qis))]
     table = _complete(df, id_column, qis).groupBy(*keys).agg(F.count("*").alias("n"))
@@ -185,7 +185,7 @@ def row_risks(
     df: DataFrame, id_column: str, quasi_identifiers: Sequence[str], check_id: bool = True
 ) -> DataFrame:
     """``(<id_column>, score, risk)`` for every row with complete values."""
-    qis = list(quasi_identifiers)
+    qis = column_list(quasi_identifiers)
     risks = combination_risks(df, id_column, qis, check_id)
     keyed = risks.select(*[ref(q).alias(f"q{i}") for i, q in enumerate(qis)], "score", "risk")
     keys = [f"q{i}" for i in range(len(qis))]
@@ -200,7 +200,7 @@ def row_attribute_risks(
     df: DataFrame, id_column: str, quasi_identifiers: Sequence[str], check_id: bool = True
 ) -> DataFrame:
     """``(<id_column>, qi, score, risk)``: single-attribute risk, row by row."""
-    qis = list(quasi_identifiers)
+    qis = column_list(quasi_identifiers)
     risks = attribute_risks(df, id_column, qis, check_id)
     rows = _complete(df, id_column, qis)
     columns = [f"q{i}" for i in range(len(qis))]

@@ -13,9 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
-def require_columns(df: DataFrame, columns: Sequence[str], what: str = "column") -> None:
+def column_list(columns: Sequence[str] | None, default: Sequence[str] = ()) -> list[str]:
     if isinstance(columns, str):
-        raise ValueError(f"{what}s must be given as a list of names")
+        raise ValueError("columns must be given as a list of names")
+    return list(columns or default)
+
+
+def require_columns(df: DataFrame, columns: Sequence[str], what: str = "column") -> None:
+    columns = column_list(columns)
     if not columns:
         raise ValueError(f"no {what} given")
     unknown = [c for c in columns if c not in df.columns]
