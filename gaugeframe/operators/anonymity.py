@@ -44,18 +44,17 @@ def equivalence_classes(df: DataFrame, quasi_identifiers: Sequence[str]) -> Data
     )
 
 
-def _sensitive_counts(df: DataFrame, qis: Sequence[str], sensitive: str) -> DataFrame:
-    """``(q0, q1, ..., s, n)``; a sensitive column may also be a quasi-identifier."""
+def _sensitive_rows(df: DataFrame, qis: Sequence[str], sensitive: str) -> DataFrame:
+    """``(q0, q1, ..., s)``; a sensitive column may also be a quasi-identifier."""
     require_columns(df, qis, "quasi-identifier")
     require_columns(df, [sensitive], "sensitive column")
     columns = [*qis, sensitive] if sensitive not in qis else list(qis)
     keys = [ref(q).alias(f"q{i}") for i, q in enumerate(qis)] + [ref(sensitive).alias("s")]
-    return (
-        known_rows(df, columns)
-        .select(*keys)
-        .groupBy(*[f"q{i}" for i in range(len(qis))], "s")
-        .agg(F.count("*").alias("n"))
-    )
+    return known_rows(df, columns).select(*keys)
+
+
+def _sensitive_counts(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(*rows.columns).agg(F.count("*").alias("n"))
 
 
 def _size_histogram(classes: DataFrame, size: str) -> DataFrame:
@@ -91,7 +90,7 @@ def k_anonymity_histogram(df: DataFrame, quasi_identifiers: Sequence[str]) -> Da
 
 
 def _diversity(df: DataFrame, qis: Sequence[str], sensitive: str) -> DataFrame:
-    counts = _sensitive_counts(df, qis, sensitive)
+    counts = _sensitive_counts(_sensitive_rows(df, qis, sensitive))
     return counts.groupBy(*[f"q{i}" for i in range(len(qis))]).agg(F.count("*").alias("l"))
 
 
@@ -120,11 +119,12 @@ def class_distances(
     """
     qis = column_list(quasi_identifiers)
     keys = [f"q{i}" for i in range(len(qis))]
-    counts = _sensitive_counts(df, qis, sensitive)
+    rows = _sensitive_rows(df, qis, sensitive)
+    counts = _sensitive_counts(rows)
     per_value = counts.groupBy("s").agg(F.sum("n").alias("n_s"))
     total = per_value.agg(F.sum("n_s")).scalar().cast("double")
     shares = per_value.select("s", (F.col("n_s") / total).alias("q"))
-    if is_small(per_value):
+    if is_small(rows.select("s").distinct()):
         # few sensitive values, so a class has few rows here
         shares = F.broadcast(shares)
         whole = counts.withColumn("n_class", F.sum("n").over(Window.partitionBy(*keys)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,35 +89,55 @@ def json_rows(docs: DataFrame) -> DataFrame:
     Lists of scalars and scalar fields give nothing. Columns whose types differ
     between lists become text.
     """
-    paths = list(_list_paths(docs.schema, []))
-    if not paths:
+    lists = {path: item for path, item in _lists(docs.schema, ())}
+    if not lists:
         raise ValueError("no list of objects found")
-    parts = [
-        docs.select(F.explode(F.col(".".join(f"`{p}`" for p in path))).alias("r"))
-        .filter(F.col("r").isNotNull())
-        .select("r.*")
-        for path in paths
+    types: dict[str, set[str]] = {}
+    for item in lists.values():
+        for f in item.fields:
+            types.setdefault(f.name, set()).add(f.dataType.simpleString())
+    united = {name: seen.pop() if len(seen) == 1 else "string" for name, seen in types.items()}
+
+    def row_of(item: T.StructType):
+        own = set(item.fieldNames())
+        return lambda r: F.struct(
+            *[
+                (r.getField(name) if name in own else F.lit(None)).cast(kind).alias(name)
+                for name, kind in united.items()
+            ]
+        )
+
+    # one array of all rows, so that the documents are read once
+    shape = "array<struct<" + ",".join(f"`{n}`:{k}" for n, k in united.items()) + ">>"
+    rows = [
+        F.coalesce(
+            F.transform(F.filter(_at(path), lambda r: r.isNotNull()), row_of(item)),
+            F.array().cast(shape),
+        )
+        for path, item in lists.items()
     ]
-    types: dict[str, set] = {}
-    for part in parts:
-        for field in part.schema.fields:
-            types.setdefault(field.name, set()).add(field.dataType.simpleString())
-    mixed = {name for name, seen in types.items() if len(seen) > 1}
-    united = None
-    for part in parts:
-        part = part.withColumns({c: ref(c).cast("string") for c in part.columns if c in mixed})
-        united = part if united is None else united.unionByName(part, allowMissingColumns=True)
-    return united
-
-
-def _list_paths(schema: T.StructType, prefix: list[str]) -> Iterator[list[str]]:
-    for field in schema.fields:
-        path = [*prefix, field.name]
-        if isinstance(field.dataType, T.StructType):
-            yield from _list_paths(field.dataType, path)
-        elif isinstance(field.dataType, T.ArrayType):
-            if isinstance(field.dataType.elementType, T.StructType):
-                yield path
+    return docs.select(F.explode_outer(F.concat(*rows)).alias("r")).filter(
+        F.col("r").isNotNull()
+    ).select("r.*")
+
+
+def _at(path: tuple[str, ...]) -> Column:
+    column = ref(path[0])
+    for name in path[1:]:
+        column = column.getField(name)
+    return column
+
+
+def _lists(
+    schema: T.StructType, prefix: tuple[str, ...]
+) -> Iterator[tuple[tuple[str, ...], T.StructType]]:
+    """Lists of objects, with their element type, reached through objects only."""
+    for f in schema.fields:
+        if isinstance(f.dataType, T.StructType):
+            yield from _lists(f.dataType, (*prefix, f.name))
+        elif isinstance(f.dataType, T.ArrayType):
+            if isinstance(f.dataType.elementType, T.StructType):
+                yield (*prefix, f.name), f.dataType.elementType
 
 
 def json_keys(docs: DataFrame, column: str = "doc") -> DataFrame:
