@@ -19,7 +19,7 @@ from ..plans.checks import column_list, dtype_of, is_number, require_columns
 from ..plans.counts import cells
 from ..plans.quantiles import quantiles
 from ..plans.rows import complete_rows, number
-from ..plans.sizing import broadcast_if_small, settled
+from ..plans.sizing import broadcast_if_small, few_combinations, settled
 
 DECIMALS = 2
 MAX_NUMERIC_VALUES = 100
@@ -109,7 +109,8 @@ def combination_risks(
     qis = column_list(quasi_identifiers)
     _check_names(df, id_column, qis)
     keys = [f"q{i}" for i in range(len(qis))]
-    table = _complete(df, id_column, qis).groupBy(*keys).agg(F.count("*").alias("n"))
+    rows = _complete(df, id_column, qis)
+    table = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     totals = table.agg(
         F.struct(
             F.sum("n").alias("total"),
@@ -117,28 +118,24 @@ def combination_risks(
         ).alias("t")
     ).scalar()
 
-    def rolled(columns: list[str], out: str) -> DataFrame:
-        return table.groupBy(*columns).agg(F.sum("n").cast("double").alias(out))
-
+    pairs = list(zip(keys, keys[1:])) if len(keys) > 2 else []
+    shared = [[k] for k in keys] + [list(pair) for pair in pairs]
     joined = table
-    for k in keys:
-        joined = joined.join(rolled([k], f"n_{k}"), k)
+    for columns, is_few in zip(shared, few_combinations(rows, shared)):
+        counts = table.groupBy(*columns).agg(F.sum("n").cast("double").alias(_count_of(columns)))
+        joined = joined.join(F.broadcast(counts) if is_few else counts, columns)
     joined = joined.withColumn("t", totals)
     total = F.col("t.total").cast("double")
 
     def unobserved(k: str) -> Column:
-        return F.lit(1.0) - F.lit(1.0) / F.col(f"n_{k}")
+        return F.lit(1.0) - F.lit(1.0) / F.col(_count_of([k]))
 
     if len(keys) == 1:
-        product = F.col("n_q0") / total * unobserved("q0")
+        product = F.col(_count_of(keys)) / total * unobserved(keys[0])
     else:
         product = F.lit(1.0)
         for a, b in zip(keys, keys[1:]):
-            if len(keys) == 2:
-                together = F.col("n").cast("double")
-            else:
-                joined = joined.join(rolled([a, b], f"n_{a}_{b}"), [a, b])
-                together = F.col(f"n_{a}_{b}")
+            together = F.col(_count_of([a, b]) if pairs else "n").cast("double")
             product = product * (together / total) * unobserved(a) * unobserved(b)
     checks = _id_check(df, id_column, check_id) + [
         (F.col(f"t.flat_{k}"), f"quasi-identifier '{q}' has only one value")
@@ -151,6 +148,10 @@ def combination_risks(
     ).withColumn("risk", F.round("score", DECIMALS))
 
 
+def _count_of(columns: Sequence[str]) -> str:
+    return "n_" + "_".join(columns)
+
+
 def combination_risk_statistics(
     df: DataFrame, id_column: str, quasi_identifiers: Sequence[str], check_id: bool = True
 ) -> DataFrame:
@@ -189,10 +190,10 @@ def row_risks(
     risks = combination_risks(df, id_column, qis, check_id)
     keyed = risks.select(*[ref(q).alias(f"q{i}") for i, q in enumerate(qis)], "score", "risk")
     keys = [f"q{i}" for i in range(len(qis))]
-    return (
-        _complete(df, id_column, qis)
-        .join(broadcast_if_small(keyed), keys)
-        .select(F.col("id").alias(id_column), "score", "risk")
+    rows = _complete(df, id_column, qis)
+    (is_few,) = few_combinations(rows, [keys])
+    return rows.join(F.broadcast(keyed) if is_few else keyed, keys).select(
+        F.col("id").alias(id_column), "score", "risk"
     )
 
 

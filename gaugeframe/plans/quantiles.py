@@ -98,7 +98,7 @@ def exact_quantiles(
         F.posexplode(F.array(*[ref(c).cast("double") for c in columns])).alias("c", "v")
     )
     searches = [
-        Search(c, slot, p * (seen["n"] - 1), *seen["cuts"][slot][0])
+        Search(c, slot, p * (seen["n"] - 1), *_cut(seen, slot, 0))
         for c, seen in enumerate(start)
         for slot, p in enumerate(probabilities)
         if seen["n"]
@@ -110,7 +110,7 @@ def exact_quantiles(
         for s in missed:
             seen = start[s.column]
             wider = (seen["min"], seen["max"])
-            s.low, s.high = seen["cuts"][s.slot][attempt] if attempt < len(MARGINS) else wider
+            s.low, s.high = _cut(seen, s.slot, attempt) if attempt < len(MARGINS) else wider
         _count(cells, grid, missed)
     for s in searches:
         s.settle_ends()
@@ -148,15 +148,13 @@ def _sketch(value: Column, probabilities: Sequence[float]) -> Column:
     n = F.count(value)
     sketch = F.kll_sketch_agg_double(value, F.lit(SKETCH_SIZE))
 
-    def value_at(rank: float) -> Column:
-        return F.kll_sketch_get_quantile_double(sketch, F.lit(min(1.0, max(0.0, rank))))
-
-    cuts = F.array(
-        *[
-            F.array(*[F.array(value_at(p - m), value_at(p + m)) for m in MARGINS])
-            for p in probabilities
-        ]
-    )
+    ranks = [
+        F.lit(min(1.0, max(0.0, p + side * margin)))
+        for p in probabilities
+        for margin in MARGINS
+        for side in (-1, 1)
+    ]
+    cuts = F.kll_sketch_get_quantile_double(sketch, F.array(*ranks))
     return F.struct(
         n.alias("n"),
         F.min(value).alias("min"),
@@ -165,6 +163,12 @@ def _sketch(value: Column, probabilities: Sequence[float]) -> Column:
     )
 
 
+def _cut(seen, slot: int, attempt: int) -> list[float]:
+    """The two values proposed around a rank, at a margin."""
+    at = 2 * (slot * len(MARGINS) + attempt)
+    return seen["cuts"][at : at + 2]
+
+
 class _Grid:
     """Numbers per column and slot, looked up by the column number of a cell."""
 
@@ -173,8 +177,9 @@ class _Grid:
 
     def lookup(self, searches: list[Search], slot: int, name: str) -> Column:
         by_column = {s.column: getattr(s, name) for s in searches if s.slot == slot}
-        numbers = [F.lit(by_column.get(c)).cast("double") for c in range(self.n_columns)]
-        return F.array(*numbers)[F.col("c")]
+        numbers = [f"double('{by_column[c]!r}')" if c in by_column else "double(NULL)"
+                   for c in range(self.n_columns)]
+        return F.expr(f"array({', '.join(numbers)})[c]")
 
 
 def _count(cells: DataFrame, grid: _Grid, searches: list[Search]) -> None:

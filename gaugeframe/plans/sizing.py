@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,3 +44,29 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     """
     table = settled(df)
     return F.broadcast(table) if is_small(table, limit) else table
+
+
+def few_combinations(
+    rows: DataFrame, keys: Sequence[Sequence[str]], limit: int = BROADCAST_BYTES
+) -> list[bool]:
+    """For each list of columns: is a table with one row per combination small?
+
+    Sketches all counts and the longest texts in one narrow pass. A table counts
+    as small at half the limit, many times the error of the sketch away from it.
+    """
+    texts = {f.name for f in rows.schema.fields if isinstance(f.dataType, T.StringType)}
+    used = sorted({c for key in keys for c in key})
+    longest = [
+        (F.max(F.octet_length(ref(c))) if c in texts else F.lit(0)).alias(f"w{i}")
+        for i, c in enumerate(used)
+    ]
+    found = [
+        F.approx_count_distinct(F.struct(*[ref(c) for c in key])).alias(f"n{i}")
+        for i, key in enumerate(keys)
+    ]
+    seen = rows.agg(*found, *longest).first()
+    width = {c: FIXED_BYTES + (seen[f"w{i}"] or 0) for i, c in enumerate(used)}
+    return [
+        2 * seen[f"n{i}"] * (FIXED_BYTES * 2 + sum(width[c] for c in key)) <= limit
+        for i, key in enumerate(keys)
+    ]

@@ -146,7 +146,7 @@ NAMES = {1: "city", 2: "job", 4: "age"}
 @pytest.mark.parametrize("qis", [[1], [1, 4], [1, 2, 4], [4, 1, 2]])
 @pytest.mark.parametrize("limit", [sizing.BROADCAST_BYTES, 0])
 def test_combination_risk_equals_pairwise_definition(df, monkeypatch, qis, limit):
-    monkeypatch.setattr(sizing.broadcast_if_small, "__defaults__", (limit,))
+    monkeypatch.setattr(sizing.few_combinations, "__defaults__", (limit,))
     rows = [r for r in people() if all(r[c] is not None for c in qis)]
     want = pairwise_scores(rows, qis)
     names = [NAMES[c] for c in qis]
@@ -172,7 +172,9 @@ def test_order_of_quasi_identifiers(df):
     assert abs(total(["job", "city", "age"]) - forward) > 1e-6
 
 
-def test_attribute_risk_equals_pairwise_definition(df):
+@pytest.mark.parametrize("limit", [sizing.BROADCAST_BYTES, 0])
+def test_attribute_risk_equals_pairwise_definition(df, monkeypatch, limit):
+    monkeypatch.setattr(sizing.broadcast_if_small, "__defaults__", (limit,))
     rows = [r for r in people() if r[1] is not None and r[2] is not None]
     got = defaultdict(dict)
     for r in gf.row_attribute_risks(df, "id", ["city", "job"]).collect():

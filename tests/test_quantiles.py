@@ -1,5 +1,7 @@
 """Exact quantiles against numpy, with the passes for large data forced."""
 
+from math import inf
+
 import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -48,12 +50,12 @@ def test_any_values(spark, values):
 
 def test_missing_values_are_left_out(spark):
     df = spark.createDataFrame(
-        [(None, 1.0, 4), (None, float("nan"), 2), (None, 3.0, None)],
-        "empty double, x double, n int",
+        [(None, 1.0, 4, inf), (None, float("nan"), 2, -inf), (None, 3.0, None, inf)],
+        "empty double, x double, n int, i double",
     )
-    found = q.exact_quantiles(df, ["empty", "x", "n"], [0.5], small_rows=0)
-    assert found == {"empty": [None], "x": [2.0], "n": [3.0]}
-    assert q.exact_quantiles(df, ["empty", "x", "n"], [0.5]) == found
+    found = q.exact_quantiles(df, df.columns, [0.5], small_rows=0)
+    assert found == {"empty": [None], "x": [2.0], "n": [3.0], "i": [inf]}
+    assert q.exact_quantiles(df, df.columns, [0.5]) == found
 
 
 def test_approximation_is_within_its_bound(spark):
