@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizing import settled
+
 PREFIX_LENGTH = 4
 BUCKETS_PER_E_FOLD = 32.0
 
@@ -21,11 +24,13 @@ def running_total(
 ) -> DataFrame:
     """Adds ``out`` = inclusive running sum of ``weight`` in value order, per ``by``.
 
-    Sums run inside buckets that follow the order (leading characters of text,
-    logarithmic steps of numbers); the bucket totals are then summed in order.
+    Sums run inside buckets that follow the order (the characters after what all
+    texts begin with, logarithmic steps of numbers); the bucket totals are then
+    summed in order. The value table is settled, as it is read for both.
     """
     by = list(by)
-    prefix = F.coalesce(F.substring(F.col(text), 1, PREFIX_LENGTH), F.lit(""))
+    values = settled(values)
+    prefix = F.coalesce(F.substring(F.col(text), F.lit(1), _cut(values, by, text)), F.lit(""))
     if number is None:
         step, order = F.lit(0.0), [F.col(text)]
     else:
@@ -60,3 +65,20 @@ def running_total(
         .withColumn(out, F.col("__inside") + F.col("__offset"))
         .drop("__step", "__prefix", "__inside", "__offset")
     )
+
+
+def _cut(values: DataFrame, by: Sequence[str], text: str) -> Column:
+    """Length of the common beginning of all texts per ``by``, plus ``PREFIX_LENGTH``."""
+    spans = values.groupBy(*by).agg(F.min(text).alias("first"), F.max(text).alias("last"))
+    lengths = {
+        tuple(row[b] for b in by): len(os.path.commonprefix([row["first"] or "", row["last"] or ""]))
+        for row in spans.collect()
+    }
+    if not by:
+        return F.lit(lengths.get((), 0) + PREFIX_LENGTH)
+    (column,) = by
+    if not lengths:
+        return F.lit(PREFIX_LENGTH)
+    return F.create_map(
+        *[part for (key,), n in lengths.items() for part in (F.lit(key), F.lit(n + PREFIX_LENGTH))]
+    )[F.col(column)]

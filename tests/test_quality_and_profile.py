@@ -121,10 +121,16 @@ def test_running_total_over_buckets(spark):
     df = spark.createDataFrame([("c", str(x), x, 2) for x in numbers], "column string, value string, number double, n int")
     got = {r["number"]: r["t"] for r in running_total(df, "n", "t").collect()}
     assert got == {x: 2 * (i + 1) for i, x in enumerate(sorted(numbers))}
-    texts = ["", "a", "abcd", "abcde", "abcdf", "é", "zz", "abc"]
-    df = spark.createDataFrame([(t, 1) for t in texts], "value string, n int")
-    got = {r["value"]: r["t"] for r in running_total(df, "n", "t", by=[], number=None).collect()}
-    assert got == {t: i + 1 for i, t in enumerate(sorted(texts, key=lambda t: t.encode()))}
+    for texts in (
+        ["", "a", "abcd", "abcde", "abcdf", "é", "zz", "abc"],
+        [f"Customer#{i:09d}" for i in range(300)],
+        ["same", "same 1", "same é", "same 10", "samé"],
+    ):
+        df = spark.createDataFrame([(t, 1) for t in texts], "value string, n int")
+        got = {r["value"]: r["t"] for r in running_total(df, "n", "t", by=[], number=None).collect()}
+        assert got == {t: i + 1 for i, t in enumerate(sorted(texts, key=lambda t: t.encode()))}
+    none = spark.createDataFrame([], "value string, n int")
+    assert running_total(none, "n", "t", by=[], number=None).count() == 0
 
 
 def test_unknown_columns_are_named(spark):
