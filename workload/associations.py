@@ -53,14 +53,14 @@ def customer_texts(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     return c.select(
         F.col("c_nationkey").cast("string").alias("nation"),
-        F.when(F.col("c_custkey") % 11 != 0, F.col("c_mktsegment")).alias("segment"),
+        F.when(F.col("c_acctbal") < 9000, F.col("c_mktsegment")).alias("segment"),
         (F.col("c_acctbal") < 0).cast("string").alias("debtor"),
     )
 
 
 TEXTS = """
 WITH texts AS (SELECT c_nationkey::VARCHAR AS nation,
-                      CASE WHEN c_custkey % 11 <> 0 THEN c_mktsegment END AS segment,
+                      CASE WHEN c_acctbal < 9000 THEN c_mktsegment END AS segment,
                       (c_acctbal < 0)::VARCHAR AS debtor FROM customer)
 """
 
@@ -86,15 +86,15 @@ def correlations(spark, sf_dir):
 def orders_with_gaps(spark, sf_dir):
     return (
         table(spark, sf_dir, "orders")
-        .withColumn("o_totalprice", F.when(F.col("o_orderkey") % 13 != 0, F.col("o_totalprice")))
-        .withColumn("o_orderpriority", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderpriority")))
+        .withColumn("o_orderpriority", F.when(F.col("o_totalprice") > 30000, F.col("o_orderpriority")))
+        .withColumn("o_totalprice", F.when(F.col("o_totalprice") < 400000, F.col("o_totalprice")))
     )
 
 
 ORDER_GAPS = """
 WITH gaps AS (SELECT o_orderkey, o_custkey, o_orderstatus,
-                     CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice END AS o_totalprice,
-                     CASE WHEN o_orderkey % 9 <> 0 THEN o_orderpriority END AS o_orderpriority
+                     CASE WHEN o_totalprice < 400000 THEN o_totalprice END AS o_totalprice,
+                     CASE WHEN o_totalprice > 30000 THEN o_orderpriority END AS o_orderpriority
               FROM orders)
 """
 

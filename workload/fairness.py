@@ -99,13 +99,13 @@ def compare_representation(spark, sf_dir):
 def events_by_user(spark, sf_dir):
     return (
         table(spark, sf_dir, "events")
-        .withColumn("user_id", F.when(F.col("event_id") % 17 != 0, F.col("user_id")))
+        .withColumn("user_id", F.when(F.col("value") >= 2, F.col("user_id")))
         .withColumn("event_type", F.when(F.col("value") < 80, F.col("event_type")))
     )
 
 
 RATES = """
-WITH e AS (SELECT user_id, event_type FROM events WHERE event_id % 17 <> 0 AND value < 80),
+WITH e AS (SELECT user_id, event_type FROM events WHERE value >= 2 AND value < 80),
 g AS (SELECT user_id, count(*) AS total FROM e GROUP BY user_id),
 k AS (SELECT DISTINCT event_type FROM e),
 n AS (SELECT user_id, event_type, count(*) AS n FROM e GROUP BY ALL),

@@ -15,13 +15,13 @@ def customers_with_marks(spark, sf_dir):
     """Some segments unknown ("?"), and whether the account is overdrawn."""
     c = table(spark, sf_dir, "customer")
     return c.withColumn(
-        "c_mktsegment", F.when(F.col("c_custkey") % 11 == 0, "?").otherwise(F.col("c_mktsegment"))
+        "c_mktsegment", F.when(F.col("c_acctbal") >= 9000, "?").otherwise(F.col("c_mktsegment"))
     ).withColumn("debtor", F.col("c_acctbal") < 0)
 
 
 KNOWN = """
 WITH c AS (SELECT c_custkey, c_nationkey, c_mktsegment, c_acctbal < 0 AS debtor FROM customer
-           WHERE c_custkey % 11 <> 0),
+           WHERE c_acctbal < 9000),
 ec AS (SELECT c_nationkey, c_mktsegment, count(*) AS n, count(DISTINCT debtor) AS l
        FROM c GROUP BY c_nationkey, c_mktsegment),
 q AS (SELECT debtor, count(*)::DOUBLE / (SELECT count(*) FROM c) AS q FROM c GROUP BY debtor),
@@ -276,7 +276,7 @@ EPSILON, SEED = 0.5, "7"
 
 def noisy_orders(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    gaps = orders.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderstatus")))
+    gaps = orders.withColumn("o_orderstatus", F.when(F.col("o_totalprice") > 30000, F.col("o_orderstatus")))
     return gf.add_laplace_noise(gaps, ["o_totalprice"], EPSILON, key=["o_orderkey"], seed=SEED)
 
 
@@ -284,7 +284,7 @@ NOISY = f"""
 WITH u AS (SELECT o_orderkey, o_totalprice, o_orderstatus,
                   (('0x' || substr(md5('{SEED}|o_totalprice|' || o_orderkey), 1, 12))::BIGINT + 0.5::DOUBLE)
                     / 281474976710656.0::DOUBLE - 0.5::DOUBLE AS c
-           FROM orders WHERE o_orderkey % 9 <> 0),
+           FROM orders WHERE o_totalprice > 30000),
 noisy AS (SELECT o_orderkey, o_totalprice, o_orderstatus,
                  o_totalprice - 2.0::DOUBLE * sign(c) * ln(1.0::DOUBLE - 2.0::DOUBLE * abs(c)) AS noisy_o_totalprice
           FROM u)

@@ -10,17 +10,18 @@ from .registry import query, rounded, table
 
 
 def events_with_gaps(spark, sf_dir):
+    """The sample tables have no missing values; small values and some props go missing."""
     return (
         table(spark, sf_dir, "events")
-        .withColumn("value", F.when(F.col("event_id") % 7 != 0, F.col("value")))
-        .withColumn("props", F.when(F.col("event_id") % 11 != 0, F.col("props")))
+        .withColumn("value", F.when(F.col("value") >= 3, F.col("value")))
+        .withColumn("props", F.when(F.col("event_type") != "signup", F.col("props")))
     )
 
 
 GAPS = """
 gaps AS (SELECT event_id, ts, user_id, event_type,
-                CASE WHEN event_id % 7 <> 0 THEN value END AS value,
-                CASE WHEN event_id % 11 <> 0 THEN props END AS props
+                CASE WHEN value >= 3 THEN value END AS value,
+                CASE WHEN event_type <> 'signup' THEN props END AS props
          FROM events)"""
 
 

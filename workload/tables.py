@@ -10,8 +10,8 @@ from .registry import new_folder, query, rounded, table
 
 
 @query("csv_missing_tokens", """
-SELECT event_id, user_id, CASE WHEN event_id % 5 <> 0 THEN event_type END AS event_type,
-       CASE WHEN event_id % 7 <> 0 THEN value END AS value
+SELECT event_id, user_id, CASE WHEN value <= 60 THEN event_type END AS event_type,
+       CASE WHEN value >= 2 THEN value END AS value
 FROM events
 """)
 def csv_missing_tokens(spark, sf_dir):
@@ -22,8 +22,8 @@ def csv_missing_tokens(spark, sf_dir):
         e.select(
             "event_id",
             "user_id",
-            F.when(F.col("event_id") % 5 == 0, "n/a").otherwise(F.col("event_type")).alias("event_type"),
-            F.when(F.col("event_id") % 7 == 0, "NULL").otherwise(F.col("value").cast("string")).alias("value"),
+            F.when(F.col("value") > 60, "n/a").otherwise(F.col("event_type")).alias("event_type"),
+            F.when(F.col("value") < 2, "NULL").otherwise(F.col("value").cast("string")).alias("value"),
         ),
         path,
         format="csv",
@@ -83,7 +83,7 @@ def npz_rows(spark, sf_dir):
 
 
 REPORT = """
-WITH gaps AS (SELECT CASE WHEN o_orderkey % 13 <> 0 THEN o_totalprice END AS price, *  FROM orders),
+WITH gaps AS (SELECT CASE WHEN o_totalprice < 400000 THEN o_totalprice END AS price, *  FROM orders),
 ec AS (SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL),
 k AS (SELECT min(n) AS k, max(n) AS hi, avg(n) AS mean, quantile_cont(n::DOUBLE, 0.5) AS median FROM ec),
 e AS (SELECT sum(log2(n)) / sum(n)::DOUBLE AS risk, min(log2(n)) AS lo, max(log2(n)) AS hi,
@@ -114,7 +114,7 @@ SELECT dimension, metric, subject, key, round(value::DOUBLE, 2) AS value, text::
 
 def orders_report(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").withColumn(
-        "o_totalprice", F.when(F.col("o_orderkey") % 13 != 0, F.col("o_totalprice"))
+        "o_totalprice", F.when(F.col("o_totalprice") < 400000, F.col("o_totalprice"))
     )
     qis = ["o_orderstatus", "o_orderpriority"]
     return gf.readiness_report(
