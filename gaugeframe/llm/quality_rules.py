@@ -185,7 +185,7 @@ def learn_rules(
     max_rules: int = 8,
     max_length: int = 3,
     min_precision: float = 0.9,
-    min_cover: int = 5,
+    min_cover: int = 2,
 ) -> list[Rule]:
     """Rules for rejection from ``labelled(bad boolean, grow boolean, <MEASURES>)``.
 
