@@ -10,8 +10,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gaugeframe.llm import line_dedup, mixing, quality_rules
+from gaugeframe.llm import hyperminhash, line_dedup, mixing, packing, quality_rules
 from gaugeframe.llm.storage import written
+from gaugeframe.llm.workload import word_tokenizer
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,15 +26,27 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.drop_repeated_lines(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return hyperminhash.keep_one(docs)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target of their source asks for."""
     return mixing.mix(docs)
 
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in training sequences, with a digest of their tokens."""
+    return packing.digest(packing.pack(docs, word_tokenizer()))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality),
     ("line_dedup", lines),
+    ("near_dedup", near),
     ("mixing", mix),
+    ("packing", pack),
 ]
 
 #: Learned rules and packing are beyond SQL; tests compare with a row-by-row version.

@@ -25,6 +25,11 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[ord(c) for c in SPACES]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_IS_LETTER = np.zeros(256, bool)
+_IS_LETTER[[*range(65, 91), *range(97, 123)]] = True
+#: ASCII punctuation but for the apostrophe, which may belong to letters after it.
+_IS_MARK = np.zeros(256, bool)
+_IS_MARK[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
 _RANDOM = np.random.default_rng(20240501)
 _BYTE = _RANDOM.integers(1, 2**64, 256, np.uint64, endpoint=False) | np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -72,9 +77,14 @@ def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 
 
 class Words:
-    """Words of some texts: byte ranges, and for each text the range of its words."""
+    """Words of some texts: byte ranges, and for each text the range of its words.
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = False):
+    ``marks`` cuts words also between ASCII letters and ASCII punctuation.
+    """
+
+    def __init__(
+        self, data: np.ndarray, offsets: np.ndarray, lower: bool = False, marks: bool = False
+    ):
         lo, hi = int(offsets[0]), int(offsets[-1])
         data = data[lo:hi]
         self.data = _LOWER[data] if lower else data
@@ -88,6 +98,11 @@ class Words:
         begins[edges] = inside[edges]
         edges = edges[edges > 0]
         stops[edges - 1] = inside[edges - 1]
+        if marks:
+            letter, mark = _IS_LETTER[data], _IS_MARK[data]
+            cut = (letter[1:] & mark[:-1]) | (mark[1:] & letter[:-1])
+            begins[1:] |= cut
+            stops[:-1] |= cut
         self.starts = np.flatnonzero(begins)
         self.ends = np.flatnonzero(stops) + 1
         #: Words of text i are ``bounds[i]:bounds[i + 1]``.
@@ -108,8 +123,7 @@ class Words:
     def array(self) -> pa.Array:
         """The words as an Arrow array of strings."""
         lengths = self.ends - self.starts
-        keep = np.repeat(self.starts - np.concatenate(([0], np.cumsum(lengths)[:-1])), lengths)
-        bytes_ = self.data[keep + np.arange(len(keep))] if len(keep) else self.data[:0]
+        bytes_ = self.data[spread(self.starts, lengths)] if len(lengths) else self.data[:0]
         ends = np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)
         return pa.StringArray.from_buffers(len(lengths), pa.py_buffer(ends), pa.py_buffer(bytes_))
 
@@ -138,11 +152,17 @@ def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int
 
 
 def word_chunks(
-    texts: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES
+    texts: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES, marks: bool = False
 ) -> Iterator[tuple[int, int, Words]]:
     data, offsets = text_buffers(texts)
     for i, j in chunks(texts, limit):
-        yield i, j, Words(data, offsets[i : j + 1], lower)
+        yield i, j, Words(data, offsets[i : j + 1], lower, marks)
+
+
+def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places ``start, start + 1, ...`` of all ranges, one range after the other."""
+    shift = starts - np.concatenate(([0], np.cumsum(lengths)[:-1])).astype(starts.dtype)
+    return np.repeat(shift, lengths) + np.arange(int(lengths.sum()))
 
 
 def shingle_hashes(words: Words, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

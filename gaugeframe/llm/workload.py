@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, personal_data, quality_rules
+from . import hyperminhash, line_dedup, mixing, packing, personal_data, quality_rules
 from .storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_tokenizer() -> str:
+    """The vocabulary file of the public word tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 @query(
     "op1_mix_sources",
     r"""
@@ -102,6 +109,23 @@ def op2_quality_rules(spark, sf_dir):
     )
 
 
+@query("op3_cost_packing")
+def op3_cost_packing(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return packing.digest(packing.pack(docs, word_tokenizer()))
+
+
+@query("op4_hyperminhash")
+def op4_hyperminhash(spark, sf_dir):
+    found = hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_shingles",
+        "component_id",
+        F.col("id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
+
 @query(
     "op7_bloom_lines",
     r"""
