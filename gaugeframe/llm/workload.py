@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import hyperminhash, line_dedup, mixing, packing, personal_data, quality_rules
+from . import (
+    hyperminhash,
+    language_pieces,
+    line_dedup,
+    mixing,
+    packing,
+    personal_data,
+    quality_rules,
+)
 from .storage import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +36,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def remainder(id_col: str, of: int) -> Column:
+    """CRC-32 of the id as text, modulo ``of``; a null id counts as an empty text."""
+    return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % of
+
+
 def word_tokenizer() -> str:
     """The vocabulary file of the public word tokenizer."""
     import public_tokenizers
@@ -103,7 +116,7 @@ def op2_quality_rules(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     rows, _ = quality_rules.judged_ids(docs, labels)
     return rows.select(
-        "doc.doc_id",
+        F.col("id").alias("doc_id"),
         *[F.col(f"q.{name}").alias(name) for name in (*quality_rules.COUNTS, "base_failed")],
         "kept",
     )
@@ -160,6 +173,24 @@ def op7_bloom_lines(spark, sf_dir):
     )
 
 
+@query("op9_language_pieces")
+def op9_language_pieces(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language_pieces.predict_language(
+        docs,
+        docs.where(remainder("doc_id", 4) != 2),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+    return found.select(
+        F.col("id").alias("doc_id"),
+        (remainder("id", 4) == 2).alias("held_out"),
+        F.col("lang").alias("lang_pred"),
+        "score",
+    )
+
+
 @query("op10_personal_data")
 def op10_personal_data(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
