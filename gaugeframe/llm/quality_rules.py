@@ -109,7 +109,8 @@ def counted(text: Column) -> Column:
             .alias("n_echoes"),
         )
 
-    return let(F.filter(F.split(text, SPACE_RUN), lambda w: w != ""), of)
+    bare = F.btrim(text, F.lit(SPACES))
+    return let(F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_RUN)), of)
 
 
 def measured(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -289,43 +290,47 @@ def labelled_rows(
     )
 
 
-def judged(
-    docs: DataFrame,
+def learned(
+    narrow: DataFrame,
     labels: DataFrame,
     *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
     label_id_col: str = "doc_id",
     label_col: str = "quality",
     max_labelled: int = 30_000,
     **options,
-) -> tuple[DataFrame, list[Rule]]:
-    """``doc``, ``q`` and ``kept`` of each row, and the learned rules.
-
-    The measures are written once and serve learning and judging; rules are fitted on a
-    sample of about ``max_labelled`` labelled rows, chosen by hash.
-    """
-    rows = measured(docs, text_col=text_col)
-    narrow = written(rows.select(F.col("doc")[id_col].alias("id"), "q"))
+) -> list[Rule]:
+    """Rules for ``narrow(id, q)``, fitted on about ``max_labelled`` labelled rows chosen by hash."""
     known = (
         labels.select(
-            labels[label_id_col].alias("id"), (labels[label_col] == 0).alias("bad"), label_col
+            labels[label_id_col].alias("id"), labels[label_col].cast("double").alias("label")
         )
-        .where(F.col(label_col).isin(0, 1) & F.col("id").isNotNull())
-        .select("id", "bad")
+        .where("label in (0, 1) and id is not null")
+        .select("id", (F.col("label") == 0).alias("bad"))
     )
-    rules = learn_rules(labelled_rows(narrow, known, max_labelled), **options)
-    kept = ~F.col("q.base_failed") & verdict(rules)
-    return rows.withColumn("kept", kept), rules
+    return learn_rules(labelled_rows(narrow, known, max_labelled), **options)
+
 
+def kept(rules: Sequence[Rule]) -> Column:
+    """Whether a row with the measures ``q`` passes base and rules."""
+    return ~F.col("q.base_failed") & verdict(rules)
 
-def judged_ids(docs: DataFrame, labels: DataFrame, **options) -> tuple[DataFrame, list[Rule]]:
-    """Like :func:`judged` with the id alone for ``doc``."""
-    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    return judged(docs.select(id_col, text_col), labels, **options)
+
+def judged_ids(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options
+) -> tuple[DataFrame, list[Rule]]:
+    """``id, q, kept`` of each row, and the rules. Texts are read once."""
+    rows = measured(docs.select(id_col, text_col), text_col=text_col)
+    narrow = written(rows.select(F.col("doc")[id_col].alias("id"), "q"))
+    rules = learned(narrow, labels, **options)
+    return narrow.withColumn("kept", kept(rules)), rules
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that pass base and rules."""
-    rows, _ = judged(docs, labels, **options)
-    return rows.where("kept").select("doc.*")
+def keep_good(
+    docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options
+) -> DataFrame:
+    """The rows of ``docs`` that pass base and rules.
+
+    Rows are measured once to learn and once to judge; neither shuffles a text.
+    """
+    _, rules = judged_ids(docs, labels, id_col=id_col, text_col=text_col, **options)
+    return measured(docs, text_col=text_col).where(kept(rules)).select("doc.*")
