@@ -190,41 +190,42 @@ def learn_rules(
 ) -> list[Rule]:
     """Rules for rejection from ``labelled(bad boolean, grow boolean, <MEASURES>)``.
 
-    Thresholds are quantiles of the growing rows. A rule is kept if at least
+    Thresholds are quantiles of the growing rows that no earlier rule covers, of either
+    kind, so that a rare kind has thresholds too. A rule is kept if at least
     ``min_precision`` of the held-out rows it covers are bad, and ``min_cover`` are.
     """
     at = [(i + 0.5) / cuts for i in range(cuts)]
-    # quantiles of either kind, so that a rare kind has thresholds too
-    row = labelled.where("grow").agg(
-        *[
-            F.percentile_approx(F.when(F.col("bad") == kind, F.col(m)), at, 2000).alias(
-                f"{m}_{kind}"
-            )
-            for m in MEASURES
-            for kind in (True, False)
-        ]
-    ).first()
-    points = {
-        m: sorted({*(row[f"{m}_True"] or ()), *(row[f"{m}_False"] or ())}) for m in MEASURES
-    }
-    if not any(points.values()) or any(row[f"{MEASURES[0]}_{k}"] is None for k in (True, False)):
-        return []
-
-    def below(x: Column):
-        return lambda v: v < x
-
-    bins = F.array(
-        *[
-            F.size(F.filter(F.array(*[F.lit(v) for v in points[m]]), below(F.col(m))))
-            for m in MEASURES
-        ]
-    )
-    rows = written(labelled.select("bad", "grow", *MEASURES, bins.alias("bins")))
+    rows = written(labelled.select("bad", "grow", *MEASURES))
+
+    def points_of(rest: Column) -> list[list[float]] | None:
+        row = rows.where(F.col("grow") & rest).agg(
+            *[
+                F.percentile_approx(F.when(F.col("bad") == kind, F.col(m)), at, 2000).alias(
+                    f"{m}_{kind}"
+                )
+                for m in MEASURES
+                for kind in (True, False)
+            ]
+        ).first()
+        if any(row[f"{MEASURES[0]}_{kind}"] is None for kind in (True, False)):
+            return None
+        return [sorted({*row[f"{m}_True"], *row[f"{m}_False"]}) for m in MEASURES]
 
-    def best(rest: Column, rule: Rule) -> Threshold | None:
+    def bins_of(points: list[list[float]]) -> Column:
+        def below(x: Column):
+            return lambda v: v < x
+
+        return F.array(
+            *[
+                F.size(F.filter(F.array(*[F.lit(v) for v in values]), below(F.col(m))))
+                for m, values in zip(MEASURES, points, strict=True)
+            ]
+        )
+
+    def best(rest: Column, points: list[list[float]], rule: Rule) -> Threshold | None:
         part = rows.where(F.col("grow") & rest & rule_column(rule))
         found = (
-            part.select("bad", F.posexplode("bins").alias("m", "bin"))
+            part.select("bad", F.posexplode(bins_of(points)).alias("m", "bin"))
             .groupBy("m", "bin")
             .agg(F.sum(F.col("bad").cast("long")).alias("p"), F.count("*").alias("all"))
             .collect()
@@ -233,10 +234,10 @@ def learn_rules(
         for r in found:
             seen[r["m"]][r["bin"]] = (r["p"], r["all"] - r["p"])
         top, score = None, 1e-9
-        for m, by_bin in zip(MEASURES, seen, strict=True):
+        for m, by_bin, values in zip(MEASURES, seen, points, strict=True):
             p0, n0 = (sum(v[k] for v in by_bin.values()) for k in (0, 1))
             p = n = 0
-            for i, value in enumerate(points[m]):
+            for i, value in enumerate(values):
                 # a value in bin i is above exactly i of the points
                 p, n = (x + y for x, y in zip((p, n), by_bin.get(i, (0, 0)), strict=True))
                 for above, (a, b) in ((False, (p, n)), (True, (p0 - p, n0 - n))):
@@ -249,8 +250,11 @@ def learn_rules(
         rest = F.lit(True)
         for rule in rules:
             rest = rest & ~rule_column(rule)
+        points = points_of(rest)
+        if points is None:
+            break
         grown: Rule = ()
-        while len(grown) < max_length and (step := best(rest, grown)) is not None:
+        while len(grown) < max_length and (step := best(rest, points, grown)) is not None:
             grown = (*grown, step)
         if not grown:
             break
