@@ -186,13 +186,14 @@ def learn_rules(
     max_rules: int = 8,
     max_length: int = 3,
     min_precision: float = 0.9,
-    min_cover: int = 2,
+    min_cover: int = 4,
 ) -> list[Rule]:
     """Rules for rejection from ``labelled(bad boolean, grow boolean, <MEASURES>)``.
 
     Thresholds are quantiles of the growing rows that no earlier rule covers, of either
     kind, so that a rare kind has thresholds too. A rule is kept if at least
-    ``min_precision`` of the held-out rows it covers are bad, and ``min_cover`` are.
+    ``min_precision`` of the held-out rows it covers are bad, and it covers ``min_cover``
+    bad rows in all.
     """
     at = [(i + 0.5) / cuts for i in range(cuts)]
     rows = written(labelled.select("bad", "grow", *MEASURES))
@@ -259,17 +260,21 @@ def learn_rules(
         if not grown:
             break
         shorter = [grown[:k] for k in range(1, len(grown) + 1)]
-        held = rows.where(~F.col("grow") & rest).agg(
+        held = rows.where(rest).agg(
             *[
-                F.count(F.when(rule_column(r) & (F.col("bad") == kind), 1)).alias(f"{i}_{kind}")
+                F.count(F.when(rule_column(r) & F.expr(who), 1)).alias(f"{i}_{name}")
                 for i, r in enumerate(shorter)
-                for kind in (True, False)
+                for name, who in (
+                    ("True", "bad and not grow"),
+                    ("False", "not bad and not grow"),
+                    ("all", "bad"),
+                )
             ]
         ).first()
         worth = [(held[f"{i}_True"], held[f"{i}_False"]) for i in range(len(shorter))]
         value, at_ = max(((p - n) / max(p + n, 1), -i) for i, (p, n) in enumerate(worth))
         p, n = worth[-at_]
-        if p < min_cover or p < min_precision * (p + n):
+        if not p or held[f"{-at_}_all"] < min_cover or p < min_precision * (p + n):
             break
         rules.append(shorter[-at_])
     return rules
