@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     hyperminhash,
+    kneser_ney,
     language_pieces,
     line_dedup,
     mixing,
@@ -173,6 +174,21 @@ def op7_bloom_lines(spark, sf_dir):
     )
 
 
+@query("op8_kneser_ney")
+def op8_kneser_ney(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = kneser_ney.train(docs.where(remainder("doc_id", 7) != 2))
+    return kneser_ney.score(docs, model).select(
+        F.col("id").alias("doc_id"),
+        (remainder("id", 7) == 2).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score",
+        "score",
+    )
+
+
 @query("op9_language_pieces")
 def op9_language_pieces(spark, sf_dir):
     import public_tokenizers
