@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import (
     hyperminhash,
+    invertible_sketch,
     kneser_ney,
     language_pieces,
     line_dedup,
@@ -140,6 +141,21 @@ def op4_hyperminhash(spark, sf_dir):
     )
 
 
+@query("op6_invertible_sketch")
+def op6_invertible_sketch(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return invertible_sketch.fingerprints(docs).select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint",
+        "edited_fingerprint",
+        "near_edited",
+        "near_next",
+        "n_changed",
+    )
+
+
 @query(
     "op7_bloom_lines",
     r"""
