@@ -33,14 +33,16 @@ from .words import spread, word_chunks
 
 #: Cost of a pair of tokens against that of one token, for models about 1,024 wide.
 ATTENTION = 1 / 6144
-CACHED_WORDS = 150_000
+CACHED_WORDS = 250_000
+WORD_END = "</w>"
 
 
 class WordTokens:
     """Ids of texts by ``tokenizers``, with the ids of words kept from chunk to chunk.
 
     For tokenizers that read case alike and cut at white space and between letters and
-    punctuation.
+    punctuation. New words of letters are read many at a time: the last id of each has a
+    mark of its own (``WORD_END``) in the vocabulary.
     """
 
     def __init__(self, path: str):
@@ -48,19 +50,51 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, np.ndarray] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.is_last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.is_last[[i for word, i in vocabulary.items() if word.endswith(WORD_END)]] = True
+        # words used since the last renewal, and those used before
+        self.recent: dict[str, np.ndarray] = {}
+        self.earlier: dict[str, np.ndarray] = {}
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, np.uint32) for e in found]
+
+    def _together(self, words: list[str]) -> list[np.ndarray] | None:
+        """Ids of words that are one unit each; None if some are not."""
+        (ids,) = self._encoded([" ".join(words)])
+        ends = np.flatnonzero(self.is_last[ids]) + 1
+        if len(ends) != len(words) or ends[-1] != len(ids):
+            return None
+        return np.split(ids, ends[:-1])
+
+    def _new(self, words: list[str]) -> dict[str, np.ndarray]:
+        whole = [w for w in words if w.isalpha() and w == w.lower()]
+        out: dict[str, np.ndarray] = {}
+        for k in range(0, len(whole), 1000):
+            part = whole[k : k + 1000]
+            if (found := self._together(part)) is not None:
+                out.update(zip(part, found, strict=True))
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self._encoded(rest), strict=True))
+        return out
 
     def _words(self, words: list[str]) -> list[np.ndarray]:
-        known = self.known
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = words
-        for w, e in zip(
-            new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True
-        ):
-            known[w] = np.array(e.ids, np.uint32)
-        return [known[w] for w in words]
+        out = list(map(self.recent.get, words))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        new = []
+        for i in missing:
+            if (ids := self.earlier.get(words[i])) is None:
+                new.append(words[i])
+            else:
+                self.recent[words[i]] = ids
+        self.recent.update(self._new(new))
+        for i in missing:
+            out[i] = self.recent[words[i]]
+        if len(self.recent) > CACHED_WORDS:
+            self.earlier, self.recent = self.recent, {}
+        return out
 
     def texts(self, texts: pa.Array) -> Iterator[np.ndarray]:
         for _, _, words in word_chunks(texts, lower=True, limit=1 << 21, marks=True):
