@@ -17,6 +17,7 @@ from . import (
     packing,
     personal_data,
     quality_rules,
+    substring_dedup,
 )
 from .storage import written
 
@@ -141,6 +142,17 @@ def op4_hyperminhash(spark, sf_dir):
     )
 
 
+@query("op5_fm_index")
+def op5_fm_index(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeated(docs).select(
+        F.col("id").alias("doc_id"),
+        "n_words",
+        "n_removed",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op6_invertible_sketch")
 def op6_invertible_sketch(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
