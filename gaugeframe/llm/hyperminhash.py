@@ -9,17 +9,18 @@ estimates the Jaccard similarity of a pair; pairs that may reach the threshold a
 compared on their full shingle sets.
 
 Texts with equal sets are one class first, so copies cost one row each. Within a band's
-bucket pairs are proposed in rounds: all with one member, chosen anew each round, then all
-that are not yet connected. Only pairs across components are ever compared, so a large
-group of copies costs about one comparison for each member, and every link between two
-components is found.
+bucket pairs are proposed in rounds, all with one member, chosen anew each round. Only pairs
+across components are ever compared, so a large group of copies costs about one comparison
+for each member. What buckets then still hold in several components is compared in full:
+small buckets as pairs, crowded ones in blocks, where a task takes two blocks of texts and
+lets out only links. So every link between two components that a band proposes is found.
 
 Two texts at the threshold share no band with a chance of (1 - 0.75**4)**32, five in a
 million; beyond it far less.
 
 Defined cases: a null text, or one without words, has an empty set and stays alone; a text
 of fewer words than a shingle is one shingle; rows with the same id share its component; a
-null id with a text that others have joins them, and stays alone else; an empty table
+null id is linked with rows of equal sets only; an empty table
 gives an empty table; other columns, whatever their names, pass through.
 """
 
@@ -36,13 +37,17 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .storage import written
-from .words import mixed, shingle_hashes, word_chunks
+from .words import mixed, shingle_hashes, spread, word_chunks
 
 BUCKET_BITS = 7
 REGISTERS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 BAND = 4
 STAR_ROUNDS = 3
+#: A bucket of more members than this is settled in blocks, of so many rows and bytes of text.
+CROWD = 64
+BLOCK_ROWS = 256
+BLOCK_BYTES = 1 << 22
 #: Standard errors below the threshold at which an estimate rules a pair out.
 MARGIN = 5.5
 _FIRST = (np.arange(REGISTERS, dtype=np.uint64)) << np.uint64(64 - BUCKET_BITS)
@@ -161,8 +166,8 @@ class _Likely:
             estimate = (equal - chance) / (1 - chance)
             t = self.threshold
             # short sets have fewer distinct registers than buckets
-            spread = np.sqrt(t * (1 - t) / np.minimum(REGISTERS, np.maximum(*sizes)))
-            keep = pa.array(estimate >= t - MARGIN * spread)
+            error = np.sqrt(t * (1 - t) / np.minimum(REGISTERS, np.maximum(*sizes)))
+            keep = pa.array(estimate >= t - MARGIN * error)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(k).filter(keep) for k in (0, 1)], names=["a", "b"]
             )
@@ -193,6 +198,99 @@ class _Linked:
             )
 
 
+def _block_links(rows: list[tuple], size: int, percent: int) -> Iterator[tuple]:
+    """Linked pairs of different components among ``rows (first, second, id, c, text)``.
+
+    Pairs are those of a row marked ``first`` with one marked ``second``.
+    """
+    sets = list(shingle_sets(pa.array([r[4] for r in rows], pa.string()), size))
+    second = [k for k, r in enumerate(rows) if r[1]]
+    lengths = np.array([len(sets[k]) for k in second])
+    hashes = np.concatenate([sets[k] for k in second])
+    owner = np.repeat(np.arange(len(second)), lengths)
+    order = np.argsort(hashes, kind="stable")
+    hashes, owner = hashes[order], owner[order]
+    for k, row in enumerate(rows):
+        if not row[0]:
+            continue
+        low, high = (np.searchsorted(hashes, sets[k], side) for side in ("left", "right"))
+        both = np.bincount(owner[spread(low, high - low)], minlength=len(second))
+        linked = 100 * both >= percent * (len(sets[k]) + lengths - both)
+        for j in np.flatnonzero(linked):
+            other = rows[second[j]]
+            if other[3] != row[3]:
+                yield min(row[2], other[2]), max(row[2], other[2])
+
+
+class _Blocks:
+    """Linked pairs of all blocks; rows ``(block, first, second, id, c, text)`` come sorted by block."""
+
+    def __init__(self, size: int, percent: int, kind: pa.DataType):
+        self.size, self.percent, self.kind = size, percent, kind
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if row[0] != block:
+                    yield from self._found(held)
+                    block, held = row[0], []
+                held.append(row[1:])
+        yield from self._found(held)
+
+    def _found(self, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if any(r[0] for r in rows) and any(r[1] for r in rows):
+            pairs = sorted(set(_block_links(rows, self.size, self.percent)))
+            if pairs:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, self.kind) for x in zip(*pairs, strict=True)], names=["a", "b"]
+                )
+
+
+def _crowds(members: DataFrame, texts: DataFrame, *, size: int, percent: int, kind: str) -> DataFrame:
+    """``a, b``: all links across components in crowded buckets ``members(key, id, c)``.
+
+    Documents whose crowded buckets overlap are one crowd. A crowd is cut into blocks of
+    bounded size, and each pair of blocks is compared within one task, on full sets; only
+    links leave it.
+    """
+    heads = members.groupBy("key").agg(F.min("id").alias("a"))
+    edges = members.join(heads, "key").select("a", F.col("id").alias("b"))
+    crowd = components(edges)
+    rows = written(
+        texts.join(members.select("id", "c").distinct(), "id")
+        .join(crowd.select("id", F.col("c").alias("crowd")), "id")
+        .select("crowd", "id", "c", "text")
+    )
+    sizes = rows.groupBy("crowd").agg(
+        F.greatest(
+            F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("text")) / BLOCK_BYTES)
+        ).alias("blocks")
+    )
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    other = F.col("other")
+    block = F.concat_ws("/", "crowd", F.least("own", other), F.greatest("own", other))
+    dealt = (
+        rows.join(sizes, "crowd")
+        .withColumn("own", own)
+        .select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+        .select(
+            block.alias("block"),
+            (F.col("own") <= other).alias("first"),
+            (F.col("own") >= other).alias("second"),
+            "id",
+            "c",
+            "text",
+        )
+    )
+    id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+    return (
+        dealt.repartition("block")
+        .sortWithinPartitions("block")
+        .mapInArrow(_Blocks(size, percent, id_type), f"a {kind}, b {kind}")
+    )
+
+
 def _labels(members: DataFrame, known: DataFrame | None) -> DataFrame:
     if known is None:
         return members.withColumn("c", F.col("id"))
@@ -229,12 +327,28 @@ def linked_components(
             pick = F.struct(F.xxhash64(F.lit(turn), "key", "id"), "id", "c")
             chosen = labelled.groupBy("key").agg(F.min(pick).alias("p"))
             chosen = chosen.select("key", F.col("p.id").alias("id0"), F.col("p.c").alias("c0"))
+            across = labelled.join(chosen, "key").where("c <> c0")
+            pairs = across.select(
+                F.least("id", "id0").alias("a"), F.greatest("id", "id0").alias("b")
+            )
         else:
-            several = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-            labelled = labelled.join(several.where("lo < hi").select("key"), "key")
-            chosen = labelled.select("key", F.col("id").alias("id0"), F.col("c").alias("c0"))
-        across = labelled.join(chosen, "key").where("c <> c0")
-        pairs = across.select(F.least("id", "id0").alias("a"), F.greatest("id", "id0").alias("b"))
+            # what is left: pairs of small buckets as rows, crowded ones within tasks
+            several = labelled.groupBy("key").agg(
+                F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("k")
+            )
+            several = several.where("lo < hi").select("key", (F.col("k") > CROWD).alias("crowd"))
+            rest = written(labelled.join(several, "key"))
+            crowded = written(
+                _crowds(
+                    rest.where("crowd"), texts, size=size, percent=percent, kind=kind
+                )
+            )
+            few = rest.where("not crowd").select("key", "id", "c")
+            other = few.select("key", F.col("id").alias("id0"), F.col("c").alias("c0"))
+            across = few.join(other, "key").where("c < c0")
+            pairs = across.select(
+                F.least("id", "id0").alias("a"), F.greatest("id", "id0").alias("b")
+            )
         pairs = pairs.distinct().join(tested, ["a", "b"], "left_anti")
         a, b = (
             sketches.select(
@@ -258,6 +372,8 @@ def linked_components(
             .select("a", "b", "ta", "tb")
             .mapInArrow(_Linked(size, percent), f"a {kind}, b {kind}")
         )
+        if turn == star_rounds:
+            links = links.unionByName(crowded)
         tested = tested.unionByName(likely)
         stars = links if known is None else links.unionByName(
             known.select(F.col("c").alias("a"), F.col("id").alias("b"))

@@ -191,7 +191,7 @@ class _Search:
                 part = list(zip(rows[2][a:b], rows[3][a:b], rows[4][a:b], strict=True))
                 if rows[1][a]:
                     indexed += part
-                else:
+                elif indexed or index is not None:  # an empty index finds nothing
                     if index is None:
                         index, found = self._built(indexed)
                         indexed = []
