@@ -58,6 +58,7 @@ from .operators.relevance import (
     label_codes,
     label_encode,
     one_hot,
+    one_hot_long,
 )
 from .report import readiness_report, tidy
 from .sources.missing import normalize_missing

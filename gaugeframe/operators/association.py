@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import as_text, n_log_n, pearson, ref
+from ..functions.expressions import as_text, n_log_n, ref
 from ..plans.checks import (
     categorical_features,
     column_list,
@@ -24,34 +23,70 @@ from ..plans.rows import number
 def pearson_matrix(
     df: DataFrame, columns: Sequence[str] | None = None, diagonal: bool = False
 ) -> DataFrame:
-    """``(kind, col_a, col_b, score)`` over pairwise-complete rows, in one aggregate.
+    """``(kind, col_a, col_b, score)`` over pairwise-complete rows.
 
     NULL for constant columns. ``diagonal`` adds the cells a heat map needs.
+    Tasks sum products of all columns as matrices, one row for each pair and
+    task is shuffled, so hundreds of columns are as one plan of fixed size.
     """
     columns = column_list(columns, numeric_features(df))
     require_columns(df, columns, "numeric column")
-    x = {c: number(df, c) for c in columns}
-    pairs = list(combinations(columns, 2))
-    pairs += [(c, c) for c in columns] if diagonal else []
-    if not pairs:
+    if len(columns) < 2 and not (columns and diagonal):
         raise ValueError("correlation needs at least two numeric columns")
-    scores = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), pearson(x[a], x[b]).alias("score"))
-        for a, b in pairs
-    ]
-    one_way = df.agg(F.array(*scores).alias("scores")).select(F.inline("scores"))
-    both_ways = F.when(
-        F.col("a") != F.col("b"),
-        F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))),
-    ).otherwise(F.array(F.struct("a", "b")))
-    return one_way.select(F.explode(both_ways).alias("p"), "score").select(
+    # values around zero, so that no digits are lost in the sums
+    means = df.agg(F.array(*[F.avg(number(df, c)) for c in columns]).alias("m")).first()["m"]
+    shifted = F.array(*[number(df, c) - F.lit(m) for c, m in zip(columns, means, strict=True)])
+    sums = (
+        df.select(shifted.alias("x"))
+        .mapInArrow(_pair_sums, "i int, j int, n double, x double, y double, xx double, yy double, xy double")
+        .groupBy("i", "j")
+        .agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    )
+    spread_x = F.col("n") * F.col("xx") - F.col("x") * F.col("x")
+    spread_y = F.col("n") * F.col("yy") - F.col("y") * F.col("y")
+
+    def some(spread: Column, squares: str) -> Column:
+        # what is left of a constant by rounding is no spread
+        return F.when(spread > F.col("n") * F.col(squares) * 1e-12, spread)
+
+    score = (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / (
+        F.sqrt(some(spread_x, "xx")) * F.sqrt(some(spread_y, "yy"))
+    )
+    names = F.array(*[F.lit(c) for c in columns])
+    wanted = (F.col("i") != F.col("j")) | F.lit(diagonal)
+    return sums.where(wanted).select(
         F.lit("pearson").alias("kind"),
-        F.col("p.a").alias("col_a"),
-        F.col("p.b").alias("col_b"),
-        "score",
+        F.get(names, F.col("i")).alias("col_a"),
+        F.get(names, F.col("j")).alias("col_b"),
+        score.alias("score"),
     )
 
 
+def _pair_sums(batches):
+    """Sums over the rows of a task that have both columns of a pair."""
+    import numpy as np
+    import pyarrow as pa
+
+    total = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+        for rows in np.array_split(values.reshape(batch.num_rows, -1), -(-batch.num_rows // 1024)):
+            has = (~np.isnan(rows)).astype(float)
+            x = np.nan_to_num(rows)
+            square = x * x
+            found = (has.T @ has, x.T @ has, has.T @ x, square.T @ has, has.T @ square, x.T @ x)
+            total = found if total is None else [a + b for a, b in zip(total, found, strict=True)]
+    if total is not None:
+        i, j = np.indices(total[0].shape)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(k.ravel().astype(np.int32)) for k in (i, j)]
+            + [pa.array(np.asarray(t).ravel()) for t in total],
+            names=["i", "j", "n", "x", "y", "xx", "yy", "xy"],
+        )
+
+
 def theil_u_matrix(
     df: DataFrame, columns: Sequence[str] | None = None, diagonal: bool = False
 ) -> DataFrame:

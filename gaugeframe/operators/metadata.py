@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 
 from ..plans.checks import require_columns
 
-MAX_DEPTH = 8
-
 # The fields of each principle for DCAT documents, in order.
 DCAT_FIELDS = {
     "Findable": ("identifier", "title", "description", "keyword", "theme", "landingPage"),
@@ -44,13 +42,14 @@ DATACITE_FIELDS = {
 }
 
 
-def flatten_documents(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def flatten_documents(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``(doc_id, ord, key, value)``: the leaves of every document, in its order.
 
     Keys are joined by ``_`` and list items numbered from 1; items of a list that
     are lists themselves stay one leaf, empty containers have none. If two paths
-    give one key, the first place and the last value count. Containers nested
-    deeper than ``max_depth`` are an error.
+    give one key, the first place and the last value count. The depth is measured
+    first, in one narrow pass, unless ``max_depth`` gives it; containers below a
+    given depth are an error.
     """
     # the outer form: else the optimizer evaluates the array twice, for a filter on its size
     return (
@@ -61,9 +60,31 @@ def flatten_documents(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     )
 
 
-def _with_leaves(docs: DataFrame, max_depth: int) -> DataFrame:
+def _depth(docs: DataFrame) -> int:
+    """Levels of containers in the deepest valid document.
+
+    Without its texts a document is brackets, whose running sum is the level.
+    """
+    bare = F.regexp_replace("doc", r'"(?:[^"\\\\]|\\\\.)*"', "")
+    marks = F.translate(F.regexp_replace(bare, r"[^\[\]{}]", ""), "{}", "[]")
+    steps = F.transform(F.split(marks, ""), lambda c: F.when(c == "[", 1).when(c == "]", -1).otherwise(0))
+    top = F.aggregate(
+        steps,
+        F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
+        lambda a, x: F.struct(
+            (a["now"] + x).alias("now"), F.greatest(a["top"], a["now"] + x).alias("top")
+        ),
+        lambda a: a["top"],
+    )
+    valid = F.try_parse_json("doc").isNotNull()
+    return docs.agg(F.max(F.when(valid, top)).alias("top")).first()["top"] or 1
+
+
+def _with_leaves(docs: DataFrame, max_depth: int | None) -> DataFrame:
     """``(doc_id, leaves)``: all leaves of a document as one array, without a shuffle."""
     require_columns(docs, ["doc_id", "doc"], "document column")
+    if max_depth is None:
+        max_depth = _depth(docs)
     root = F.struct(
         F.lit(None).cast("string").alias("key"),
         F.col("doc").alias("value"),
@@ -141,7 +162,7 @@ def _children(node: Column) -> Column:
     )
 
 
-def dcat_checks(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def dcat_checks(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``(doc_id, principle, field, matched_key, value, passed)``: 26 rows per document.
 
     Fields claim keys in order; each takes the first free key that equals it, with
@@ -175,7 +196,7 @@ def dcat_checks(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     )
 
 
-def other_keys(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def other_keys(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``(doc_id, key, value)``: the leaves that no DCAT field claims."""
     _, uses = _dcat_slots()
     taken = F.flatten(
@@ -200,7 +221,7 @@ def other_keys(docs: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     )
 
 
-def _with_claims(docs: DataFrame, max_depth: int) -> DataFrame:
+def _with_claims(docs: DataFrame, max_depth: int | None) -> DataFrame:
     """Adds ``claims``: for every DCAT field, the leaves that match it, in order."""
     _, uses = _dcat_slots()
     matched = F.transform(

@@ -15,7 +15,7 @@ from ..plans.checks import (
     numeric_features,
     require_columns,
 )
-from ..plans.counts import distinct_up_to
+from ..plans.counts import distinct_counts
 from ..plans.quantiles import quantiles
 from ..plans.rows import number
 
@@ -51,14 +51,11 @@ def feature_types(df: DataFrame) -> DataFrame:
 
 
 def class_candidates(df: DataFrame, limit: int = CLASS_CANDIDATE_LIMIT) -> DataFrame:
-    """``(column, n_distinct, is_class_candidate)``: columns fit to be a class label.
-
-    ``n_distinct`` is NULL for columns with more than ``limit`` values.
-    """
+    """``(column, n_distinct, is_class_candidate)``: columns with few enough values for a label."""
     columns = numeric_features(df) + categorical_features(df)
     require_columns(df, columns, "feature")
-    return distinct_up_to(df, columns, limit).select(
-        "column", "n_distinct", F.col("n_distinct").isNotNull().alias("is_class_candidate")
+    return distinct_counts(df, columns).select(
+        "column", "n_distinct", (F.col("n_distinct") <= limit).alias("is_class_candidate")
     )
 
 

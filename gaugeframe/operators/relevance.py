@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.expressions import as_text, pearson, ref
 from ..plans.checks import (
@@ -19,7 +20,6 @@ from ..plans.rows import number
 from ..plans.sizing import broadcast_if_small
 
 MISSING_LABEL = "Missing"
-MAX_ONE_HOT = 1_000
 
 
 def impute_categorical(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -38,26 +38,54 @@ def impute_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def one_hot(
-    df: DataFrame, columns: Sequence[str], max_categories: int = MAX_ONE_HOT
+    df: DataFrame, columns: Sequence[str], max_categories: int | None = None
 ) -> DataFrame:
     """Replaces each column by 0/1 columns ``<column>_<value>``, none dropped.
 
-    The categories become column names, so they are read to the driver; more
-    than ``max_categories`` of them is an error. ``feature_relevance`` needs no
-    such columns and has no such limit.
+    The categories become column names, so they are read to the driver; with
+    ``max_categories`` more of them is an error. ``one_hot_long`` needs no such
+    list and suits columns of many values.
     """
     require_columns(df, columns, "categorical column")
     out = {}
     for c in columns:
-        found = df.select(ref(c).alias("v")).na.drop().distinct().limit(max_categories + 1)
+        found = df.select(ref(c).alias("v")).na.drop().distinct()
+        if max_categories is not None:
+            found = found.limit(max_categories + 1)
         values = sorted(row["v"] for row in found.collect())
-        if len(values) > max_categories:
+        if max_categories is not None and len(values) > max_categories:
             raise ValueError(f"'{c}' has more than {max_categories} categories")
         for v in values:
             out[f"{c}_{v}"] = F.coalesce((ref(c) == F.lit(v)).cast("int"), F.lit(0))
     return df.withColumns(out).drop(*columns)
 
 
+def one_hot_long(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """``(*keys, feature, value)``: the ones of the one-hot form, a row for each.
+
+    ``feature`` is ``<column>_<value>``; missing values have no row. Row-wise, so
+    the number of categories does not matter.
+    """
+    require_columns(df, keys, "key column")
+    require_columns(df, columns, "categorical column")
+    ones = F.array(
+        *[
+            F.concat(F.lit(f"{c}_"), _category(ref(c), dtype_of(df, c)))
+            for c in columns
+        ]
+    )
+    return df.select(*[ref(k) for k in keys], F.explode(F.array_compact(ones)).alias("feature")).select(
+        *[ref(k) for k in keys], "feature", F.lit(1).alias("value")
+    )
+
+
+def _category(column: Column, dtype: T.DataType) -> Column:
+    """A value as it stands in a feature name; truth values begin with a capital."""
+    if isinstance(dtype, T.BooleanType):
+        return F.initcap(column.cast("string"))
+    return as_text(column, dtype)
+
+
 def label_codes(df: DataFrame, column: str) -> DataFrame:
     """``(label, code)``: codes 0..K-1 in sorted label order."""
     require_columns(df, [column], "label column")

@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from ..functions.expressions import as_double, as_text, ref
 from .checks import dtype_of, is_number
 
-SCREEN_FACTOR = 10
-
 
 def cells(df: DataFrame, columns: Sequence[str], *carry: Column) -> DataFrame:
     """Long form ``(column, value, number, *carry)``.
@@ -43,26 +41,17 @@ def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
-def distinct_up_to(df: DataFrame, columns: Sequence[str], limit: int) -> DataFrame:
-    """``(column, n_distinct)``: exact count, or NULL for columns above ``limit``.
+def distinct_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(column, n_distinct)``: exact number of values of every column, missing ones left out.
 
-    A sketch of all columns (a small aggregate that runs at once) sorts out
-    those far above the limit, so identifier columns are neither read again nor
-    shuffled. ``limit`` is at most in the hundreds, where the sketch is close.
+    Copies collapse before the one shuffle that all columns share.
     """
-    sketch = df.agg(*[F.approx_count_distinct(ref(c)).alias(c) for c in columns]).first()
-    near = [c for c, n in zip(columns, sketch) if n <= limit * SCREEN_FACTOR]
     names = F.array(*[F.lit(c) for c in columns])
     listed = df.sparkSession.range(1, numPartitions=1).select(F.explode(names).alias("column"))
-    if not near:
-        return listed.select("column", F.lit(None).cast("bigint").alias("n_distinct"))
     found = (
-        cells(df, near)
-        .groupBy("column", "value")
-        .agg(F.count("*").alias("n"))
-        .groupBy("column")
-        .agg(F.count("value").alias("found"))
+        value_counts(df, columns).groupBy("column").agg(F.count("value").alias("n_distinct"))
     )
+    # one row per column
     return listed.join(F.broadcast(found), "column", "left").select(
-        "column", F.when(F.col("found") <= limit, F.col("found")).alias("n_distinct")
+        "column", F.coalesce("n_distinct", F.lit(0).cast("bigint")).alias("n_distinct")
     )

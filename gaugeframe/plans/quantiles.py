@@ -32,7 +32,6 @@ from .rows import number
 SKETCH_SIZE = 16_000
 MARGINS = (0.0005, 0.01)  # ranks around the wanted one, as shares of all rows
 BUCKETS = 1_024
-SMALL_ROWS = 200_000  # up to here the built-in percentile holds little
 
 
 @dataclass
@@ -76,10 +75,7 @@ class Search:
 
 
 def exact_quantiles(
-    df: DataFrame,
-    columns: Sequence[str],
-    probabilities: Sequence[float],
-    small_rows: int = SMALL_ROWS,
+    df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column; missing values are left out."""
     columns, probabilities = list(columns), list(probabilities)
@@ -87,12 +83,6 @@ def exact_quantiles(
     start = df.agg(
         *[_sketch(x, probabilities).alias(f"v{i}") for i, x in enumerate(numbers)]
     ).first()
-    if max(seen["n"] for seen in start) <= small_rows:
-        exact = df.agg(
-            *[F.percentile(x, probabilities).alias(f"v{i}") for i, x in enumerate(numbers)]
-        ).first()
-        return {c: exact[i] or [None] * len(probabilities) for i, c in enumerate(columns)}
-
     # NaN stays in: no range ever holds it
     cells = df.select(
         F.posexplode(F.array(*[ref(c).cast("double") for c in columns])).alias("c", "v")

@@ -17,15 +17,30 @@ NUMBER = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI]nf(inity)?)\s*$"
 
 
 def read_csv(
-    spark: SparkSession, path: str | list[str], schema: T.StructType | str | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType | str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """CSV with a header row and the usual missing tokens.
 
+    A quote inside quotes is doubled. Fields may hold line breaks; files without
+    any are split among tasks with ``multi_line=False``. All files must have the
+    columns of the first in its order, else the read fails.
+
     With a schema the files are read once, tokens included. Without one all
     columns are read as text, tokens become NULL, and one aggregate finds out
     which columns hold numbers or booleans.
     """
-    raw = spark.read.csv(path, header=True, inferSchema=False)
+    raw = spark.read.csv(
+        path,
+        header=True,
+        inferSchema=False,
+        quote='"',
+        escape='"',
+        multiLine=multi_line,
+        enforceSchema=False,
+    )
     text = normalize_missing(raw, raw.columns, MISSING_TOKENS)
     if schema is not None:
         wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)

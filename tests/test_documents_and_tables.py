@@ -2,7 +2,6 @@
 
 import io
 import json
-import re
 
 import numpy as np
 import pytest
@@ -16,30 +15,6 @@ def documents(spark, *docs):
     return spark.createDataFrame(texts, "doc_id int, doc string")
 
 
-def leaves_of(data, prefix=""):
-    """Leaves by the definition; a later value replaces an earlier one in its place."""
-    out = {}
-    for key, value in data.items():
-        name = f"{prefix}_{key}" if prefix else key
-        if isinstance(value, dict):
-            out.update(leaves_of(value, name))
-        elif isinstance(value, list):
-            for i, item in enumerate(value, 1):
-                if isinstance(item, dict):
-                    out.update(leaves_of(item, f"{name}_{i}"))
-                else:
-                    out[f"{name}_{i}"] = item
-        else:
-            out[name] = value
-    return out
-
-
-def as_text(value):
-    if value is None or isinstance(value, str):
-        return value
-    return json.dumps(value, separators=(",", ":"))
-
-
 DOCS = [
     {"z": 1, "a": {"y": True, "b": [{"c": "x", "a": None}, [1, {"q": 2}], "s"]}, "e": {}, "l": [], "n": None},
     {"looks": '{"k": 1}', "list": '["x"]', "deep": {"a": {"b": {"c": {"d": {"e": 1}}}}}},
@@ -47,23 +22,42 @@ DOCS = [
     {"with.dot": 1, "@type": "t", "quote'": [1.5, -2, 1e3], "ünï": "é"},
     {},
 ]
+# what each of DOCS flattens to, in order
+LEAVES = [
+    [
+        ("z", "1"), ("a_y", "true"), ("a_b_1_c", "x"), ("a_b_1_a", None),
+        ("a_b_2", '[1,{"q":2}]'), ("a_b_3", "s"), ("n", None),
+    ],
+    [("looks", '{"k": 1}'), ("list", '["x"]'), ("deep_a_b_c_d_e", "1")],
+    [("a_b", "2"), ("x", "0"), ("a_c", "4")],
+    [
+        ("with.dot", "1"), ("@type", "t"), ("quote'_1", "1.5"), ("quote'_2", "-2"),
+        ("quote'_3", "1000.0"), ("ünï", "é"),
+    ],
+    [],
+]
 
 
 def test_leaves_keep_document_order(spark):
     got = gf.flatten_documents(documents(spark, *DOCS)).collect()
-    for i, doc in enumerate(DOCS):
+    for i, want in enumerate(LEAVES):
         mine = sorted((r for r in got if r["doc_id"] == i), key=lambda r: r["ord"])
-        want = leaves_of(doc)
-        assert [r["key"] for r in mine] == list(want)
-        for r in mine:
-            expected = want[r["key"]]
-            if isinstance(expected, float):
-                assert float(r["value"]) == expected
-            else:
-                assert r["value"] == as_text(expected)
+        assert [(r["key"], r["value"]) for r in mine] == want
+
+
+def test_depth_is_measured(spark):
+    nested = "x"
+    for level in range(15, 0, -1):
+        nested = {f"l{level}": nested, "end": [level]}
+    broken = "[" * 50 + '{"never": "closed"'
+    quoted = {"text": '[[[[{{{{"', "more": "\\"}
+    got = gf.flatten_documents(documents(spark, nested, broken, quoted)).collect()
+    keys = {r["key"]: r["value"] for r in got if r["doc_id"] == 0}
+    assert keys["_".join(f"l{k}" for k in range(1, 16))] == "x" and len(keys) == 16
+    assert {r["key"]: r["value"] for r in got if r["doc_id"] == 2} == quoted
 
 
-def test_too_deep_a_document_is_an_error(spark):
+def test_a_given_depth_is_a_limit(spark):
     docs = documents(spark, {"a": {"b": {"c": 1}}})
     assert gf.flatten_documents(docs, max_depth=3).count() == 1
     with pytest.raises(Exception, match="deeper than 2"):
@@ -77,40 +71,54 @@ def test_no_field_ends_with_another():
     assert [len(g) for g in metadata.DATACITE_FIELDS.values()] == [10, 1, 1, 7]
 
 
-def claims_of(flat):
-    taken, out = set(), []
-    for principle, fields in metadata.DCAT_FIELDS.items():
-        for field in fields:
-            hit = None
-            for key in flat:
-                base = re.sub(r"_\d+$", "", key)
-                if key not in taken and (field in (base, key) or key.endswith(field)):
-                    hit = key
-                    taken.add(key)
-                    break
-            out.append((principle, field, hit))
-    return out, [k for k in flat if k not in taken]
-
-
-def test_dcat_fields_claim_keys_in_order(spark):
-    docs = [
+# documents, the fields that find a key, and the keys that are left over
+CLAIMS = [
+    (
         {"subtitle": "late", "title": "x", "description": "one", "formats": 1, "my_format": "f", "format": "g"},
+        {
+            ("Findable", "title"): "subtitle",
+            ("Findable", "description"): "description",
+            ("Interoperable", "format"): "my_format",
+            ("Reusable", "format"): "format",
+        },
+        ["title", "formats"],
+    ),
+    (
         {"distribution": [{"title": "t", "format": "a"}, {"format": "b", "description": "d"}], "description": ["p", "q", "r"]},
+        {
+            ("Findable", "title"): "distribution_1_title",
+            ("Findable", "description"): "distribution_2_description",
+            ("Interoperable", "format"): "distribution_1_format",
+            ("Reusable", "description"): "description_1",
+            ("Reusable", "format"): "distribution_2_format",
+        },
+        ["description_2", "description_3"],
+    ),
+    (
         {"keyword": ["a", "b"], "bureauCode_12": "x", "license": None, "contactPoint": {"fn": 1}},
-        *DOCS,
-    ]
-    table = documents(spark, *docs)
+        {
+            ("Findable", "keyword"): "keyword_1",
+            ("Reusable", "license"): "license",
+            ("Reusable", "bureauCode"): "bureauCode_12",
+        },
+        ["keyword_2", "contactPoint_fn"],
+    ),
+    *[(doc, {}, [key for key, _ in leaves]) for doc, leaves in zip(DOCS, LEAVES, strict=True)],
+]
+
+
+def test_dcat_fields_claim_keys_in_order(spark):
+    table = documents(spark, *[doc for doc, _, _ in CLAIMS])
     checks = gf.dcat_checks(table).collect()
     others = gf.other_keys(table).collect()
     scores = {(r["doc_id"], r["principle"]): (r["passed"], r["failed"], r["total"]) for r in gf.fair_scores(gf.dcat_checks(table)).collect()}
-    for i, doc in enumerate(docs):
-        want, rest = claims_of(leaves_of(doc))
-        mine = {(r["principle"], r["field"]): r for r in checks if r["doc_id"] == i}
-        assert {k: r["matched_key"] for k, r in mine.items()} == {(p, f): k for p, f, k in want}
-        assert all(r["passed"] == (r["matched_key"] is not None) for r in mine.values())
+    for i, (_, found, rest) in enumerate(CLAIMS):
+        mine = [r for r in checks if r["doc_id"] == i]
+        assert len(mine) == 26
+        assert {(r["principle"], r["field"]): r["matched_key"] for r in mine if r["passed"]} == found
+        assert all(r["passed"] == (r["matched_key"] is not None) for r in mine)
         assert sorted(r["key"] for r in others if r["doc_id"] == i) == sorted(rest)
-        passed = sum(k is not None for _, _, k in want)
-        assert scores[i, "Total"] == (passed, 26 - passed, 26)
+        assert scores[i, "Total"] == (len(found), 26 - len(found), 26)
 
 
 @pytest.mark.parametrize("with_fields", [True, False])
@@ -123,6 +131,19 @@ def test_datacite_fields(spark, with_fields):
     assert (total["passed"], total["total"], total["pct"]) == (19 * with_fields, 19, 100.0 * with_fields)
 
 
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('a,b,c\n1,"say ""hi"", you","two\nlines"\n2,plain,"x"\n')
+    rows = gf.read_csv(spark, str(tmp_path / "q.csv")).collect()
+    assert [tuple(r) for r in rows] == [(1, 'say "hi", you', "two\nlines"), (2, "plain", "x")]
+
+
+def test_csv_headers_in_another_order_are_refused(spark, tmp_path):
+    (tmp_path / "1.csv").write_text("x,y\n1,2\n")
+    (tmp_path / "2.csv").write_text("y,x\n3,4\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        gf.read_csv(spark, str(tmp_path)).collect()
+
+
 def test_csv_types_follow_the_values(spark, tmp_path):
     (tmp_path / "t.csv").write_text(
         "i,x,s,b,none,mixed,d,wide\n"

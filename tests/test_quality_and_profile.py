@@ -96,7 +96,7 @@ def test_class_candidates_at_the_limit(spark):
         "id", "id % 30 AS at_limit", "id % 31 AS above", "CAST(NULL AS STRING) AS empty"
     )
     found = rows(gf.class_candidates(df))
-    assert found == {"id": (None, False), "at_limit": (30, True), "above": (None, False), "empty": (0, True)}
+    assert found == {"id": (10_000, False), "at_limit": (30, True), "above": (31, False), "empty": (0, True)}
 
 
 def test_density_matches_its_definition(spark):

@@ -16,7 +16,7 @@ def check(spark, columns, **kwargs):
     names = [f"c{i}" for i in range(len(columns))]
     rows = [tuple(float(x) for x in r) for r in zip(*columns)]
     df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names))
-    found = q.exact_quantiles(df, names, PROBABILITIES, small_rows=0, **kwargs)
+    found = q.exact_quantiles(df, names, PROBABILITIES, **kwargs)
     for name, values in zip(names, columns):
         want = np.percentile(np.asarray(values, float), [100 * p for p in PROBABILITIES])
         assert found[name] == pytest.approx(list(want), rel=1e-12, abs=1e-12)
@@ -53,7 +53,7 @@ def test_missing_values_are_left_out(spark):
         [(None, 1.0, 4, inf), (None, float("nan"), 2, -inf), (None, 3.0, None, inf)],
         "empty double, x double, n int, i double",
     )
-    found = q.exact_quantiles(df, df.columns, [0.5], small_rows=0)
+    found = q.exact_quantiles(df, df.columns, [0.5])
     assert found == {"empty": [None], "x": [2.0], "n": [3.0], "i": [inf]}
     assert q.exact_quantiles(df, df.columns, [0.5]) == found
 

@@ -24,6 +24,31 @@ def pearson_matrix(spark, sf_dir):
     return rounded(gf.pearson_matrix(table(spark, sf_dir, "lineitem"), MEASURES))
 
 
+WIDE = {
+    f"m{k:02d}": f"({MEASURES[k % 4]} * {k + 1} + (l_orderkey * {k + 3} + l_linenumber) % {89 + k})"
+    for k in range(60)
+}
+
+
+def _pearson_wide_sql():
+    pairs = [(a, b) for i, a in enumerate(WIDE) for b in list(WIDE)[:i]]
+    columns = ", ".join(f"{x} AS {c}" for c, x in WIDE.items())
+    scores = ", ".join(f'corr({a}, {b}) AS "{a}{b}"' for a, b in pairs)
+    return f"""
+WITH d AS (SELECT {columns} FROM lineitem), s AS (SELECT {scores} FROM d),
+u AS (UNPIVOT s ON COLUMNS(*) INTO NAME pair VALUE r),
+p AS (SELECT pair[1:3] AS a, pair[4:6] AS b, round(r, 6) + 0.0 AS score FROM u)
+SELECT 'pearson' AS kind, a AS col_a, b AS col_b, score FROM p
+UNION ALL SELECT 'pearson', b, a, score FROM p
+"""
+
+
+@query("pearson_wide", _pearson_wide_sql())
+def pearson_wide(spark, sf_dir):
+    wide = table(spark, sf_dir, "lineitem").select(*[F.expr(x).alias(c) for c, x in WIDE.items()])
+    return rounded(gf.pearson_matrix(wide))
+
+
 @query("pearson_heatmap", _pearson_sql([(a, b) for a in MEASURES for b in MEASURES]))
 def pearson_heatmap(spark, sf_dir):
     return rounded(gf.pearson_matrix(table(spark, sf_dir, "lineitem"), MEASURES, diagonal=True))
@@ -127,6 +152,14 @@ def one_hot(spark, sf_dir):
     return gf.one_hot(orders, ["o_orderstatus"])
 
 
+@query("one_hot_long", """
+SELECT p_partkey, 'p_name_' || p_name AS feature, 1::INTEGER AS value FROM part
+UNION ALL SELECT p_partkey, 'p_brand_' || p_brand, 1 FROM part
+""")
+def one_hot_long(spark, sf_dir):
+    return gf.one_hot_long(table(spark, sf_dir, "part"), ["p_partkey"], ["p_name", "p_brand"])
+
+
 @query("label_codes", """
 SELECT p_brand AS label, (row_number() OVER (ORDER BY p_brand) - 1)::INTEGER AS code
 FROM (SELECT DISTINCT p_brand FROM part)

@@ -223,3 +223,22 @@ def fair_datacite(spark, sf_dir):
 @query("fair_datacite_scores", DATACITE + SCORES)
 def fair_datacite_scores(spark, sf_dir):
     return rounded(gf.fair_scores(gf.datacite_checks(datacite_documents(spark, sf_dir))))
+
+
+def deep_documents(spark, sf_dir):
+    """Every part as a document of twelve levels."""
+    inner = F.struct(F.col("p_partkey").alias("l12"), F.col("p_brand").alias("brand"))
+    for level in range(11, 0, -1):
+        inner = F.struct(inner.alias(f"l{level}"))
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("doc_id"), F.to_json(inner).alias("doc")
+    )
+
+
+@query("metadata_deep", """
+SELECT p_partkey AS doc_id, 'l1_l2_l3_l4_l5_l6_l7_l8_l9_l10_l11_l12' AS key, p_partkey::VARCHAR AS value
+FROM part
+UNION ALL SELECT p_partkey, 'l1_l2_l3_l4_l5_l6_l7_l8_l9_l10_l11_brand', p_brand FROM part
+""")
+def metadata_deep(spark, sf_dir):
+    return gf.flatten_documents(deep_documents(spark, sf_dir)).select("doc_id", "key", "value")

@@ -136,7 +136,7 @@ WITH d AS (
   UNION ALL SELECT 'o_totalprice', count(DISTINCT o_totalprice) FROM orders
   UNION ALL SELECT 'o_orderstatus', count(DISTINCT o_orderstatus) FROM orders
   UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority) FROM orders)
-SELECT "column", CASE WHEN n <= 30 THEN n END AS n_distinct, n <= 30 AS is_class_candidate FROM d
+SELECT "column", n AS n_distinct, n <= 30 AS is_class_candidate FROM d
 """)
 def class_candidates(spark, sf_dir):
     return gf.class_candidates(table(spark, sf_dir, "orders"))

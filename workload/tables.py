@@ -140,3 +140,21 @@ def readiness_report_written(spark, sf_dir):
     report = orders_report(spark, sf_dir)
     gf.write_report(report, path)
     return rounded(spark.read.schema(report.schema).json(path), 2)
+
+
+@query("csv_quoted", """
+SELECT doc_id, nullif(source, '') AS source, md5(text) AS text_md5, length(text) AS n FROM documents
+""")
+def csv_quoted(spark, sf_dir):
+    """Texts with quotes and line breaks, written by the rule of RFC 4180 without Spark's CSV writer."""
+    path = new_folder(spark)
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
+    line = F.concat_ws(",", F.col("doc_id"), quoted("source"), quoted("text"))
+    files = (
+        table(spark, sf_dir, "documents")
+        .groupBy((F.col("doc_id") % 8).alias("file"))
+        .agg(F.concat_ws("\n", F.lit("doc_id,source,text"), F.array_sort(F.collect_list(line))).alias("value"))
+    )
+    files.write.partitionBy("file").text(path)
+    back = gf.read_csv(spark, f"{path}/*", "doc_id bigint, source string, text string")
+    return back.select("doc_id", "source", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n"))
