@@ -15,12 +15,15 @@ MISSING_TOKENS = (
     "nan", "null",
 )
 
+#: JSON with all digits of a time.
+EXACT_TIMES = {
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
 # Fixed value: whole-cell marker the privacy metrics also take as missing.
 UNKNOWN_MARK = "?"
 
-# A value this long or longer is keyed by its digest instead of by itself.
-INLINE_KEY_LENGTH = 64
-
 
 def ref(name: str) -> Column:
     """Column by its exact name, dots and spaces included."""
@@ -39,29 +42,43 @@ def as_text(column: Column, dtype: T.DataType) -> Column:
         # -0.0 and 0.0 are one value, NaN is missing
         return F.when(~F.isnan(column), column + F.lit(0).cast(dtype)).cast("string")
     if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType, T.VariantType)):
-        return F.to_json(column)
+        return F.to_json(canonical(column, dtype), EXACT_TIMES)
     return column.cast("string")
 
 
+def canonical(column: Column, dtype: T.DataType) -> Column:
+    """The value in a form of its own: no negative zero, and maps as entries in order."""
+    if isinstance(dtype, (T.FloatType, T.DoubleType)):
+        return column + F.lit(0).cast(dtype)
+    if isinstance(dtype, T.StructType):
+        fields = [canonical(column.getField(f.name), f.dataType).alias(f.name) for f in dtype.fields]
+        return F.when(column.isNotNull(), F.struct(*fields)) if fields else column
+    if isinstance(dtype, T.ArrayType):
+        return F.transform(column, lambda x: canonical(x, dtype.elementType))
+    if isinstance(dtype, T.MapType):
+        entry = T.StructType(
+            [T.StructField("key", dtype.keyType), T.StructField("value", dtype.valueType)]
+        )
+        return F.array_sort(
+            F.transform(F.map_entries(column), lambda x: canonical(x, entry)),
+            lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0),
+        )
+    return column
+
+
 def row_key(column: Column, dtype: T.DataType) -> Column:
     """Narrow grouping key: equal keys if and only if the values are equal.
 
-    Long strings and nested values travel through the shuffle as a SHA-256
-    digest. The leading tag keeps digests apart from short literal values.
+    Texts and bytes travel through the shuffle as a SHA-256 digest, nested values
+    as they are.
     """
-    if isinstance(dtype, T.MapType):
-        text = F.to_json(F.array_sort(F.map_entries(column)))
-    elif isinstance(dtype, (T.StructType, T.ArrayType, T.VariantType)):
-        text = F.to_json(column)
-    elif isinstance(dtype, T.StringType):
-        text = column
-    elif isinstance(dtype, T.BinaryType):
-        text = F.hex(column)
-    else:
-        return column
-    return F.when(
-        F.length(text) < INLINE_KEY_LENGTH, F.concat(F.lit("v"), text)
-    ).otherwise(F.concat(F.lit("h"), F.sha2(text, 256)))
+    if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
+        return canonical(column, dtype)
+    if isinstance(dtype, T.VariantType):
+        return F.sha2(F.to_json(column, EXACT_TIMES), 256)
+    if isinstance(dtype, (T.StringType, T.BinaryType)):
+        return F.sha2(column.cast("binary"), 256)
+    return column
 
 
 def pearson(x: Column, y: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.expressions import UNKNOWN_MARK, guarded, ref
-from ..plans.checks import column_list, dtype_of, require_columns
+from ..plans.checks import column_list, dtype_of, require_columns, with_checks
 from ..plans.quantiles import exact_quantiles
 from ..plans.rows import complete_rows
 from ..plans.sizing import is_small, settled
@@ -37,13 +37,19 @@ def known_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def equivalence_classes(df: DataFrame, quasi_identifiers: Sequence[str]) -> DataFrame:
     """``(*quasi_identifiers, n)``: the size of every class."""
     require_columns(df, quasi_identifiers, "quasi-identifier")
-    return (
+    return _some(
         known_rows(df, quasi_identifiers)
         .groupBy(*[ref(q) for q in quasi_identifiers])
         .agg(F.count("*").alias("n"))
     )
 
 
+def _some(classes: DataFrame) -> DataFrame:
+    """The classes; computing them fails if there is none."""
+    facts = classes.agg(F.count("*").alias("classes"))
+    return with_checks(classes, facts, (F.col("classes") == 0, NOTHING_LEFT))
+
+
 def _sensitive_rows(df: DataFrame, qis: Sequence[str], sensitive: str) -> DataFrame:
     """``(q0, q1, ..., s)``; a sensitive column may also be a quasi-identifier."""
     require_columns(df, qis, "quasi-identifier")
@@ -91,7 +97,7 @@ def k_anonymity_histogram(df: DataFrame, quasi_identifiers: Sequence[str]) -> Da
 
 def _diversity(df: DataFrame, qis: Sequence[str], sensitive: str) -> DataFrame:
     counts = _sensitive_counts(_sensitive_rows(df, qis, sensitive))
-    return counts.groupBy(*[f"q{i}" for i in range(len(qis))]).agg(F.count("*").alias("l"))
+    return _some(counts.groupBy(*[f"q{i}" for i in range(len(qis))]).agg(F.count("*").alias("l")))
 
 
 def l_diversity(df: DataFrame, quasi_identifiers: Sequence[str], sensitive: str) -> DataFrame:
@@ -132,7 +138,7 @@ def class_distances(
         sizes = counts.groupBy(*keys).agg(F.sum("n").alias("n_class"))
         whole = counts.join(sizes, keys)
     p = F.col("n") / F.col("n_class").cast("double")
-    return (
+    distances = (
         whole.join(shares, "s")
         .groupBy(*keys)
         .agg(
@@ -141,6 +147,8 @@ def class_distances(
         )
         .select(*[F.col(k).alias(q) for k, q in zip(keys, qis)], "n", "t")
     )
+    facts = counts.agg(F.count("*").alias("classes"))
+    return with_checks(distances, facts, (F.col("classes") == 0, NOTHING_LEFT))
 
 
 def t_closeness(df: DataFrame, quasi_identifiers: Sequence[str], sensitive: str) -> DataFrame:

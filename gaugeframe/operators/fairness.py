@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import guarded, ref
-from ..plans.checks import dtype_of, require_columns, require_rows
+from ..functions.expressions import ref
+from ..plans.checks import dtype_of, require_columns, require_rows, with_checks
 from ..plans.counts import value_counts
 from ..plans.ordering import running_total
 from ..plans.pairing import combine
@@ -190,14 +190,17 @@ def demographic_disparity(df: DataFrame, target: str, sensitive: str, accepted)
     of_accepted = F.try_divide(F.col("accepted").cast("double"), F.col("t.accepted").cast("double"))
     of_rejected = F.try_divide(F.col("rejected").cast("double"), F.col("t.rejected").cast("double"))
     checks = [
-        (F.col("t.accepted") == 0, f"no accepted value '{accepted}' in '{target}'"),
-        (F.col("t.rejected") == 0, f"no rejected value in '{target}'"),
+        (F.col("accepted").isNull(), f"no group left in '{sensitive}'"),
+        (F.col("accepted") == 0, f"no accepted value '{accepted}' in '{target}'"),
+        (F.col("rejected") == 0, f"no rejected value in '{target}'"),
     ]
-    return groups.withColumn("t", totals).select(
+    facts = groups.agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+    shares = groups.withColumn("t", totals).select(
         "group",
         "accepted",
         "rejected",
-        guarded(of_accepted, *checks).alias("share_of_accepted"),
+        of_accepted.alias("share_of_accepted"),
         of_rejected.alias("share_of_rejected"),
         (of_rejected > of_accepted).alias("disparity"),
     )
+    return with_checks(shares, facts, *checks)

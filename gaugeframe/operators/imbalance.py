@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import as_double, as_text, guarded, ref
-from ..plans.checks import dtype_of, is_number, require_columns
+from ..functions.expressions import as_double, as_text, ref
+from ..plans.checks import dtype_of, is_number, require_columns, with_checks
 
 METRICS = ("EU", "CH", "KL", "HE", "TV", "CS")
 MAX_CLASSES = 50
@@ -48,17 +48,17 @@ def class_distribution(df: DataFrame, column: str) -> DataFrame:
         F.struct(F.count("*").alias("k"), F.sum("n").alias("n")).alias("t")
     ).scalar()
     share = F.col("n") / F.col("t.n").cast("double") * F.lit(100.0)
-    return (
+    distribution = (
         counts.withColumn("t", totals)
         .select(
             as_text(F.col("class"), dtype_of(df, column)).alias("class"),
             F.col("n").alias("count"),
-            guarded(
-                F.round(share, 1), *_checks(df, column, F.col("t.k"), F.col("t.n"))
-            ).alias("pct"),
+            F.round(share, 1).alias("pct"),
         )
-        .orderBy(F.desc("count"), "class")
     )
+    facts = counts.agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    checks = _checks(df, column, F.col("k"), F.col("n"))
+    return with_checks(distribution, facts, *checks).orderBy(F.desc("count"), "class")
 
 
 def imbalance_degree(
@@ -120,13 +120,15 @@ def imbalance_degree(
     )
     ratio = F.col("seen") / F.col("extreme") + F.col("m") - F.lit(1.0)
     degree = F.when((F.col("seen") == 0) | (F.col("extreme") == 0), F.lit(0.0)).otherwise(ratio)
-    return measured.select("k", "n", "m", F.inline(rows)).select(
+    degrees = measured.select("k", "n", "m", F.inline(rows)).select(
         F.lit(column).alias("column"),
         "metric",
         "k",
         F.col("m").alias("minority_classes"),
-        guarded(degree, *_checks(df, column, F.col("k"), F.col("n"))).alias("imbalance_degree"),
+        degree.alias("imbalance_degree"),
     )
+    facts = counts.agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    return with_checks(degrees, facts, *_checks(df, column, F.col("k"), F.col("n")))
 
 
 def _extreme(metric: str, k: Column, m: Column) -> Column:

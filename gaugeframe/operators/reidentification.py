@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import guarded, ref
-from ..plans.checks import column_list, dtype_of, is_number, require_columns
+from ..plans.checks import column_list, dtype_of, is_number, require_columns, with_checks
 from ..plans.counts import cells
 from ..plans.quantiles import quantiles
 from ..plans.rows import complete_rows, number
@@ -68,24 +68,30 @@ def attribute_risks(
         .agg(F.map_from_entries(F.collect_list(F.struct("column", F.struct("total", "k")))))
         .scalar()
     )
-    n, total, k = F.col("n"), F.col("t.total"), F.col("t.k")
+    n, total = F.col("n"), F.col("t.total")
     score = F.lit(1.0) - n / total.cast("double") * (F.lit(1.0) - F.lit(1.0) / n)
     numeric = [f"q{i}" for i, q in enumerate(qis) if is_number(dtype_of(df, q))]
+    facts = (
+        counts.groupBy("column")
+        .agg(F.count("*").alias("k"))
+        .agg(
+            F.count("*").alias("seen"),
+            F.min("k").alias("least"),
+            F.max(F.when(F.col("column").isin(numeric), F.col("k"))).alias("most"),
+        )
+    )
     checks = _id_check(df, id_column, check_id) + [
-        (k == 1, "a quasi-identifier has only one value"),
-        (
-            F.col("column").isin(numeric) & (k > MAX_NUMERIC_VALUES),
-            "a numeric quasi-identifier has too many values",
-        ),
+        (F.col("seen") < len(qis), NO_DATA),
+        (F.col("least") == 1, "a quasi-identifier has only one value"),
+        (F.col("most") > MAX_NUMERIC_VALUES, "a numeric quasi-identifier has too many values"),
     ]
     labels = F.create_map(*[part for c, q in zip(columns, qis) for part in (F.lit(c), F.lit(q))])
-    return (
+    risks = (
         counts.withColumn("t", totals[F.col("column")])
-        .select(
-            labels[F.col("column")].alias("qi"), "value", "n", guarded(score, *checks).alias("score")
-        )
+        .select(labels[F.col("column")].alias("qi"), "value", "n", score.alias("score"))
         .withColumn("risk", F.round("score", DECIMALS))
     )
+    return with_checks(risks, facts, *checks)
 
 
 def attribute_risk_statistics(
@@ -111,12 +117,7 @@ def combination_risks(
     keys = [f"q{i}" for i in range(len(qis))]
     rows = _complete(df, id_column, qis)
     table = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    totals = table.agg(
-        F.struct(
-            F.sum("n").alias("total"),
-            *[(F.min(k) == F.max(k)).alias(f"flat_{k}") for k in keys],
-        ).alias("t")
-    ).scalar()
+    totals = table.agg(F.struct(F.sum("n").alias("total")).alias("t")).scalar()
 
     pairs = list(zip(keys, keys[1:])) if len(keys) > 2 else []
     shared = [[k] for k in keys] + [list(pair) for pair in pairs]
@@ -137,15 +138,19 @@ def combination_risks(
         for a, b in zip(keys, keys[1:]):
             together = F.col(_count_of([a, b]) if pairs else "n").cast("double")
             product = product * (together / total) * unobserved(a) * unobserved(b)
-    checks = _id_check(df, id_column, check_id) + [
-        (F.col(f"t.flat_{k}"), f"quasi-identifier '{q}' has only one value")
+    checks = [*_id_check(df, id_column, check_id), (F.col("total").isNull(), NO_DATA)] + [
+        (F.col(f"flat_{k}"), f"quasi-identifier '{q}' has only one value")
         for k, q in zip(keys, qis)
     ]
-    return joined.select(
+    facts = table.agg(
+        F.sum("n").alias("total"), *[(F.min(k) == F.max(k)).alias(f"flat_{k}") for k in keys]
+    )
+    risks = joined.select(
         *[F.col(k).alias(q) for k, q in zip(keys, qis)],
         "n",
-        guarded(F.lit(1.0) - product, *checks).alias("score"),
+        (F.lit(1.0) - product).alias("score"),
     ).withColumn("risk", F.round("score", DECIMALS))
+    return with_checks(risks, facts, *checks)
 
 
 def _count_of(columns: Sequence[str]) -> str:
@@ -192,9 +197,13 @@ def row_risks(
     keys = [f"q{i}" for i in range(len(qis))]
     rows = _complete(df, id_column, qis)
     (is_few,) = few_combinations(rows, [keys])
-    return rows.join(F.broadcast(keyed) if is_few else keyed, keys).select(
+    scored = rows.join(F.broadcast(keyed) if is_few else keyed, keys).select(
         F.col("id").alias(id_column), "score", "risk"
     )
+    # without rows the join is left out, and with it the checks of the combinations
+    facts = rows.agg(F.count("*").alias("rows"))
+    checks = _id_check(df, id_column, check_id)
+    return with_checks(scored, facts, *checks, (F.col("rows") == 0, NO_DATA))
 
 
 def row_attribute_risks(

@@ -1,15 +1,17 @@
 """Argument checks.
 
 Checks on names and types run at once on the schema and raise ``ValueError``.
-Checks on values are part of the plan (``functions.expressions.guarded``) and
-fail when the result is computed, so no metric scans its input twice.
+Checks on values are part of the plan (``with_checks``) and fail when the result
+is computed, whichever part of it and also if it has no rows; they read the same
+counts as the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -36,6 +38,22 @@ def require_rows(df: DataFrame, message: str) -> None:
         raise ValueError(message)
 
 
+def with_checks(df: DataFrame, facts: DataFrame, *checks: tuple[Column, str]) -> DataFrame:
+    """``df``; its computation fails with the message of the first condition that holds.
+
+    The conditions are on the one row of ``facts``. They stand in a filter of a
+    branch without rows, so neither a projection nor a count can leave them out.
+    """
+    broken = F.lit(False)
+    for condition, message in reversed(checks):
+        error = F.raise_error(F.lit(message)).cast("boolean")
+        broken = F.when(condition, error).otherwise(broken)
+    nothing = facts.filter(broken).select(
+        *[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
+    )
+    return df.union(nothing)
+
+
 def dtype_of(df: DataFrame, column: str) -> T.DataType:
     return df.schema[column].dataType
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,16 +15,25 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 FIXED_BYTES = 16
 
 
+def own_folder(spark: SparkSession) -> str:
+    """A temporary folder for a local session."""
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="run-")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and written to the checkpoint folder of the cluster.
 
     For small results that several jobs read; survives the loss of executors.
-    A folder of its own is only made where the session names none.
+    A folder of its own is only made for a local session that names none; a cluster
+    must name one that all executors share.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="run-"))
+        context.setCheckpointDir(named or own_folder(df.sparkSession))
     return df.checkpoint()
 
 

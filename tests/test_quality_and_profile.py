@@ -146,3 +146,37 @@ def test_names_with_dots_and_spaces(spark):
     assert rows(gf.summary_statistics(df))["education.num"][1] == 2.0
     assert gf.k_anonymity(df, ["education.num", "a b"]).first()["k"] == 1
     assert gf.feature_relevance(df, "education.num", categorical=["a b"]).count() == 2
+
+
+def test_nested_values_are_told_apart_exactly(spark):
+    df = spark.sql(
+        """SELECT * FROM VALUES
+        (1, named_struct('t', timestamp'2024-01-01 00:00:00.000001', 'x', array(0.0D)), map('a', 1, 'b', 2)),
+        (2, named_struct('t', timestamp'2024-01-01 00:00:00.000002', 'x', array(0.0D)), map('b', 2, 'a', 1)),
+        (3, named_struct('t', timestamp'2024-01-01 00:00:00.000001', 'x', array(-0.0D)), map('a', 1, 'b', 3)),
+        (4, NULL, NULL) AS t(id, s, m)"""
+    )
+    assert gf.duplicity(df, ["s"]).first()["duplicates"] == 1
+    assert gf.duplicity(df, ["m"]).first()["duplicates"] == 1
+    assert gf.duplicity(df.selectExpr("array(s.t) AS a"), ["a"]).first()["duplicates"] == 1
+
+
+def test_checks_fire_whatever_is_read(spark):
+    none = spark.createDataFrame([(1, None, None), (2, None, "x")], "id int, a string, b string")
+    twice = spark.createDataFrame([(1, "p"), (1, "q"), (2, "q")], "id int, a string")
+    for df, run in (
+        (none, lambda d: gf.attribute_risks(d, "id", ["a"])),
+        (none, lambda d: gf.combination_risks(d, "id", ["a", "b"])),
+        (none, lambda d: gf.row_risks(d, "id", ["a", "b"])),
+        (none, lambda d: gf.equivalence_classes(d, ["a"])),
+        (none, lambda d: gf.class_distances(d, ["a"], "b")),
+        (none, lambda d: gf.k_anonymity_histogram(d, ["a"])),
+        (none, lambda d: gf.l_diversity_histogram(d, ["a"], "b")),
+        (none, lambda d: gf.demographic_disparity(d, "b", "a", "x")),
+        (twice, lambda d: gf.attribute_risks(d, "id", ["a"])),
+        (twice, lambda d: gf.row_risks(d, "id", ["a"])),
+    ):
+        result = run(df)
+        for read in (result.count, result.collect, result.select(result.columns[0]).collect):
+            with pytest.raises(Exception, match="(?i)left|no |unique|empty"):
+                read()

@@ -145,9 +145,12 @@ def test_class_guards(spark, data, message):
     df = spark.createDataFrame(data, "c int")
     with pytest.raises(Exception, match=message):
         gf.imbalance_degree(df, "c").collect()
-    if len(data) > 1:
-        with pytest.raises(Exception, match=message):
-            gf.class_distribution(df, "c").collect()
+    with pytest.raises(Exception, match=message):
+        gf.class_distribution(df, "c").collect()
+    with pytest.raises(Exception, match=message):
+        gf.imbalance_degree(df, "c").select("k").collect()
+    with pytest.raises(Exception, match=message):
+        gf.class_distribution(df, "c").count()
 
 
 def test_unknown_metric(spark):

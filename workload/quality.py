@@ -155,3 +155,13 @@ FROM g, v GROUP BY point, x, n, h
 """)
 def density(spark, sf_dir):
     return rounded(gf.density(events_with_gaps(spark, sf_dir), ["value"]))
+
+
+@query("duplicity_nested", """
+WITH k AS (SELECT DISTINCT ts, value FROM events), n AS (SELECT count(*) AS rows FROM events)
+SELECT rows, rows - (SELECT count(*) FROM k) AS duplicates,
+       round((rows - (SELECT count(*) FROM k))::DOUBLE / rows, 6) AS duplicity FROM n
+""")
+def duplicity_nested(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.struct("ts", "value").alias("pair"))
+    return rounded(gf.duplicity(events))

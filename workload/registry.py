@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gaugeframe.plans.sizing import own_folder
 from gaugeframe.sources.writers import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,5 +44,5 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 def new_folder(spark: SparkSession) -> str:
     """A fresh folder for a written table, shared by the cluster where it names one."""
-    base = shared_folder(spark) or tempfile.mkdtemp(prefix="run-")
+    base = shared_folder(spark) or own_folder(spark)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
