@@ -43,7 +43,7 @@ BUCKET_BITS = 7
 REGISTERS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
 BAND = 4
-STAR_ROUNDS = 3
+STAR_ROUNDS = 1
 #: A bucket of more members than this is settled in blocks, of so many rows and bytes of text.
 CROWD = 64
 BLOCK_ROWS = 256
@@ -324,7 +324,7 @@ def linked_components(
     for turn in range(star_rounds + 1):
         labelled = written(_labels(members, known))
         if turn < star_rounds:
-            pick = F.struct(F.xxhash64(F.lit(turn), "key", "id"), "id", "c")
+            pick = F.struct(F.xxhash64(F.lit(turn), "id"), "id", "c")
             chosen = labelled.groupBy("key").agg(F.min(pick).alias("p"))
             chosen = chosen.select("key", F.col("p.id").alias("id0"), F.col("p.c").alias("c0"))
             across = labelled.join(chosen, "key").where("c <> c0")
