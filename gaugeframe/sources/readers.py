@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,18 +86,41 @@ def read_json_rows(
 
     Files that are a list (``top_level="list"``) give its objects as rows, files
     that are an object are searched for lists (``json_rows``). ``auto`` decides
-    by one file; the files of one call must be of one kind.
+    file by file; columns whose types differ between both kinds become text.
     """
     if top_level not in ("auto", "list", "object"):
         raise ValueError("top_level must be auto, list or object")
     if top_level == "auto":
         start = F.substring(F.ltrim(F.col("value")), 1, 1)
-        peek = spark.read.text(path, wholetext=True).select(start.alias("start")).first()
-        top_level = "list" if peek and peek["start"] == "[" else "object"
+        files = spark.read.text(path, wholetext=True).select(
+            F.col("_metadata.file_path").alias("file"), (start == "[").alias("is_list")
+        )
+        found = [(unquote(row["file"]), row["is_list"]) for row in files.collect()]
+        parts = [
+            read_json_rows(spark, chosen, kind)
+            for kind in ("list", "object")
+            if (chosen := [file for file, is_list in found if is_list == (kind == "list")])
+        ]
+        return _united(parts)
     docs = spark.read.json(path, multiLine=True)
     return docs if top_level == "list" else json_rows(docs)
 
 
+def _united(parts: list[DataFrame]) -> DataFrame:
+    if not parts:
+        raise ValueError("no file found")
+    kinds: dict[str, set[str]] = {}
+    for part in parts:
+        for f in part.schema.fields:
+            kinds.setdefault(f.name, set()).add(f.dataType.simpleString())
+    mixed = [name for name, seen in kinds.items() if len(seen) > 1]
+    parts = [p.withColumns({c: ref(c).cast("string") for c in mixed if c in p.columns}) for p in parts]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def json_rows(docs: DataFrame) -> DataFrame:
     """Every object inside a list becomes a row; rows of all lists are united by name.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import gaugeframe as gf
 
-from .registry import query, rounded, table
+from .registry import new_folder, query, rounded, table
 
 
 def order_documents(spark, sf_dir):
@@ -242,3 +242,33 @@ UNION ALL SELECT p_partkey, 'l1_l2_l3_l4_l5_l6_l7_l8_l9_l10_l11_brand', p_brand
 """)
 def metadata_deep(spark, sf_dir):
     return gf.flatten_documents(deep_documents(spark, sf_dir)).select("doc_id", "key", "value")
+
+
+@query("json_files", """
+SELECT o_orderkey AS id, o_custkey AS customer, NULL::VARCHAR AS priority FROM orders WHERE o_orderkey % 2 = 0
+UNION ALL SELECT o_orderkey, NULL, o_orderpriority FROM orders WHERE o_orderkey % 2 = 1
+""")
+def json_files(spark, sf_dir):
+    """Files that are a list and files that hold one, in one folder."""
+    path = new_folder(spark)
+    row = F.when(
+        F.col("o_orderkey") % 2 == 0,
+        F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"))),
+    ).otherwise(
+        F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority")))
+    )
+    rows = F.concat(F.lit("["), F.concat_ws(",", F.array_sort(F.collect_list(row))), F.lit("]"))
+    (
+        table(spark, sf_dir, "orders")
+        .groupBy((F.col("o_orderkey") % 8).alias("file"))
+        .agg(rows.alias("rows"))
+        .select(
+            "file",
+            F.when(F.col("file") % 2 == 0, F.col("rows"))
+            .otherwise(F.concat(F.lit('{"kind": "orders", "inner": {"rows": '), "rows", F.lit("}}")))
+            .alias("value"),
+        )
+        .write.partitionBy("file")
+        .text(path)
+    )
+    return gf.read_json_rows(spark, f"{path}/*").select("id", "customer", "priority")
