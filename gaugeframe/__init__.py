@@ -26,6 +26,7 @@ from .operators.imbalance import class_distribution, imbalance_degree
 from .operators.metadata import (
     datacite_checks,
     dcat_checks,
+    document_status,
     fair_scores,
     flatten_documents,
     other_keys,

@@ -42,6 +42,20 @@ DATACITE_FIELDS = {
 }
 
 
+def document_status(docs: DataFrame) -> DataFrame:
+    """``(doc_id, status)``: ``ok`` for a JSON object, else ``invalid``.
+
+    Flattening, checks and scores leave invalid documents out.
+    """
+    require_columns(docs, ["doc_id", "doc"], "document column")
+    return docs.select("doc_id", F.when(_is_object(), "ok").otherwise("invalid").alias("status"))
+
+
+def _is_object() -> Column:
+    shape = F.schema_of_variant(F.try_parse_json("doc"))
+    return F.coalesce(F.startswith(shape, F.lit("OBJECT")), F.lit(False))
+
+
 def flatten_documents(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``(doc_id, ord, key, value)``: the leaves of every document, in its order.
 
@@ -65,7 +79,8 @@ def _depth(docs: DataFrame) -> int:
 
     Without its texts a document is brackets, whose running sum is the level.
     """
-    bare = F.regexp_replace("doc", r'"(?:[^"\\\\]|\\\\.)*"', "")
+    plain = F.regexp_replace("doc", r"\\[\s\S]", "")  # no escaped quote is left
+    bare = F.regexp_replace(plain, r'"[^"]*"', "")
     marks = F.translate(F.regexp_replace(bare, r"[^\[\]{}]", ""), "{}", "[]")
     steps = F.transform(F.split(marks, ""), lambda c: F.when(c == "[", 1).when(c == "]", -1).otherwise(0))
     top = F.aggregate(
@@ -90,7 +105,7 @@ def _with_leaves(docs: DataFrame, max_depth: int | None) -> DataFrame:
         F.col("doc").alias("value"),
         F.lit("object").alias("kind"),
     )
-    found = docs.select("doc_id", _leaves_below(root, max_depth, max_depth).alias("found"))
+    found = docs.filter(_is_object()).select("doc_id", _leaves_below(root, max_depth, max_depth).alias("found"))
     listed = found.withColumn("keys", F.transform("found", lambda leaf: leaf["key"]))
     last = F.transform(
         F.array_distinct("keys"),
@@ -291,7 +306,8 @@ def datacite_checks(docs: DataFrame) -> DataFrame:
     found = F.map_contains_key("fields", F.col("field"))
     passed = F.coalesce(found, F.lit(False))
     return (
-        docs.select("doc_id", F.from_json("doc", "map<string,string>").alias("fields"))
+        docs.filter(_is_object())
+        .select("doc_id", F.from_json("doc", "map<string,string>").alias("fields"))
         .select("doc_id", "fields", F.inline(wanted))
         .select(
             "doc_id",

@@ -57,6 +57,14 @@ def test_depth_is_measured(spark):
     assert {r["key"]: r["value"] for r in got if r["doc_id"] == 2} == quoted
 
 
+def test_invalid_documents_have_a_status_and_no_score(spark):
+    table = documents(spark, {"title": 1}, "[1, 2]", "{broken", '"text"', "", {})
+    status = {r["doc_id"]: r["status"] for r in gf.document_status(table).collect()}
+    assert status == {0: "ok", 1: "invalid", 2: "invalid", 3: "invalid", 4: "invalid", 5: "ok"}
+    for checks in (gf.dcat_checks(table), gf.datacite_checks(table)):
+        assert {r["doc_id"] for r in gf.fair_scores(checks).collect()} == {0, 5}
+
+
 def test_a_given_depth_is_a_limit(spark):
     docs = documents(spark, {"a": {"b": {"c": 1}}})
     assert gf.flatten_documents(docs, max_depth=3).count() == 1

@@ -272,3 +272,19 @@ def json_files(spark, sf_dir):
         .text(path)
     )
     return gf.read_json_rows(spark, f"{path}/*").select("id", "customer", "priority")
+
+
+@query("fair_status", """
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'ok' ELSE 'invalid' END AS status,
+       CASE WHEN doc_id % 3 = 0 THEN 2::BIGINT END AS passed FROM documents
+""")
+def fair_status(spark, sf_dir):
+    """A third are objects; the others are bare texts or lists, and have no score."""
+    good = F.to_json(F.struct(F.col("source").alias("title"), F.col("lang").alias("language")))
+    listed = F.to_json(F.array("source"))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        F.when(F.col("doc_id") % 3 == 0, good).when(F.col("doc_id") % 3 == 1, listed).otherwise(F.col("text")).alias("doc"),
+    )
+    scores = gf.fair_scores(gf.dcat_checks(docs)).filter("principle = 'Total'").select("doc_id", "passed")
+    return gf.document_status(docs).join(scores, "doc_id", "left")
