@@ -21,9 +21,9 @@ The model grows with the number of different pairs and must fit the shared folde
 must be mounted as a file system on all machines. Larger orders would not fit the disk
 budget of the check tool: see the README.
 
-Defined cases: a null text is empty and has the end alone; words have A-Z in lower case; without training rows every word is unknown; equal
-texts have equal scores; an empty table gives an empty table; other columns, whatever
-their names, are not read.
+Defined cases: a null text is empty and has the end alone; words have A-Z in lower case;
+without training rows every word is unknown; equal texts have equal scores; an empty table
+gives an empty table; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -25,6 +25,8 @@ from .words import let
 
 LOCAL = "[A-Za-z0-9._%+-]"
 NEARBY = 48
+#: Matches whose places are summed in one go, so that time does not grow with their square.
+BLOCK = 256
 
 
 def digits(match: Column) -> Column:
@@ -114,7 +116,7 @@ EXTRA = (
     ),
     Kind(
         "phone_local",
-        r"(?<![0-9+().\x20-])(?<![0-9+][\x20])[(0][0-9]{2,4}[)\x20./-]{1,2}[0-9][0-9\x20-]{4,11}[0-9](?![0-9])",
+        r"(?<![0-9+().-])(?<![0-9+][\x20])[(0][0-9]{2,4}[)\x20./-]{1,2}[0-9][0-9\x20-]{4,11}[0-9](?![0-9])",
         _has_digits(8, 13),
         "",
         0.4,
@@ -131,10 +133,6 @@ def kind_spans(text: Column, kind: Kind) -> Column:
     def located(matches: Column) -> Column:
         gaps = F.split(text, kind.pattern, -1)
         pairs = F.arrays_zip(gaps.alias("gap"), matches.alias("match"))
-        first = F.struct(
-            F.lit(0).alias("at"),
-            F.array().cast("array<struct<start:int,end:int,match:string,before:string>>").alias("spans"),
-        )
 
         def step(acc: Column, pair: Column) -> Column:
             start = acc["at"] + F.length(pair["gap"])
@@ -152,7 +150,39 @@ def kind_spans(text: Column, kind: Kind) -> Column:
             ).otherwise(acc["spans"])
             return F.struct(end.alias("at"), spans.alias("spans"))
 
-        return F.aggregate(pairs, first, step, lambda acc: acc["spans"])
+        def from_place(block: Column, at: Column) -> Column:
+            none = F.array().cast(
+                "array<struct<start:int,end:int,match:string,before:string>>"
+            )
+            first = F.struct(at.alias("at"), none.alias("spans"))
+            return F.aggregate(block, first, step, lambda acc: acc["spans"])
+
+        def summed(blocks: Column) -> Column:
+            lengths = F.transform(
+                blocks,
+                lambda block: F.aggregate(
+                    block,
+                    F.lit(0),
+                    lambda n, p: n + F.length(p["gap"]) + F.coalesce(F.length(p["match"]), F.lit(0)),
+                ),
+            )
+            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("places"))
+            places = F.aggregate(
+                lengths,
+                start,
+                lambda acc, n: F.struct(
+                    (acc["at"] + n).alias("at"),
+                    F.array_append(acc["places"], acc["at"]).alias("places"),
+                ),
+                lambda acc: acc["places"],
+            )
+            return F.flatten(F.zip_with(blocks, places, from_place))
+
+        def in_blocks(each: Column) -> Column:
+            at = F.sequence(F.lit(1), F.size(each), F.lit(BLOCK))
+            return let(F.transform(at, lambda i: F.slice(each, i, BLOCK)), summed)
+
+        return let(pairs, in_blocks)
 
     found = let(F.regexp_extract_all(text, regex, F.lit(0)), located)
     score = F.lit(kind.score)
