@@ -111,6 +111,19 @@ def chance_of_equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 0.169919487159739 * 2.0**-MANTISSA_BITS * 4 * ratio / (1 + ratio) ** 2
 
 
+def _digest(hashes: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None
+
+
+def _digest_of(size: int):
+    """A function of a text column: the digest of each text's set, null for an empty one."""
+
+    def digests(texts: pa.Array) -> pa.Array:
+        return pa.array([_digest(s) for s in shingle_sets(texts, size)], pa.binary())
+
+    return F.arrow_udf(digests, "binary")
+
+
 class _Sketch:
     def __init__(self, size: int):
         self.size = size
@@ -129,12 +142,7 @@ class _Sketch:
                         ids.slice(at, 2048),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(
-                            [
-                                hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-                                if len(s)
-                                else None
-                                for s in sets
-                            ],
+                            [_digest(s) for s in sets],
                             pa.binary(),
                         ),
                         pa.array(
@@ -382,7 +390,7 @@ def linked_components(
     return known
 
 
-def near_duplicates(
+def _grouped(
     docs: DataFrame,
     *,
     id_col: str = "doc_id",
@@ -390,12 +398,8 @@ def near_duplicates(
     size: int = 5,
     percent: int = 75,
     star_rounds: int = STAR_ROUNDS,
-) -> DataFrame:
-    """``id, n_shingles, component_id`` of each row of ``docs``.
-
-    ``component_id`` is the smallest id that links of at least ``percent`` per cent
-    similarity lead to.
-    """
+) -> tuple[DataFrame, DataFrame]:
+    """``id, n, digest, regs`` of each row, and ``digest, c`` of the sets of several rows or with a link."""
     if not 50 <= percent <= 100 or not math.isfinite(size) or size < 1:
         raise ValueError("percent must be from 50 to 100 and size at least 1")
     plain = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
@@ -423,14 +427,66 @@ def near_duplicates(
         .where("copies > 1 or c is not null")
         .select("digest", F.coalesce("c", "id").alias("c"))
     )
+    return sketches, changed
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``id, n_shingles, component_id`` of each row of ``docs``.
+
+    ``component_id`` is the smallest id that links of at least ``percent`` per cent
+    similarity lead to. Options are those of ``_grouped``.
+    """
+    sketches, changed = _grouped(docs, **options)
     return sketches.select("id", "n", "digest").join(changed, "digest", "left").select(
         "id", F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id")
     )
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """One row of ``docs`` for each component: that of the smallest id."""
-    found = near_duplicates(docs, id_col=id_col, **options)
-    dropped = found.where("id <> component_id or id is null and component_id is not null")
-    dropped = dropped.select(F.col("id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs[id_col].eqNullSafe(dropped["_dropped"]), "left_anti")
+def keep_one(
+    docs: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    size: int = 5,
+    **options,
+) -> DataFrame:
+    """One row of ``docs`` for each component: that of the smallest id.
+
+    Rows are dropped by id and text, so that a row whose id is null or repeated goes only
+    with its own text. Of copies that have no id in their component one stays. Rows of
+    the smallest id that differ in columns besides the text stay each. Texts without words
+    stay.
+    """
+    sketches, changed = _grouped(docs, id_col=id_col, text_col=text_col, size=size, **options)
+    several = written(sketches.groupBy("id").agg(F.count("*").alias("k")).where("id is null or k > 1"))
+    repeated = several.where("id is not null").select(F.col("id").alias("_dropped"))
+    # an id of one row tells its text
+    dropped = sketches.join(changed, "digest").where("id <> c").select(F.col("id").alias("_dropped"))
+    dropped = dropped.unionByName(repeated).distinct()
+    single = docs.where(docs[id_col].isNotNull()).join(
+        dropped, docs[id_col] == dropped["_dropped"], "left_anti"
+    )
+    if several.isEmpty():
+        return single
+    rest = docs.where(docs[id_col].isNull()).unionByName(
+        docs.join(repeated, docs[id_col] == repeated["_dropped"], "left_semi")
+    )
+    others = [rest[c] for c in docs.columns if c not in (id_col, text_col)]
+    others = F.to_json(F.struct(*others)) if others else F.lit("")
+    marked = rest.select(
+        F.struct("*").alias("doc"),
+        rest[id_col].alias("id"),
+        F.when(rest[id_col].isNotNull(), F.sha2(others, 256)).alias("others"),
+        F.xxhash64(rest[text_col]).alias("order"),
+        _digest_of(size)(rest[text_col]).alias("digest"),
+    )
+    kept = (
+        marked.where("digest is not null")
+        .groupBy("digest", "id", "others")
+        .agg(F.min_by("doc", "order").alias("doc"))
+        .join(changed, "digest", "left")
+        .where("c is null or id = c")
+    )
+    return single.unionByName(marked.where("digest is null").select("doc.*")).unionByName(
+        kept.select("doc.*")
+    )

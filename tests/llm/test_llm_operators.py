@@ -246,6 +246,20 @@ def test_near_duplicates(odd, empty):
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} >= {g for g in groups if g is not None}
 
 
+def test_one_row_of_each_group_stays(spark):
+    """Rows go by id and text: unique texts stay beside null or repeated ids."""
+    t, u, a, b, v = (" ".join(f"{x}{k}" for k in range(30)) for x in "tuabv")
+    rows = [
+        (7, t, 0), (None, t, 1), (None, u, 2), (2, b, 3), (5, b, 4), (5, a, 5), (None, v, 6), (None, v, 7),
+        (8, " ".join(v.split()[:20]), 8), (8, " ".join(v.split()[:20]), 8), (None, None, 9), (None, "", 9),
+        (9, None, 9),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id int").repartition(3)
+    got = [tuple(r)[:2] for r in hyperminhash.keep_one(df).collect()]
+    want = [(7, t), (None, u), (2, b), (5, a), (None, v), rows[8][:2], (None, None), (None, ""), (9, None)]
+    assert ordered(got) == ordered(want)
+
+
 @pytest.mark.parametrize("crowd", [64, 3])
 def test_links_in_chains_and_without_stars(spark, monkeypatch, crowd):
     """Neighbours in a chain are alike, its ends are not."""
