@@ -191,6 +191,30 @@ def test_json_files(spark, tmp_path):
         gf.json_rows(spark.createDataFrame([(1, [1])], "a int, b array<int>"))
 
 
+def test_written_files_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    from workload import documents as json_queries
+    from workload import tables
+
+    docs = spark.range(120).selectExpr("id AS doc_id", "'s' AS source", "concat('a \"q\"\n', id) AS text")
+    monkeypatch.setattr(tables, "table", lambda *_: docs.repartition(12))
+    monkeypatch.setattr(tables, "new_folder", lambda _: str(tmp_path / "csv"))
+    got = tables.csv_quoted(spark, "").collect()
+    assert sorted(r["doc_id"] for r in got) == list(range(120)) and {r["source"] for r in got} == {"s"}
+    files = list((tmp_path / "csv").glob("part-*"))
+    assert len(files) == 12 and all(f.read_text().startswith("doc_id,source,text\n") for f in files)
+
+    orders = spark.range(60_000).selectExpr(
+        "id AS o_orderkey", "id + 7 AS o_custkey", "'O' AS o_orderstatus", "'low' AS o_orderpriority"
+    )
+    monkeypatch.setattr(json_queries, "table", lambda *_: orders)
+    monkeypatch.setattr(json_queries, "new_folder", lambda _: str(tmp_path / "json"))
+    got = json_queries.json_files(spark, "")
+    assert got.where("id % 2 = 0 AND customer = id + 7 AND priority IS NULL").count() == 30_000
+    assert got.where("id % 2 = 1 AND customer IS NULL AND priority = 'low'").count() == 30_000
+    sizes = [f.read_text().count('"id"') for f in (tmp_path / "json").glob("*/part-*")]
+    assert sum(sizes) == 60_000 and max(sizes) <= 5_000
+
+
 def test_json_keys_and_kept_keys(spark):
     docs = documents(spark, '{"z": 1, "a": [2], "m": {"k": 1}}', "[1]", '"x"')
     got = [tuple(r) for r in gf.json_keys(docs).collect()]

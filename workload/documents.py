@@ -260,7 +260,7 @@ def json_files(spark, sf_dir):
     rows = F.concat(F.lit("["), F.concat_ws(",", F.array_sort(F.collect_list(row))), F.lit("]"))
     (
         table(spark, sf_dir, "orders")
-        .groupBy((F.col("o_orderkey") % 8).alias("file"))
+        .groupBy((2 * F.floor(F.col("o_orderkey") / 10_000) + F.col("o_orderkey") % 2).alias("file"))
         .agg(rows.alias("rows"))
         .select(
             "file",

@@ -150,11 +150,9 @@ def csv_quoted(spark, sf_dir):
     path = new_folder(spark)
     quoted = lambda c: F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"'))
     line = F.concat_ws(",", F.col("doc_id"), quoted("source"), quoted("text"))
-    files = (
-        table(spark, sf_dir, "documents")
-        .groupBy((F.col("doc_id") % 8).alias("file"))
-        .agg(F.concat_ws("\n", F.lit("doc_id,source,text"), F.array_sort(F.collect_list(line))).alias("value"))
-    )
-    files.write.partitionBy("file").text(path)
-    back = gf.read_csv(spark, f"{path}/*", "doc_id bigint, source string, text string")
+    # each partition is one file; the lower 33 bits number its rows
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    header = F.when(first, F.lit("doc_id,source,text\n")).otherwise("")
+    table(spark, sf_dir, "documents").select(F.concat(header, line).alias("value")).write.text(path)
+    back = gf.read_csv(spark, path, "doc_id bigint, source string, text string")
     return back.select("doc_id", "source", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n"))
