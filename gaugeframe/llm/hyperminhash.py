@@ -8,7 +8,8 @@ propose pairs; the share of equal registers, corrected for those equal by chance
 estimates the Jaccard similarity of a pair; pairs that may reach the threshold are
 compared on their full shingle sets.
 
-Texts with equal sets are one class first, so copies cost one row each. Within a band's
+Texts with equal sets are one class first, known by the digest of its set, so copies cost
+one row each. Within a band's
 bucket pairs are proposed in rounds, all with one member, chosen anew each round. Only pairs
 across components are ever compared, so a large group of copies costs about one comparison
 for each member. What buckets then still hold in several components is compared in full:
@@ -233,8 +234,8 @@ def _block_links(rows: list[tuple], size: int, percent: int) -> Iterator[tuple]:
 class _Blocks:
     """Linked pairs of all blocks; rows ``(block, first, second, id, c, text)`` come sorted by block."""
 
-    def __init__(self, size: int, percent: int, kind: pa.DataType):
-        self.size, self.percent, self.kind = size, percent, kind
+    def __init__(self, size: int, percent: int):
+        self.size, self.percent = size, percent
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
@@ -251,11 +252,11 @@ class _Blocks:
             pairs = sorted(set(_block_links(rows, self.size, self.percent)))
             if pairs:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, self.kind) for x in zip(*pairs, strict=True)], names=["a", "b"]
+                    [pa.array(x, pa.binary()) for x in zip(*pairs, strict=True)], names=["a", "b"]
                 )
 
 
-def _crowds(members: DataFrame, texts: DataFrame, *, size: int, percent: int, kind: str) -> DataFrame:
+def _crowds(members: DataFrame, texts: DataFrame, *, size: int, percent: int) -> DataFrame:
     """``a, b``: all links across components in crowded buckets ``members(key, id, c)``.
 
     Documents whose crowded buckets overlap are one crowd. A crowd is cut into blocks of
@@ -277,7 +278,7 @@ def _crowds(members: DataFrame, texts: DataFrame, *, size: int, percent: int, ki
     )
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     other = F.col("other")
-    block = F.concat_ws("/", "crowd", F.least("own", other), F.greatest("own", other))
+    block = F.concat_ws("/", F.hex("crowd"), F.least("own", other), F.greatest("own", other))
     dealt = (
         rows.join(sizes, "crowd")
         .withColumn("own", own)
@@ -291,11 +292,10 @@ def _crowds(members: DataFrame, texts: DataFrame, *, size: int, percent: int, ki
             "text",
         )
     )
-    id_type = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
     return (
         dealt.repartition("block")
         .sortWithinPartitions("block")
-        .mapInArrow(_Blocks(size, percent, id_type), f"a {kind}, b {kind}")
+        .mapInArrow(_Blocks(size, percent), "a binary, b binary")
     )
 
 
@@ -305,16 +305,41 @@ def _labels(members: DataFrame, known: DataFrame | None) -> DataFrame:
     return members.join(known, "id", "left").withColumn("c", F.coalesce("c", "id"))
 
 
-def _empty(spark: SparkSession, kind: str, *names: str) -> DataFrame:
-    return spark.createDataFrame([], ", ".join(f"{n} {kind}" for n in names))
+def _empty(spark: SparkSession, *names: str) -> DataFrame:
+    return spark.createDataFrame([], ", ".join(f"{n} binary" for n in names))
+
+
+def _class_texts(plain: DataFrame, sketches: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """``id, text``: a text of each class of ``wanted(id, doc)``, by digest ``id`` and smallest id ``doc``.
+
+    An id of one row tells its text; texts of repeated ids are told apart by their digests.
+    """
+    ids = sketches.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("doc"))
+    repeated = written(ids.agg(F.count("*").alias("k")).where("k > 1").select("doc"))
+    plain = plain.select(F.col("id").alias("doc"), "text")
+    single = plain.join(wanted.join(repeated, "doc", "left_anti"), "doc").select("id", "text")
+    if repeated.isEmpty():
+        return single
+    told = (
+        plain.join(repeated, "doc", "left_semi")
+        .select(_digest_of(size)("text").alias("id"), "text")
+        .where("id is not null")
+        .groupBy("id")
+        .agg(F.min("text").alias("text"))
+        .join(wanted.join(repeated, "doc", "left_semi"), "id", "left_semi")
+    )
+    return single.unionByName(told)
 
 
 def linked_components(
-    texts: DataFrame, reps: DataFrame, *, size: int, percent: int, star_rounds: int
+    plain: DataFrame, rows: DataFrame, reps: DataFrame, *, size: int, percent: int, star_rounds: int
 ) -> DataFrame:
-    """``id, c`` of the representatives that are linked; ``reps(id, n, regs)`` are distinct sets."""
-    spark = texts.sparkSession
-    kind = reps.schema["id"].dataType.simpleString()
+    """``id, c`` of the classes that are linked, by digest.
+
+    ``reps(id, doc, n, regs)`` are distinct sets with their digest and smallest id, ``rows`` the
+    sketches of all rows of ``plain(id, text)``.
+    """
+    spark = plain.sparkSession
     bands = F.array(
         *[
             F.xxhash64(F.lit(i), F.substring("regs", 2 * BAND * i + 1, 2 * BAND))
@@ -326,8 +351,8 @@ def linked_components(
     members = written(banded.join(shared, "key"))
     proposed = members.select("id").distinct()
     sketches = written(reps.join(proposed, "id"))
-    texts = written(texts.join(proposed, "id"))
-    tested = _empty(spark, kind, "a", "b")
+    texts = written(_class_texts(plain, rows, sketches.select("id", "doc"), size))
+    tested = _empty(spark, "a", "b")
     known = None
     for turn in range(star_rounds + 1):
         labelled = written(_labels(members, known))
@@ -347,9 +372,7 @@ def linked_components(
             several = several.where("lo < hi").select("key", (F.col("k") > CROWD).alias("crowd"))
             rest = written(labelled.join(several, "key"))
             crowded = written(
-                _crowds(
-                    rest.where("crowd"), texts, size=size, percent=percent, kind=kind
-                )
+                _crowds(rest.where("crowd"), texts, size=size, percent=percent)
             )
             few = rest.where("not crowd").select("key", "id", "c")
             other = few.select("key", F.col("id").alias("id0"), F.col("c").alias("c0"))
@@ -370,7 +393,7 @@ def linked_components(
             .join(b, "b")
             .where(fit)
             .select("a", "b", "ra", "rb", "na", "nb")
-            .mapInArrow(_Likely(percent / 100), f"a {kind}, b {kind}")
+            .mapInArrow(_Likely(percent / 100), "a binary, b binary")
         )
         ta = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
         tb = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
@@ -378,7 +401,7 @@ def linked_components(
             likely.join(ta, "a")
             .join(tb, "b")
             .select("a", "b", "ta", "tb")
-            .mapInArrow(_Linked(size, percent), f"a {kind}, b {kind}")
+            .mapInArrow(_Linked(size, percent), "a binary, b binary")
         )
         if turn == star_rounds:
             links = links.unionByName(crowded)
@@ -399,7 +422,10 @@ def _grouped(
     percent: int = 75,
     star_rounds: int = STAR_ROUNDS,
 ) -> tuple[DataFrame, DataFrame]:
-    """``id, n, digest, regs`` of each row, and ``digest, c`` of the sets of several rows or with a link."""
+    """``id, n, digest, regs`` of each row, and ``digest, root, c`` of the sets of several rows or with a link.
+
+    ``root`` is the digest that names the group of linked sets, ``c`` the smallest id in it.
+    """
     if not 50 <= percent <= 100 or not math.isfinite(size) or size < 1:
         raise ValueError("percent must be from 50 to 100 and size at least 1")
     plain = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
@@ -416,17 +442,21 @@ def _grouped(
             F.first("regs").alias("regs"),
         )
     )
-    reps = classes.where(F.col("id").isNotNull()).select("id", "n", "regs").dropDuplicates(["id"])
-    known = linked_components(
-        plain, reps, size=size, percent=percent, star_rounds=star_rounds
+    reps = classes.where(F.col("id").isNotNull()).select(
+        F.col("digest").alias("id"), F.col("id").alias("doc"), "n", "regs"
     )
+    known = linked_components(
+        plain, sketches, reps, size=size, percent=percent, star_rounds=star_rounds
+    ).select(F.col("id").alias("digest"), F.col("c").alias("root"))
     # only classes of several rows or with a link change a component
     changed = (
         classes.select("digest", "copies", "id")
-        .join(known, "id", "left")
-        .where("copies > 1 or c is not null")
-        .select("digest", F.coalesce("c", "id").alias("c"))
+        .join(known, "digest", "left")
+        .where("copies > 1 or root is not null")
+        .select("digest", "id", F.coalesce("root", "digest").alias("root"))
     )
+    least = changed.groupBy("root").agg(F.min("id").alias("c"))
+    changed = written(changed.join(least, "root").select("digest", "root", "c"))
     return sketches, changed
 
 
@@ -437,9 +467,24 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     similarity lead to. Options are those of ``_grouped``.
     """
     sketches, changed = _grouped(docs, **options)
-    return sketches.select("id", "n", "digest").join(changed, "digest", "left").select(
-        "id", F.col("n").alias("n_shingles"), F.coalesce("c", "id").alias("component_id")
+    grouped = sketches.join(changed, "digest", "left").select(
+        "id", "n", "digest", F.coalesce("root", "digest").alias("root"), F.coalesce("c", "id").alias("c")
     )
+    result = lambda c: grouped.select("id", F.col("n").alias("n_shingles"), c.alias("component_id"))
+    # groups that hold rows of one id share a component
+    some = sketches.where("id is not null and digest is not null")
+    apart = some.groupBy("id").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+    apart = written(apart.where("lo < hi").select("id"))
+    if apart.isEmpty():
+        return result(F.col("c"))
+    held = grouped.where("digest is not null").join(apart, "id", "left_semi").select("id", "root").distinct()
+    first = held.groupBy("id").agg(F.min("root").alias("a"))
+    united = components(held.join(first, "id").select("a", F.col("root").alias("b")))
+    united = united.select(F.col("id").alias("root"), F.col("c").alias("united"))
+    smallest = grouped.join(united, "root").groupBy("united").agg(F.min("c").alias("shared"))
+    shared = united.join(smallest, "united").select("root", "shared")
+    grouped = grouped.join(shared, "root", "left")
+    return result(F.coalesce("shared", "c"))
 
 
 def keep_one(
@@ -486,6 +531,8 @@ def keep_one(
         .agg(F.min_by("doc", "order").alias("doc"))
         .join(changed, "digest", "left")
         .where("c is null or id = c")
+        .groupBy(F.coalesce("root", "digest"), "id", "others")
+        .agg(F.min_by("doc", "digest").alias("doc"))
     )
     return single.unionByName(marked.where("digest is null").select("doc.*")).unionByName(
         kept.select("doc.*")

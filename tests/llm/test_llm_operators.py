@@ -260,6 +260,18 @@ def test_one_row_of_each_group_stays(spark):
     assert ordered(got) == ordered(want)
 
 
+def test_texts_of_a_repeated_id_keep_their_links(spark):
+    """Both texts of id 5 have a near copy; so do the ids that link them."""
+    a, b, other = (" ".join(f"{x}{k}" for k in range(60)) for x in "abo")
+    docs = [(5, a), (5, b), (7, a + " end"), (6, b + " end"), (8, other), (9, other), (9, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = hyperminhash.near_duplicates(df).collect()
+    assert sorted(r["component_id"] for r in got if r["id"] in (5, 6, 7)) == [5] * 4
+    assert sorted(r["component_id"] for r in got if r["id"] == 8) == [8]
+    kept = [tuple(r) for r in hyperminhash.keep_one(df).collect()]
+    assert ordered(kept) == ordered([(5, a), (5, b), (8, other), (9, None)])
+
+
 @pytest.mark.parametrize("crowd", [64, 3])
 def test_links_in_chains_and_without_stars(spark, monkeypatch, crowd):
     """Neighbours in a chain are alike, its ends are not."""
