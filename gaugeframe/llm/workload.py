@@ -18,6 +18,7 @@ from . import (
     personal_data,
     quality_rules,
     substring_dedup,
+    token_alignment,
 )
 from .storage import written
 
@@ -246,3 +247,16 @@ def op10_personal_data(spark, sf_dir):
         F.sha2(personal_data.listing(base), 256).alias("base_sha256"),
         personal_data.listing((*base, *extra)).alias("spans"),
     )
+
+
+@query("op13_spill_alignment")
+def op13_spill_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = token_alignment.align(
+        docs,
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+    return found.withColumnRenamed("id", "doc_id")

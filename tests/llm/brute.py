@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import bisect
 import collections
+import hashlib
 import math
 import re
 import zlib
@@ -209,3 +211,67 @@ class PairModel:
 
 def crc_of_ids(ids):
     return zlib.crc32(b"".join(int(i).to_bytes(4, "little") for i in ids))
+
+
+def alignment(texts, byte_path, piece_path):
+    """Counts, links by pair and listing of each text, from tokens of whole texts."""
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    byte = Tokenizer.from_file(byte_path)
+    byte.encode_special_tokens = True
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [x for x in range(256) if x not in shown]
+    letters = {chr(x): x for x in shown} | {chr(256 + k): x for k, x in enumerate(hidden)}
+    piece = sentencepiece.SentencePieceProcessor(model_file=piece_path)
+    held, rows = [], []
+    for text in texts:
+        links, listing, n = collections.Counter(), [], [0, 0, 0, 0]
+        whole = (" " + (text or "")).encode()
+        a = byte.encode(" " + (text or ""), add_special_tokens=False)
+        a = [(i, bytes(letters[c] for c in t)) for i, t in zip(a.ids, a.tokens, strict=True)]
+        b = []
+        for i in piece.encode(text or ""):
+            name = piece.id_to_piece(i)
+            b.append((i, bytes([int(name[3:5], 16)]) if piece.is_byte(i) else name.replace("▁", " ").encode()))
+        if text and b"".join(t for _, t in a) == whole == b"".join(t for _, t in b):
+            sides = []
+            for tokens in (a, b):
+                at, ends = 0, []
+                for i, t in tokens:
+                    at += len(t)
+                    ends.append((at, i))
+                sides.append(ends)
+            common = sorted({e for e, _ in sides[0]} & {e for e, _ in sides[1]})
+            start = 0
+            for stop in common:
+                left, right = (
+                    [
+                        i
+                        for _, i in side[
+                            bisect.bisect(side, (start, 1 << 40)) : bisect.bisect(side, (stop, 1 << 40))
+                        ]
+                    ]
+                    for side in sides
+                )
+                listing.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
+                for x in left:
+                    for y in right:
+                        links[x, y] += 1
+                start = stop
+            n = [len(a), len(b), len(common), sum(links.values())]
+        held.append(links)
+        rows.append((n, hashlib.sha256(";".join(listing).encode()).hexdigest() if listing else ""))
+    counts = collections.Counter(p for links in held for p in links)
+    most = collections.Counter()
+    for (x, _), c in counts.items():
+        most[x] = max(most[x], c)
+    return [
+        (
+            *n,
+            sum(k for p, k in links.items() if counts[p] == most[p[0]]),
+            sum(k * counts[p] for p, k in links.items()),
+            digest,
+        )
+        for links, (n, digest) in zip(held, rows, strict=True)
+    ]
