@@ -19,6 +19,8 @@ from . import (
     quality_rules,
     substring_dedup,
     token_alignment,
+    vector_search,
+    whitening,
 )
 from .storage import written
 
@@ -249,6 +251,40 @@ def op10_personal_data(spark, sf_dir):
     )
 
 
+@query(
+    "op11_block_search",
+    """
+    WITH vectors AS (
+      SELECT vec_id, row_number() OVER () AS row,
+             list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) AS x
+      FROM embeddings
+      WHERE embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = len(embedding)),
+    scored AS (
+      SELECT q.vec_id AS query_id, q.row, v.vec_id,
+             list_dot_product(q.x, v.x)::BIGINT AS score
+      FROM vectors q JOIN vectors v ON q.vec_id % 50 = 0 AND q.row <> v.row),
+    ranked AS (
+      SELECT query_id, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id)::INT AS rank,
+             vec_id, score
+      FROM scored)
+    SELECT * FROM ranked WHERE rank <= 5
+    """,
+)
+def op11_block_search(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = vector_search.top_products(rows, F.col("vec_id") % 50 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
+@query("op12_jacobi_davidson")
+def op12_jacobi_davidson(spark, sf_dir):
+    found = whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return found.withColumnRenamed("id", "vec_id").withColumn(
+        "deviation", F.col("deviation").cast("long")
+    )
+
+
 @query("op13_spill_alignment")
 def op13_spill_alignment(spark, sf_dir):
     import public_tokenizers
