@@ -42,9 +42,9 @@ from .scaled_vectors import integer_rows, matrix, press, scaled
 from .storage import written
 
 #: Vectors that the search starts from, and directions that it starts with and is cut back to.
-SAMPLE, KEPT, LARGEST = 4096, 16, 40
+SAMPLE, KEPT, LARGEST = 4096, 24, 48
 #: Steps of MINRES for one correction, and the residual at which they end.
-STEPS, INNER = 12, 0.02
+STEPS, INNER = 8, 0.1
 #: Residual norms count as zero below this share of the trace.
 PRECISION = 2 * np.finfo(float).eps
 #: Vectors of a block, and sums that the driver adds.
