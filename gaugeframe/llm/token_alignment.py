@@ -47,8 +47,8 @@ from .words import spread, text_buffers
 #: Parts of a run. A fixed count: a part holds the pairs of one A id in so many.
 RADIX = 64
 #: Segments of a run, and bytes of its distinct segments, after which it is spilled.
-RUN_SEGMENTS = 1 << 21
-CACHED_SEGMENTS, CACHED_BYTES = 300_000, 1 << 25
+RUN_SEGMENTS = 1 << 20
+CACHED_SEGMENTS, CACHED_BYTES = 200_000, 1 << 24
 #: Runs that one merge reads.
 FAN_IN = 256
 #: Distinct segments that are read as one text.
