@@ -25,7 +25,9 @@ from .operators.fairness import (
 from .operators.imbalance import class_distribution, imbalance_degree
 from .operators.metadata import (
     datacite_checks,
+    datacite_scores,
     dcat_checks,
+    dcat_scores,
     document_status,
     fair_scores,
     flatten_documents,

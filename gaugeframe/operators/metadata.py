@@ -52,8 +52,15 @@ def document_status(docs: DataFrame) -> DataFrame:
 
 
 def _is_object() -> Column:
-    shape = F.schema_of_variant(F.try_parse_json("doc"))
-    return F.coalesce(F.startswith(shape, F.lit("OBJECT")), F.lit(False))
+    return _holds(F.try_parse_json("doc"), "map<string,variant>")
+
+
+def _holds(value: Column, container: str) -> Column:
+    """Whether a variant is an object or a list; looks at its outermost level only."""
+    return F.try_variant_get(value, "$", container).isNotNull()
+
+
+_NODES = "array<struct<key:string,value:string,kind:string>>"
 
 
 def flatten_documents(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -61,120 +68,145 @@ def flatten_documents(docs: DataFrame, max_depth: int | None = None) -> DataFram
 
     Keys are joined by ``_`` and list items numbered from 1; items of a list that
     are lists themselves stay one leaf, empty containers have none. If two paths
-    give one key, the first place and the last value count. The depth is measured
-    first, in one narrow pass, unless ``max_depth`` gives it; containers below a
-    given depth are an error.
+    give one key, the first place and the last value count. Documents may have any
+    depth; with ``max_depth`` a document that has containers below it is an error.
     """
     # the outer form: else the optimizer evaluates the array twice, for a filter on its size
     return (
-        _with_leaves(docs, max_depth)
-        .select("doc_id", F.posexplode_outer("leaves").alias("ord", "leaf"))
+        _objects(docs)
+        .select("doc_id", F.posexplode_outer(_leaves(max_depth)).alias("ord", "leaf"))
         .filter(F.col("leaf").isNotNull())
         .select("doc_id", "ord", F.col("leaf.key").alias("key"), F.col("leaf.value").alias("value"))
     )
 
 
-def _depth(docs: DataFrame) -> int:
-    """Levels of containers in the deepest valid document.
+def _objects(docs: DataFrame) -> DataFrame:
+    require_columns(docs, ["doc_id", "doc"], "document column")
+    return docs.filter(_is_object()).select("doc_id", "doc")
+
 
-    Without its texts a document is brackets, whose running sum is the level.
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _leaves(max_depth: int | None) -> Column:
+    """All leaves of a document as one array; no key twice.
+
+    A list of nodes, at first the document alone, is walked level by level: each step
+    puts the children of every container in its place, until none is left. There are
+    at most as many steps as opening brackets, and those after the last level do nothing.
     """
-    plain = F.regexp_replace("doc", r"\\[\s\S]", "")  # no escaped quote is left
-    bare = F.regexp_replace(plain, r'"[^"]*"', "")
-    marks = F.translate(F.regexp_replace(bare, r"[^\[\]{}]", ""), "{}", "[]")
-    steps = F.transform(F.split(marks, ""), lambda c: F.when(c == "[", 1).when(c == "]", -1).otherwise(0))
-    top = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")),
-        lambda a, x: F.struct(
-            (a["now"] + x).alias("now"), F.greatest(a["top"], a["now"] + x).alias("top")
-        ),
-        lambda a: a["top"],
+    root = F.array(
+        F.struct(
+            F.lit(None).cast("string").alias("key"),
+            F.col("doc").alias("value"),
+            F.lit("object").alias("kind"),
+        )
     )
-    valid = F.try_parse_json("doc").isNotNull()
-    return docs.agg(F.max(F.when(valid, top)).alias("top")).first()["top"] or 1
-
+    start = F.struct(root.cast(_NODES).alias("nodes"), F.lit(True).alias("open"))
+
+    def step(state: Column, _) -> Column:
+        below = F.flatten(
+            F.transform(
+                state["nodes"],
+                lambda n: F.when(n["kind"] == "leaf", F.array(n)).otherwise(
+                    F.coalesce(_children(n), F.array().cast(_NODES))
+                ),
+            )
+        )
+        deeper = _let(
+            below,
+            lambda nodes: F.struct(
+                nodes.alias("nodes"), F.exists(nodes, lambda n: n["kind"] != "leaf").alias("open")
+            ),
+        )
+        return F.when(state["open"], deeper).otherwise(state)
 
-def _with_leaves(docs: DataFrame, max_depth: int | None) -> DataFrame:
-    """``(doc_id, leaves)``: all leaves of a document as one array, without a shuffle."""
-    require_columns(docs, ["doc_id", "doc"], "document column")
+    steps = F.regexp_count("doc", F.lit(r"[{\[]"))
     if max_depth is None:
-        max_depth = _depth(docs)
-    root = F.struct(
-        F.lit(None).cast("string").alias("key"),
-        F.col("doc").alias("value"),
-        F.lit("object").alias("kind"),
-    )
-    found = docs.filter(_is_object()).select("doc_id", _leaves_below(root, max_depth, max_depth).alias("found"))
-    listed = found.withColumn("keys", F.transform("found", lambda leaf: leaf["key"]))
-    last = F.transform(
-        F.array_distinct("keys"),
-        lambda key: F.element_at(F.filter("found", lambda leaf: leaf["key"] == key), -1),
-    )
-    is_clear = F.size(F.array_distinct("keys")) == F.size("keys")
-    return listed.select(
-        "doc_id",
-        F.coalesce(
-            F.when(is_clear, F.col("found")).otherwise(last),
-            F.array().cast("array<struct<key:string,value:string,kind:string>>"),
-        ).alias("leaves"),
+        return F.aggregate(
+            F.sequence(F.lit(1), steps), start, step, lambda state: _last_of_each_key(state["nodes"])
+        )
+    error = F.raise_error(F.lit(f"document nested deeper than {max_depth} levels"))
+    return F.aggregate(
+        F.sequence(F.lit(1), F.least(steps, F.lit(max_depth))),
+        start,
+        step,
+        lambda state: F.when(state["open"], error.cast(_NODES)).otherwise(
+            _last_of_each_key(state["nodes"])
+        ),
     )
 
 
-def _leaves_below(node: Column, depth: int, max_depth: int) -> Column:
-    """Leaves under a container, unrolled to ``depth`` further levels."""
-    if depth == 0:
-        error = F.raise_error(F.lit(f"document nested deeper than {max_depth} levels"))
-        return F.array(F.struct(node["key"].alias("key"), error.cast("string").alias("value"), node["kind"].alias("kind")))
-    return F.flatten(
-        F.transform(
-            _children(node),
-            lambda child: F.when(child["kind"] == "leaf", F.array(child)).otherwise(
-                _leaves_below(child, depth - 1, max_depth)
-            ),
+def _last_of_each_key(nodes: Column) -> Column:
+    def last(keys: Column) -> Column:
+        of_key = F.transform(
+            F.array_distinct(keys),
+            lambda key: F.element_at(F.filter(nodes, lambda leaf: leaf["key"] == key), -1),
         )
-    )
+        return F.when(F.size(F.array_distinct(keys)) == F.size(keys), nodes).otherwise(of_key)
+
+    return _let(F.transform(nodes, lambda leaf: leaf["key"]), last)
 
 
 def _children(node: Column) -> Column:
     """Entries of a container as ``(key, value, kind)``, in document order.
 
-    The text is parsed twice: into texts, which keeps the order of keys and the
-    source of nested parts, and into variants, which tell a text from a part
-    that looks like one.
+    Parsing into texts keeps the order of keys and the source of nested parts. Texts that
+    begin like a container may be strings: those are told by variants, for which the
+    container is parsed again, only if it has such texts.
     """
     text = node["value"]
-    fields = F.arrays_zip(
-        F.map_entries(F.from_json(text, "map<string,string>")).alias("entry"),
-        F.map_values(F.from_json(text, "map<string,variant>")).alias("typed"),
-    )
-    items = F.arrays_zip(
-        F.from_json(text, "array<string>").alias("value"),
-        F.from_json(text, "array<variant>").alias("typed"),
-    )
 
-    def child(name: Column, value: Column, typed: Column, nested: tuple[str, ...]) -> Column:
-        shape = F.schema_of_variant(typed)
-        kind = F.lit("leaf")
-        for container in nested:
-            prefix = F.startswith(shape, F.lit(container.upper()))
-            kind = F.when(prefix, F.lit(container)).otherwise(kind)
+    def entry(key: Column, value: Column, kind: Column | None = None) -> Column:
         return F.struct(
-            F.concat_ws("_", node["key"], name).alias("key"), value.alias("value"), kind.alias("kind")
+            F.concat_ws("_", node["key"], key).alias("key"),
+            value.alias("value"),
+            (F.lit("leaf") if kind is None else kind).alias("kind"),
         )
 
+    def kind(value: Column, typed: Column, nested: tuple[str, ...]) -> Column:
+        out = F.lit("leaf")
+        for container, first, shape in (
+            ("object", "{", "map<string,variant>"),
+            ("array", "[", "array<variant>"),
+        ):
+            if container in nested:
+                out = F.when(
+                    F.startswith(value, F.lit(first)) & _holds(typed, shape), F.lit(container)
+                ).otherwise(out)
+        return out
+
+    def fields(found: Column) -> Column:
+        typed = F.map_values(F.from_json(text, "map<string,variant>"))
+        checked = F.transform(
+            F.arrays_zip(found.alias("entry"), typed.alias("typed")),
+            lambda f: entry(
+                f["entry"]["key"],
+                f["entry"]["value"],
+                kind(f["entry"]["value"], f["typed"], ("object", "array")),
+            ),
+        )
+        plain = F.transform(found, lambda f: entry(f["key"], f["value"]))
+        nested = F.exists(found, lambda f: f["value"].startswith("{") | f["value"].startswith("["))
+        return F.when(nested, checked).otherwise(plain)
+
+    def items(found: Column) -> Column:
+        typed = F.from_json(text, "array<variant>")
+        checked = F.transform(
+            F.arrays_zip(found.alias("value"), typed.alias("typed")),
+            lambda f, i: entry(
+                (i + 1).cast("string"), f["value"], kind(f["value"], f["typed"], ("object",))
+            ),
+        )
+        plain = F.transform(found, lambda f, i: entry((i + 1).cast("string"), f))
+        return F.when(F.exists(found, lambda f: f.startswith("{")), checked).otherwise(plain)
+
     return F.when(
         node["kind"] == "object",
-        F.transform(
-            fields,
-            lambda f: child(f["entry"]["key"], f["entry"]["value"], f["typed"], ("object", "array")),
-        ),
-    ).otherwise(
-        F.transform(
-            items,
-            lambda f, i: child((i + 1).cast("string"), f["value"], f["typed"], ("object",)),
-        )
-    )
+        _let(F.map_entries(F.from_json(text, "map<string,string>")), fields),
+    ).otherwise(_let(F.from_json(text, "array<string>"), items))
 
 
 def dcat_checks(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
@@ -186,86 +218,139 @@ def dcat_checks(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     simply takes its second key.
     """
     slots, _ = _dcat_slots()
-    wanted = F.array(
-        *[
-            F.struct(
-                F.lit(principle).alias("principle"),
-                F.lit(field).alias("field"),
-                F.lit(use).alias("place"),
+
+    def rows(claims: Column) -> Column:
+        out = []
+        for principle, field, use in slots:
+            hit = F.get(claims[field], F.lit(use - 1))
+            out.append(
+                F.struct(
+                    F.lit(principle).alias("principle"),
+                    F.lit(field).alias("field"),
+                    hit["key"].alias("matched_key"),
+                    hit["value"].alias("value"),
+                    hit.isNotNull().alias("passed"),
+                )
             )
-            for principle, field, use in slots
-        ]
-    )
-    hit = F.get(F.col("claims")[F.col("field")], F.col("place") - 1)
-    return (
-        _with_claims(docs, max_depth)
-        .select("doc_id", "claims", F.inline(wanted))
-        .select(
-            "doc_id",
-            "principle",
-            "field",
-            hit["key"].alias("matched_key"),
-            hit["value"].alias("value"),
-            hit.isNotNull().alias("passed"),
-        )
-    )
+        return F.array(*out)
+
+    found = _let(_claims(_matched(_leaves(max_depth))), rows)
+    return _objects(docs).select("doc_id", F.explode_outer(found).alias("c")).select("doc_id", "c.*")
 
 
 def other_keys(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """``(doc_id, key, value)``: the leaves that no DCAT field claims."""
     _, uses = _dcat_slots()
-    taken = F.flatten(
-        F.array(
-            *[
-                F.transform(F.slice(F.col("claims")[field], 1, n), lambda leaf: leaf["key"])
-                for field, n in uses.items()
-            ]
-        )
-    )
+
+    def free(leaves: Column) -> Column:
+        def unclaimed(claims: Column) -> Column:
+            taken = F.flatten(
+                F.array(
+                    *[
+                        F.transform(F.slice(claims[field], 1, n), lambda leaf: leaf["key"])
+                        for field, n in uses.items()
+                    ]
+                )
+            )
+            return _let(
+                taken,
+                lambda keys: F.filter(leaves, lambda leaf: ~F.array_contains(keys, leaf["key"])),
+            )
+
+        return _let(_claims(_matched(leaves)), unclaimed)
+
     return (
-        _with_claims(docs, max_depth)
-        .select("doc_id", "leaves", taken.alias("taken"))
-        .select(
-            "doc_id",
-            F.explode_outer(
-                F.filter("leaves", lambda leaf: ~F.array_contains(F.col("taken"), leaf["key"]))
-            ).alias("leaf"),
-        )
+        _objects(docs)
+        .select("doc_id", F.explode_outer(_let(_leaves(max_depth), free)).alias("leaf"))
         .filter(F.col("leaf").isNotNull())
         .select("doc_id", F.col("leaf.key").alias("key"), F.col("leaf.value").alias("value"))
     )
 
 
-def _with_claims(docs: DataFrame, max_depth: int | None) -> DataFrame:
-    """Adds ``claims``: for every DCAT field, the leaves that match it, in order."""
-    _, uses = _dcat_slots()
-    matched = F.transform(
-        "leaves",
+def dcat_scores(docs: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """``(doc_id, principle, passed, failed, total, pct)``: :func:`fair_scores` of the DCAT checks,
+    counted inside the row of a document.
+    """
+    slots, uses = _dcat_slots()
+
+    def scores(claims: Column) -> Column:
+        return _score_rows(
+            {
+                principle: [F.size(claims[f]) >= use for p, f, use in slots if p == principle]
+                for principle in DCAT_FIELDS
+            }
+        )
+
+    found = _let(_claims(_matched(_leaves(max_depth))), scores)
+    return _objects(docs).select("doc_id", F.explode_outer(found).alias("s")).select("doc_id", "s.*")
+
+
+def datacite_scores(docs: DataFrame) -> DataFrame:
+    """``(doc_id, principle, passed, failed, total, pct)``: :func:`fair_scores` of the DataCite
+    checks, counted inside the row of a document.
+    """
+
+    def scores(keys: Column) -> Column:
+        return _score_rows(
+            {
+                principle: [F.array_contains(keys, F.lit(f)) for f in fields]
+                for principle, fields in DATACITE_FIELDS.items()
+            }
+        )
+
+    found = _let(F.json_object_keys("doc"), scores)
+    return _objects(docs).select("doc_id", F.explode_outer(found).alias("s")).select("doc_id", "s.*")
+
+
+def _score_rows(tests: dict[str, list[Column]]) -> Column:
+    """A row for each principle and one for all, as an array."""
+    groups = {**tests, "Total": [t for group in tests.values() for t in group]}
+    rows = []
+    for name, group in groups.items():
+        passed = F.lit(0).cast("bigint")
+        for test in group:
+            passed = passed + F.coalesce(test, F.lit(False)).cast("bigint")
+        rows.append(F.struct(F.lit(name).alias("principle"), passed.alias("n"), F.lit(len(group)).alias("of")))
+
+    def scored(r: Column) -> Column:
+        total = r["of"].cast("bigint")
+        return F.struct(
+            r["principle"].alias("principle"),
+            r["n"].alias("passed"),
+            (total - r["n"]).alias("failed"),
+            total.alias("total"),
+            (r["n"] * F.lit(100.0) / total).alias("pct"),
+        )
+
+    return F.transform(F.array(*rows), scored)
+
+
+def _matched(leaves: Column) -> Column:
+    """Leaves that match a DCAT field, with the field."""
+    named = F.transform(
+        leaves,
         lambda leaf: F.struct(
             leaf["key"].alias("key"),
             leaf["value"].alias("value"),
             _matched_field(leaf["key"]).alias("field"),
         ),
     )
-    return (
-        _with_leaves(docs, max_depth)
-        .select("doc_id", "leaves", F.filter(matched, lambda leaf: leaf["field"].isNotNull()).alias("matched"))
-        .select(
-            "doc_id",
-            "leaves",
-            F.create_map(
-                *[
-                    part
-                    for field in uses
-                    for part in (F.lit(field), _of_field("matched", field))
-                ]
-            ).alias("claims"),
-        )
-    )
+    return F.filter(named, lambda leaf: leaf["field"].isNotNull())
 
 
-def _of_field(matched: str, field: str) -> Column:
-    return F.filter(matched, lambda leaf: leaf["field"] == F.lit(field))
+def _claims(matched: Column) -> Column:
+    """For every DCAT field the leaves that match it, in order, as a map."""
+    _, uses = _dcat_slots()
+
+    def of_field(found: Column, field: str) -> Column:
+        return F.filter(found, lambda leaf: leaf["field"] == F.lit(field))
+
+    return _let(
+        matched,
+        lambda found: F.create_map(
+            *[part for field in uses for part in (F.lit(field), of_field(found, field))]
+        ),
+    )
 
 
 def _dcat_slots() -> tuple[list[tuple[str, str, int]], dict[str, int]]:
@@ -281,13 +366,16 @@ def _dcat_slots() -> tuple[list[tuple[str, str, int]], dict[str, int]]:
 
 def _matched_field(key: Column) -> Column:
     """The DCAT field a key stands for, or NULL."""
-    base = F.regexp_replace(key, r"_\d+$", "")
     fields = list(dict.fromkeys(f for group in DCAT_FIELDS.values() for f in group))
-    found = None
-    for field in fields:
-        hit = (base == field) | F.endswith(key, F.lit(field))
-        found = F.when(hit, F.lit(field)) if found is None else found.when(hit, F.lit(field))
-    return found
+
+    def first(base: Column) -> Column:
+        found = F.lit(None).cast("string")
+        for field in reversed(fields):
+            hit = (base == F.lit(field)) | F.endswith(key, F.lit(field))
+            found = F.when(hit, F.lit(field)).otherwise(found)
+        return found
+
+    return _let(F.regexp_replace(key, r"_\d+$", ""), first)
 
 
 def datacite_checks(docs: DataFrame) -> DataFrame:

@@ -57,6 +57,26 @@ def test_depth_is_measured(spark):
     assert {r["key"]: r["value"] for r in got if r["doc_id"] == 2} == quoted
 
 
+def test_two_hundred_levels_beside_flat_documents(spark):
+    nested = {"end": "x"}
+    for level in range(199, 0, -1):
+        nested = {f"l{level}": nested} if level % 2 else {f"l{level}": [nested, level]}
+    flat = {"title": "t", "brackets": "{[" * 300}
+    got = gf.flatten_documents(documents(spark, nested, flat)).collect()
+    deep = [r for r in got if r["doc_id"] == 0]
+    assert len(deep) == 100 and {r["value"] for r in deep if r["key"].endswith("_end")} == {"x"}
+    assert {r["key"]: r["value"] for r in got if r["doc_id"] == 1} == flat
+
+
+def test_scores_in_the_row_are_those_of_the_checks(spark):
+    table = documents(spark, *DOCS, {"title": 1, "format": 2, "x": {"format": 3}}, "[1]", {"titles": None})
+    for checks, scores in ((gf.dcat_checks, gf.dcat_scores), (gf.datacite_checks, gf.datacite_scores)):
+        got, want = scores(table), gf.fair_scores(checks(table))
+        assert got.columns == want.columns
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_invalid_documents_have_a_status_and_no_score(spark):
     table = documents(spark, {"title": 1}, "[1, 2]", "{broken", '"text"', "", {})
     status = {r["doc_id"]: r["status"] for r in gf.document_status(table).collect()}

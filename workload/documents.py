@@ -155,7 +155,7 @@ def fair_dcat(spark, sf_dir):
 
 @query("fair_dcat_scores", DCAT + SCORES)
 def fair_dcat_scores(spark, sf_dir):
-    return rounded(gf.fair_scores(gf.dcat_checks(dcat_documents(spark, sf_dir))))
+    return rounded(gf.dcat_scores(dcat_documents(spark, sf_dir)))
 
 
 @query("fair_dcat_other", LEAVES + """
@@ -179,7 +179,7 @@ def datacite_documents(spark, sf_dir):
         F.array(F.struct(F.col("c_name").alias("title"))).alias("titles"),
         F.lit(None).cast("string").alias("language"),
         F.col("c_nationkey").alias("version"),
-        F.array("c_acctbal").alias("sizes"),
+        F.array("c_custkey", "c_nationkey").alias("sizes"),
     )
     keep_nulls = {"ignoreNullFields": "false"}
     doc = F.when(F.col("c_mktsegment") == "BUILDING", F.to_json(full, keep_nulls)).otherwise(
@@ -201,7 +201,7 @@ checks AS (SELECT c_custkey AS doc_id, principle, field,
                   CASE WHEN c_mktsegment = 'BUILDING'
                        THEN field IN ('titles', 'language', 'version', 'sizes')
                        ELSE field IN ('titles', 'publisher') END AS passed,
-                  c_name, c_mktsegment, c_nationkey
+                  c_name, c_mktsegment, c_nationkey, c_custkey
            FROM customer CROSS JOIN fields)
 """
 
@@ -211,34 +211,38 @@ SELECT doc_id, principle, field, CASE WHEN passed THEN field END AS matched_key,
        CASE WHEN NOT passed THEN NULL
             WHEN field = 'titles' THEN '[{"title":"' || c_name || '"}]'
             WHEN field = 'publisher' THEN c_mktsegment
+            WHEN field = 'sizes' THEN '[' || c_custkey || ',' || c_nationkey || ']'
             WHEN field = 'version' THEN c_nationkey::VARCHAR END AS value, passed
 FROM checks
 """)
 def fair_datacite(spark, sf_dir):
-    checks = gf.datacite_checks(datacite_documents(spark, sf_dir))
-    # how a double is written differs between engines
-    return checks.withColumn("value", F.when(F.col("field") != "sizes", F.col("value")))
+    return gf.datacite_checks(datacite_documents(spark, sf_dir))
 
 
 @query("fair_datacite_scores", DATACITE + SCORES)
 def fair_datacite_scores(spark, sf_dir):
-    return rounded(gf.fair_scores(gf.datacite_checks(datacite_documents(spark, sf_dir))))
+    return rounded(gf.datacite_scores(datacite_documents(spark, sf_dir)))
 
 
-def deep_documents(spark, sf_dir):
-    """Every part as a document of twelve levels."""
-    inner = F.struct(F.col("p_partkey").alias("l12"), F.col("p_brand").alias("brand"))
-    for level in range(11, 0, -1):
+def deep_documents(spark, sf_dir, levels=60):
+    """Every supplier as a document of many levels, every fifth of one."""
+    inner = F.struct(F.col("s_suppkey").alias(f"l{levels}"), F.col("s_name").alias("name"))
+    for level in range(levels - 1, 0, -1):
         inner = F.struct(inner.alias(f"l{level}"))
-    return table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("doc_id"), F.to_json(inner).alias("doc")
+    flat = F.struct(F.col("s_suppkey").alias("id"), F.array("s_name", F.col("s_nationkey").cast("string")).alias("names"))
+    return table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("doc_id"),
+        F.when(F.col("s_suppkey") % 5 == 0, F.to_json(flat)).otherwise(F.to_json(inner)).alias("doc"),
     )
 
 
 @query("metadata_deep", """
-SELECT p_partkey AS doc_id, 'l1_l2_l3_l4_l5_l6_l7_l8_l9_l10_l11_l12' AS key, p_partkey::VARCHAR AS value
-FROM part
-UNION ALL SELECT p_partkey, 'l1_l2_l3_l4_l5_l6_l7_l8_l9_l10_l11_brand', p_brand FROM part
+WITH path AS (SELECT string_agg('l' || i, '_' ORDER BY i) AS p FROM range(1, 60) AS t(i))
+SELECT s_suppkey AS doc_id, p || '_l60' AS key, s_suppkey::VARCHAR AS value FROM supplier, path WHERE s_suppkey % 5 <> 0
+UNION ALL SELECT s_suppkey, p || '_name', s_name FROM supplier, path WHERE s_suppkey % 5 <> 0
+UNION ALL SELECT s_suppkey, 'id', s_suppkey::VARCHAR FROM supplier WHERE s_suppkey % 5 = 0
+UNION ALL SELECT s_suppkey, 'names_1', s_name FROM supplier WHERE s_suppkey % 5 = 0
+UNION ALL SELECT s_suppkey, 'names_2', s_nationkey::VARCHAR FROM supplier WHERE s_suppkey % 5 = 0
 """)
 def metadata_deep(spark, sf_dir):
     return gf.flatten_documents(deep_documents(spark, sf_dir)).select("doc_id", "key", "value")
