@@ -32,6 +32,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .words import Words, chunks, mixed, slice_hashes, text_buffers
 
@@ -40,6 +41,8 @@ PARTS = 3
 GROWTH = 4
 #: Most words in a paragraph.
 LONGEST = 12
+#: Text that a range holds, on average, unless the table is small.
+RANGE_BYTES = 1 << 24
 #: Beyond so many rounds the sets are compared directly.
 ROUNDS = 12
 _ENDS = np.zeros(256, bool)
@@ -277,33 +280,51 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = batch.slice(batch.num_rows - 1)
 
 
+def _range_of(cuts: list[int]):
+    """The number of cuts at or below an id, in 64-bit integers."""
+    edges = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64), side="right").astype(np.int32))
+
+    # a null comes before all ids, and never reaches NumPy, which would turn the batch to floats
+    return range_of(F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))))
+
+
+def _cuts(rows: DataFrame, ranges: int) -> list[int]:
+    """The smallest ids of at most ``ranges`` ranges of about as many rows, but for the first.
+
+    A sketch proposes values, which need not be ids; one aggregate finds the smallest id of
+    each range between them.
+    """
+    if ranges < 2:
+        return []
+    at = [i / ranges for i in range(1, ranges)]
+    rough = rows.agg(
+        F.percentile_approx(F.col("id").cast("long"), at, max(10_000, 10 * ranges)).alias("cuts")
+    ).first()["cuts"]
+    near = _range_of(sorted(set(rough or ())))
+    first = rows.where("id IS NOT NULL").groupBy(near.alias("r")).agg(F.min("id").alias("id"))
+    return sorted(r["id"] for r in first.collect())[1:]
+
+
 def ranged(rows: DataFrame, ranges: int) -> DataFrame:
     """``range, borrowed, text, id``: rows by range of ``id``, and the first row of each range in
     the one before too (that of the first range in the last).
     """
-    at = [i / ranges for i in range(1, ranges)] or [0.5]
     seen = rows.agg(
-        F.percentile_approx("id", at, 10_000).alias("cuts"),
-        F.min("id").alias("first"),
-        F.count(F.when(F.col("id").isNull(), 1)).alias("nulls"),
+        F.min("id").alias("first"), F.count(F.when(F.col("id").isNull(), 1)).alias("nulls")
     ).first()
     first = None if seen["nulls"] else seen["first"]
-    cuts = sorted({c for c in seen["cuts"] or () if c > seen["first"]}) if ranges > 1 else []
-    edges = np.array(cuts, np.int64 if all(isinstance(c, int) for c in cuts) else np.float64)
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        places = np.searchsorted(edges, ids.fillna(edges[0] - 1 if len(edges) else 0), side="right")
-        return pd.Series(places.astype(np.int32))
-
-    last = len(cuts)
+    cuts = _cuts(rows, ranges)
     own = F.struct(F.col("range").alias("range"), F.lit(False).alias("borrowed"))
-    lent = F.when(F.col("id").eqNullSafe(F.lit(first)), F.lit(last)).when(
+    lent = F.when(F.col("id").eqNullSafe(F.lit(first)), F.lit(len(cuts))).when(
         F.col("id").isin(cuts) if cuts else F.lit(False), F.col("range") - 1
     )
     both = F.array(own, F.struct(lent.cast("int").alias("range"), F.lit(True).alias("borrowed")))
     return (
-        rows.withColumn("range", range_of(F.col("id").cast("long")))
+        rows.withColumn("range", _range_of(cuts))
         .select("id", "text", F.explode(F.when(lent.isNull(), F.array(own)).otherwise(both)).alias("r"))
         .select("r.range", "r.borrowed", "text", "id")
     )
@@ -315,14 +336,20 @@ def fingerprints(
     """``id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next, n_changed``.
 
     ``edited`` is the text with its last quarter from the next row's; ``n_changed`` counts the
-    paragraph digests recovered from the difference of both fingerprints. Ids are integers.
+    paragraph digests recovered from the difference of both fingerprints. Ids are integers of
+    any size. There are as many ranges as hold about ``RANGE_BYTES`` of text each, so a task
+    reads as much whatever the size of the table.
     """
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"{id_col} must hold integers")
     rows = docs.select(
         docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")
     )
     kind = rows.schema["id"].dataType.simpleString()
     if ranges is None:
-        ranges = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        ranges = max(least, -(-total // RANGE_BYTES))
     dealt = ranged(rows, ranges).repartition("range")
     return dealt.sortWithinPartitions("range", "borrowed", F.asc_nulls_first("id"), "text").mapInArrow(
         _follow,
