@@ -1,13 +1,16 @@
 """Packing documents into training sequences of balanced cost.
 
 A task tokenizes its documents and packs them in groups of bounded size: ids of a few
-million tokens are in memory at once, whatever the size of the table, and nothing is
-shuffled. Attention over a piece of n tokens costs ``n + attention * n**2``. A group fills
-as many sequences as its tokens make full ones: pieces in descending order go to the
-sequence of lowest cost that has room. A piece that fits nowhere whole is cut to fill the
-sequence with most room. What is left joins the next group; at the end of a task
-it fills sequences of powers of two, which need no padding either. A task that runs again
-packs the same.
+million tokens are in memory at once, whatever the size of the table. Attention over a piece
+of n tokens costs ``n + attention * n**2``. A group fills as many sequences as its tokens make
+full ones: pieces in descending order go to the sequence of lowest cost that has room. A
+piece that fits nowhere whole is cut to fill the sequence with most room. What is left joins
+the next group. What a task has left at its end, less than one sequence, is handed out: the
+rests of ``TASKS`` tasks are packed together as a group of their own, then the rests of so
+many groups, until one group is left. Only the rest of that one, less than a sequence of the
+whole table, goes to sequences of powers of two, which need no padding either. The pieces are
+written once, so a task that is lost later does not tokenize again; one that runs again packs
+the same.
 
 Tokens are looked up by distinct words. A cut at white space, or between an ASCII letter
 and ASCII punctuation, is a cut for the tokenizer too, so ids are those of the whole text.
@@ -29,11 +32,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import written
 from .words import spread, word_chunks
 
 #: Cost of a pair of tokens against that of one token, for models about 1,024 wide.
 ATTENTION = 1 / 6144
 CACHED_WORDS = 250_000
+#: Tasks, or groups of them, whose rests are packed together.
+TASKS = 256
 WORD_END = "</w>"
 
 
@@ -151,7 +157,8 @@ class _Pack:
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = WordTokens(self.path)
-        self.next = (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0
+        part = TaskContext.get().partitionId() if TaskContext.get() else 0
+        packer = _Sequences(self.length, self.attention, 0, part)
         # (id, ids that are not packed yet, their start in the document, its length)
         held: list[tuple[object, np.ndarray, int, int]] = []
         n = 0
@@ -163,13 +170,26 @@ class _Pack:
                 held.append((keys[i], ids, 0, len(ids)))
                 n += len(ids)
                 if n >= self.group:
-                    held, out = self._packed(held, n, False)
+                    held, out = packer.packed(held, False)
                     n = sum(len(x[1]) for x in held)
                     yield from out
         if held:
-            yield from self._packed(held, n, True)[1]
+            held, out = packer.packed(held, False)
+            yield from out
+        if held:
+            yield packer.rest(held)
+
+
+class _Sequences:
+    """Sequences of one task or group, numbered on their own."""
 
-    def _packed(self, held, n: int, last: bool):
+    def __init__(self, length: int, attention: float, level: int, part: int):
+        self.length, self.attention, self.part = length, attention, part
+        self.next = level << 56 | part << 24
+
+    def packed(self, held, last: bool):
+        """What does not fill sequences, and batches of pieces that do; with ``last`` all do."""
+        n = sum(len(x[1]) for x in held)
         rooms = [self.length] * (n // self.length)
         if last:
             rooms += [1 << b for b in range(self.length.bit_length()) if n % self.length >> b & 1]
@@ -177,27 +197,56 @@ class _Pack:
         out = []
         for i in range(0, len(placed), 4096):
             part = placed[i : i + 4096]
-            pieces = [held[d][1][s : s + k] for d, s, k, _, _ in part]
-            columns = [
-                [held[d][0] for d, *_ in part],
-                [held[d][2] + s for d, s, *_ in part],
-                [k for _, _, k, _, _ in part],
-                [p.astype("<u4").tobytes() for p in pieces],
-                [held[d][3] for d, *_ in part],
-                [self.next + q for *_, q, _ in part],
-                [o for *_, o in part],
-            ]
-            types = [held[0][0].type, *[pa.int64()] * 2, pa.binary(), *[pa.int64()] * 3]
-            names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
-            arrays = [
-                pa.array([x.as_py() for x in c] if k == 0 else c, t)
-                for k, (c, t) in enumerate(zip(columns, types, strict=True))
-            ]
-            out.append(pa.RecordBatch.from_arrays(arrays, names=names))
+            rows = [(held[d][0], held[d][1][s : s + k], held[d][2] + s, held[d][3]) for d, s, k, _, _ in part]
+            out.append(_batch(rows, [self.next + q for *_, q, _ in part], [o for *_, o in part]))
         self.next += len(rooms)
         left = [(held[d][0], held[d][1][s : s + k], held[d][2] + s, held[d][3]) for d, s, k in rest]
         return left, out
 
+    def rest(self, held) -> pa.RecordBatch:
+        """Rows without a sequence, numbered by task and place."""
+        none = [None] * len(held)
+        return _batch(held, none, none, [self.part] * len(held), list(range(len(held))))
+
+
+def _batch(held, sequences, offsets, parts=None, places=None) -> pa.RecordBatch:
+    none = [None] * len(held)
+    long = pa.int64()
+    columns = {
+        "id": pa.array([key.as_py() for key, *_ in held], held[0][0].type),
+        "start": pa.array([start for _, _, start, _ in held], long),
+        "length": pa.array([len(ids) for _, ids, _, _ in held], long),
+        "ids": pa.array([ids.astype("<u4").tobytes() for _, ids, _, _ in held], pa.binary()),
+        "doc_tokens": pa.array([total for *_, total in held], long),
+        "sequence_id": pa.array(sequences, long),
+        "offset": pa.array(offsets, long),
+        "part": pa.array(parts or none, long),
+        "place": pa.array(places or none, long),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+def _pack_rests(length: int, attention: float, level: int, last: bool):
+    """Packs the rests of some tasks, given with their number as ``group``, together."""
+
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("part", "ascending"), ("place", "ascending")]).combine_chunks()
+        ids = [np.frombuffer(x, "<u4") for x in rows.column("ids").to_pylist()]
+        held = list(
+            zip(
+                rows.column("id"),
+                ids,
+                rows.column("start").to_pylist(),
+                rows.column("doc_tokens").to_pylist(),
+                strict=True,
+            )
+        )
+        packer = _Sequences(length, attention, level, rows.column("group")[0].as_py())
+        held, out = packer.packed(held, last)
+        return pa.Table.from_batches([*out, *([packer.rest(held)] if held else [])])
+
+    return pack
+
 
 def pack(
     docs: DataFrame,
@@ -218,11 +267,26 @@ def pack(
     if group_tokens < length:
         raise ValueError("a group must fill a sequence at least")
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(
-        _Pack(tokenizer_path, end_id, length, group_tokens, attention),
-        f"id {id_type}, start long, length long, ids binary, doc_tokens long,"
-        " sequence_id long, offset long",
+    columns = f"id {id_type}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+    schema = f"{columns}, part long, place long"
+    done = written(
+        docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(
+            _Pack(tokenizer_path, end_id, length, group_tokens, attention), schema
+        )
     )
+    pieces, level = done.where("sequence_id IS NOT NULL"), 0
+    while (last := done.where("part IS NOT NULL").agg(F.max("part")).first()[0]) is not None:
+        level += 1
+        rests = done.where("part IS NOT NULL").withColumn(
+            "group", F.floor(F.col("part") / TASKS).cast("long")
+        )
+        done = written(
+            rests.groupBy("group").applyInArrow(
+                _pack_rests(length, attention, level, last < TASKS), schema
+            )
+        )
+        pieces = pieces.unionByName(done.where("sequence_id IS NOT NULL"))
+    return pieces.drop("part", "place")
 
 
 def digest(pieces: DataFrame) -> DataFrame:
