@@ -8,14 +8,22 @@ words of labelled texts. Words are counted in Spark by language, expected uses a
 in Spark by language and piece, and only the probabilities (pieces times languages) reach
 the driver and all tasks.
 
-Words are lower-cased, begin with a mark, and are scored in parts of at most 32
-characters; a character without a piece is one unknown piece. Every word of a text
-counts; the distinct words of a chunk of texts are scored once.
+Words are lower-cased and begin with a mark; a character without a piece is one unknown
+piece. A word is summed over whole, however long it is: the forward pass keeps the last
+positions that a piece can reach back to, and is scaled anew every few characters, with the
+logarithm of the scale aside. Every word of a text counts; the distinct words of a chunk of
+texts are scored once.
+
+Languages are learned from about ``max_labelled`` rows, dealt evenly: of a language with fewer
+rows than its part all are taken, of others a share chosen by a hash. The shares of all labelled
+rows are the prior.
 
 Defined cases: a null text or one without a letter is "und" with score 0; texts or
 languages that are null teach nothing; without anything to learn from all is "und"; at
 equal scores the first language wins; equal texts get equal languages; an empty table
-gives an empty table; other columns, whatever their names, are not read.
+gives an empty table; other columns, whatever their names, are not read. More than
+``MAX_LANGUAGES`` different languages raise ``ValueError``, as the table of probabilities
+goes to all tasks.
 """
 
 from __future__ import annotations
@@ -29,10 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import written
-from .words import mixed, powers, word_chunks
+from .words import mixed, powers, spread, word_chunks
 
 UNKNOWN = "und"
-PART = 32
+#: Languages whose probabilities, 32,000 or so each, a task can hold.
+MAX_LANGUAGES = 200
+#: Characters between two scalings, and numbers of a batch of words.
+RESCALE, BATCH = 4, 4_000_000
 MARK = "▁"
 SMOOTHING = 0.05
 
@@ -55,11 +66,11 @@ def _code_points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Pieces:
-    """Finds the pieces that end at each character of many words of one length."""
+    """Finds the pieces that end at each character of many words."""
 
     def __init__(self, pieces: list[str]):
         points, lengths = _code_points(pieces)
-        self.longest = int(lengths.max()) if len(lengths) else 0
+        self.longest = int(lengths.max()) if len(lengths) else 1
         self.factors = powers(self.longest + 2, np.uint64(0x5851F42D4C957F2D))
         hashes = np.zeros(len(pieces), np.uint64)
         ends = np.cumsum(lengths)
@@ -68,64 +79,94 @@ class Pieces:
             hashes[has] += (points[ends[has] - 1 - k].astype(np.uint64) + np.uint64(1)) * (
                 self.factors[k]
             )
-        order = np.argsort(hashes)
-        self.hashes, self.ids = hashes[order], order.astype(np.int64)
-        self.unknown = len(pieces)
-        # places by the first bits of the scrambled hash, to look up in a step or two
-        self.by = np.argsort(mixed(self.hashes))
-        self.sorted = mixed(self.hashes)[self.by]
-
-    def at(self, words: np.ndarray, end: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """``(length, rows, piece ids)`` of pieces that end before ``end`` in ``words[rows]``."""
-        h = np.zeros(len(words), np.uint64)
-        for k in range(min(self.longest, end)):
-            h = h + (words[:, end - 1 - k].astype(np.uint64) + np.uint64(1)) * self.factors[k]
-            key = mixed(h)
+        self.unknown, self.none = len(pieces), len(pieces) + 1
+        self.ids = np.argsort(mixed(hashes))
+        self.sorted = mixed(hashes)[self.ids]
+        # most windows hold no piece: their first bits tell
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self.sorted >> np.uint64(44)] = True
+
+    def ending(self, words: np.ndarray) -> np.ndarray:
+        """Piece ids by end, row and place of the start, for a matrix of characters.
+
+        Start ``s`` has the place ``s % longest``; places without a piece hold ``none``.
+        """
+        rows, n = words.shape
+        out = np.full((n, rows, self.longest), self.none, np.int32)
+        points = words.T.astype(np.uint64) + np.uint64(1)
+        h = np.zeros((n, rows), np.uint64)
+        for k in range(min(self.longest, n)):
+            h[k:] += points[: n - k] * self.factors[k]
+            key = mixed(h[k:])
+            end, row = np.nonzero(self.seen[key >> np.uint64(44)])
+            key = key[end, row]
             place = np.minimum(np.searchsorted(self.sorted, key), len(self.sorted) - 1)
-            rows = np.flatnonzero(self.sorted[place] == key)
-            ids = self.ids[self.by[place[rows]]]
-            if k == 0 and len(rows) < len(words):
-                other = np.ones(len(words), bool)
-                other[rows] = False
-                yield 1, np.flatnonzero(other), np.full(int(other.sum()), self.unknown)
-            if len(rows):
-                yield k + 1, rows, ids
-
-
-def parts(words: list[str]) -> tuple[list[str], np.ndarray]:
-    """Marked words in parts, and the word of each part."""
-    out, of = [], []
-    for i, w in enumerate(words):
-        w = MARK + w
-        for k in range(0, len(w), PART):
-            out.append(w[k : k + PART])
-            of.append(i)
-    return out, np.array(of, np.int64)
-
-
-def _by_length(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Which words have a length, and their characters as a matrix."""
+            hit = self.sorted[place] == key if len(self.sorted) else np.zeros(len(key), bool)
+            end, row, ids = end[hit] + k, row[hit], self.ids[place[hit]]
+            if k == 0:
+                out[np.arange(n), :, np.arange(n) % self.longest] = self.unknown
+            out[end, row, (end - k) % self.longest] = ids
+        return out
+
+
+def _by_length(
+    words: list[str], by_char: int, by_word: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Batches of words, longest first: which they are, their lengths and their characters.
+
+    A batch is as large as so many numbers for each character and each word allow.
+    """
     points, lengths = _code_points(words)
     first = np.cumsum(lengths) - lengths
-    for n in np.unique(lengths):
-        which = np.flatnonzero(lengths == n)
-        for k in range(0, len(which), 20_000):
-            part = which[k : k + 20_000]
-            yield part, points[first[part][:, None] + np.arange(n)]
+    order = np.argsort(-lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        longest = int(lengths[order[at]])
+        part = order[at : at + max(1, BATCH // (longest * by_char + by_word))]
+        # much shorter words go to a batch of their own
+        part = part[: max(1, int(np.searchsorted(-lengths[part], -(longest // 2), side="right")))]
+        n = lengths[part]
+        chars = np.zeros((len(part), longest), np.uint32)
+        chars[np.repeat(np.arange(len(part)), n), spread(np.zeros_like(n), n)] = points[spread(first[part], n)]
+        yield part, n, chars
+        at += len(part)
+
+
+def _forward(ids: np.ndarray, table: np.ndarray, lengths: np.ndarray, every: bool):
+    """Logarithms of the sums over all segmentations up to each end, or of whole words only.
+
+    ``table`` has a row of zeros at the end; ``lengths`` do not rise.
+    """
+    n, rows, longest = ids.shape
+    langs = table.shape[1]
+    ring = np.zeros((rows, longest, langs))
+    ring[:, 0] = 1
+    scale = np.zeros((rows, langs))
+    kept = np.zeros((n + 1, rows, langs)) if every else None
+    out = np.zeros((rows, langs))
+    for end in range(1, n + 1):
+        live = int(np.searchsorted(-lengths, -end, side="right"))  # words of this length at least
+        ring, scale = ring[:live], scale[:live]
+        now = np.einsum("rkl,rkl->rl", ring, table[ids[end - 1, :live]])
+        ring[:, end % longest] = now
+        if every:
+            kept[end, :live] = np.log(now) + scale
+        done = int(np.searchsorted(-lengths, -end, side="left"))
+        if done < live:
+            out[done:live] = np.log(now[done:]) + scale[done:]
+        if end % RESCALE == 0:
+            most = ring.max(axis=1)
+            ring /= most[:, None]
+            scale = scale + np.log(most)
+    return out, kept
 
 
 def log_probabilities(pieces: Pieces, table: np.ndarray, words: list[str]) -> np.ndarray:
     """Natural logarithm of each word's probability in each language (rows of ``table``)."""
-    split, of = parts(words)
+    table = np.concatenate((table, np.zeros((1, table.shape[1]))))
     out = np.zeros((len(words), table.shape[1]))
-    for which, chars in _by_length(split):
-        n = chars.shape[1]
-        forward = np.zeros((n + 1, len(which), table.shape[1]))
-        forward[0] = 1
-        for end in range(1, n + 1):
-            for k, rows, ids in pieces.at(chars, end):
-                forward[end, rows] += forward[end - k, rows] * table[ids]
-        np.add.at(out, of[which], np.log(forward[n]))
+    for which, lengths, chars in _by_length([MARK + w for w in words], pieces.longest, pieces.longest * table.shape[1]):
+        out[which], _ = _forward(pieces.ending(chars), table, lengths, False)
     return out
 
 
@@ -133,23 +174,39 @@ def expected_uses(
     pieces: Pieces, table: np.ndarray, words: list[str], counts: np.ndarray
 ) -> np.ndarray:
     """Expected uses of each piece in each language, for words seen ``counts[word, language]`` times."""
-    split, of = parts(words)
+    langs = table.shape[1]
     uses = np.zeros_like(table)
-    for which, chars in _by_length(split):
-        n = chars.shape[1]
-        forward = np.zeros((n + 1, len(which), table.shape[1]))
-        backward = np.zeros_like(forward)
-        forward[0] = backward[n] = 1
-        found = [list(pieces.at(chars, end)) for end in range(1, n + 1)]
-        for end in range(1, n + 1):
-            for k, rows, ids in found[end - 1]:
-                forward[end, rows] += forward[end - k, rows] * table[ids]
-        weight = counts[of[which]] / forward[n]
+    table = np.concatenate((table, np.zeros((1, langs))))
+    with np.errstate(divide="ignore"):
+        logs = np.log(table)
+    longest = pieces.longest
+    for which, lengths, chars in _by_length([MARK + w for w in words], longest + langs, 2 * longest * langs):
+        ids = pieces.ending(chars)
+        total, before = _forward(ids, table, lengths, True)
+        n, rows, _ = ids.shape
+        ring = np.zeros((rows, longest, langs))
+        scale = np.zeros((rows, langs))
+        weight = counts[which]
         for end in range(n, 0, -1):
-            for k, rows, ids in found[end - 1]:
-                step = backward[end, rows] * table[ids]
-                backward[end - k, rows] += step
-                np.add.at(uses, ids, step * forward[end - k, rows] * weight[rows])
+            live = int(np.searchsorted(-lengths, -end, side="right"))
+            done = int(np.searchsorted(-lengths, -end, side="left"))
+            ring[done:live, end % longest] = 1  # words that end here
+            here = ring[:live, end % longest].copy()
+            ring[:live, end % longest] = 0
+            row, place = np.nonzero(ids[end - 1, :live] != pieces.none)
+            piece = ids[end - 1, row, place]
+            start = end - 1 - (end - 1 - place) % longest
+            step = here[row] * table[piece]
+            ring[row, place] += step
+            with np.errstate(divide="ignore"):
+                log = before[start, row] + logs[piece] + np.log(here[row]) + scale[row] - total[row]
+            value = np.exp(log) * weight[row]
+            for k in range(langs):
+                uses[:, k] += np.bincount(piece, value[:, k], len(uses))
+            if end % RESCALE == 0:
+                most = ring[:live].max(axis=1)
+                ring[:live] /= most[:, None]
+                scale[:live] += np.log(most)
     return uses
 
 
@@ -209,18 +266,16 @@ class _Expect:
 
 
 def learn(
-    labelled: DataFrame, pieces: list[str], *, rounds: int = 2
-) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages in order, the probability of each piece in each, and the share of each."""
+    labelled: DataFrame, pieces: list[str], langs: list[str], *, rounds: int = 2
+) -> np.ndarray:
+    """The probability of each piece in each language."""
     kinds = "lang string, word string, n long"
     counted = labelled.select("lang", "text").mapInArrow(_count_words, kinds)
     words = written(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    shares = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(shares)
     table = np.full((len(pieces) + 1, len(langs)), 1 / (len(pieces) + 1))
     # an unknown character is worth less than any piece
     table[-1] /= len(pieces) + 1
-    for _ in range(rounds if langs else 0):
+    for _ in range(rounds):
         held = labelled.sparkSession.sparkContext.broadcast(table)
         rows = (
             words.mapInArrow(_Expect(pieces, langs, held), "lang int, piece int, uses double")
@@ -233,8 +288,27 @@ def learn(
         table = (uses + SMOOTHING) / (uses + SMOOTHING).sum(axis=0)
         table[-1] = np.minimum(table[-1], 1e-7)
         held.destroy()
-    prior = np.array([shares[x] for x in langs], float)
-    return langs, table, prior / max(prior.sum(), 1)
+    return table
+
+
+def parts_of(counts: dict[str, int], total: int) -> dict[str, int]:
+    """How many rows to take of each language: as even as the counts allow."""
+    out, left = {}, total
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(n, max(1, left // (len(counts) - i)))
+        left -= out[lang]
+    return out
+
+
+def chosen(known: DataFrame, counts: dict[str, int], total: int) -> DataFrame:
+    """About ``total`` rows of ``known(id, text, lang)``, by a hash of id and text."""
+    bits = 60
+    limits = []
+    for lang, n in parts_of(counts, total).items():
+        share = (1 << bits) * n // counts[lang]  # all rows of a rare language
+        limits += [F.lit(lang), F.lit(share)]
+    place = F.xxhash64(F.lit("lang"), "id", "text").bitwiseAND(F.lit((1 << bits) - 1))
+    return known.where(place < F.create_map(*limits)[F.col("lang")])
 
 
 class _Predict:
@@ -277,19 +351,18 @@ def predict_language(
     max_labelled: int = 20_000,
     rounds: int = 2,
 ) -> DataFrame:
-    """``id, lang, score`` of each row of ``docs``, learned from about ``max_labelled`` rows.
-
-    The rows of ``labelled`` to learn from are chosen by a hash of their id; ``score`` is the
-    posterior probability of the language.
+    """``id, lang, score`` of each row of ``docs``, learned from about ``max_labelled`` rows of
+    ``labelled``; ``score`` is the posterior probability of the language.
     """
     pieces = vocabulary(vocabulary_path)
     known = labelled.select(
         labelled[id_col].alias("id"), labelled[text_col].alias("text"), labelled[lang_col].alias("lang")
     ).where("text is not null and lang is not null")
-    share = min(1.0, max_labelled / max(known.count(), 1))
-    place = F.pmod(F.xxhash64(F.lit("lang"), "id"), F.lit(1_000_000))
-    known = known.where(place < int(share * 1_000_000))
-    langs, table, prior = learn(known, pieces, rounds=rounds)
+    seen = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    if len(seen) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages in {lang_col}")
+    counts = {r["lang"]: r["n"] for r in seen}
+    langs = sorted(counts)
     rows = docs.select(
         docs[id_col].alias("id"),
         docs[text_col].alias("text"),
@@ -298,6 +371,9 @@ def predict_language(
     kind = rows.schema["id"].dataType.simpleString()
     if not langs:
         return rows.select("id", F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
+    table = learn(chosen(known, counts, max_labelled), pieces, langs, rounds=rounds)
+    prior = np.array([counts[x] for x in langs], float)
+    prior /= prior.sum()
     held = docs.sparkSession.sparkContext.broadcast(table)
     found = rows.mapInArrow(
         _Predict(pieces, langs, prior, held), f"id {kind}, lang string, score double, extra boolean"

@@ -1,7 +1,9 @@
 """Each operator against its row-by-row definition, on awkward rows."""
 
 import collections
+import fractions
 import hashlib
+import math
 
 import brute
 import numpy as np
@@ -193,6 +195,23 @@ def test_packing_round_trip(odd, empty):
     assert packing.pack(empty, path).count() == 0
 
 
+@pytest.mark.parametrize(("tasks", "group"), [(200, 256), (200, 6), (3, 2)])
+def test_rests_of_tasks_are_packed_together(spark, monkeypatch, tasks, group):
+    """Short documents in many partitions: one sequence, and none but the last is short."""
+    monkeypatch.setattr(packing, "TASKS", group)
+    path = word_tokenizer()
+    texts = ["one two three four five six seven"] * 400 + ["a " * k for k in range(100, 101)]
+    texts += ["b"] * ((4096 - 400 * 8 - 101) // 2)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(tasks)
+    rows = packing.pack(docs, path).collect()
+    total = sum(r["length"] for r in rows)
+    used = collections.Counter()
+    for r in rows:
+        used[r["sequence_id"]] += r["length"]
+    assert len({r["id"] for r in rows}) == len(texts) and total in (4095, 4096)
+    assert sorted(used.values()) == [1 << b for b in range(13) if total >> b & 1]
+
+
 def test_packing_balances_cost():
     r = np.random.default_rng(1)
     lengths = [int(x) for x in np.minimum(r.lognormal(5, 1, 8000) + 1, 1000)]
@@ -362,6 +381,26 @@ def test_neighbours_do_not_depend_on_ranges(spark, ranges):
         assert got[7 * i] == text[: len(text) - n] + following[:n]
 
 
+@pytest.mark.parametrize("ranges", [1, 3, 8, 40])
+@pytest.mark.parametrize("null", [False, True])
+def test_large_ids_lose_no_row(spark, ranges, null):
+    rows = [(2**60 + 1000 * i + 1, f"text {i} " * 9) for i in range(40)]
+    rows += [(-(2**62) - 7, "before all others"), (2**63 - 1, "after all others")]
+    rows = sorted(rows) if not null else [(None, "no id " * 5), *sorted(rows)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = {r["id"]: r["edited"] for r in invertible_sketch.fingerprints(docs, ranges=ranges).collect()}
+    assert len(got) == len(rows)
+    for k, (i, text) in enumerate(rows):
+        following = rows[(k + 1) % len(rows)][1]
+        n = len(text) // 4
+        assert got[i] == text[: len(text) - n] + following[:n]
+
+
+def test_ids_must_be_integers(spark):
+    with pytest.raises(ValueError, match="integers"):
+        invertible_sketch.fingerprints(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_peeling_recovers_all_differences():
     r = np.random.default_rng(3)
     texts = 40
@@ -460,6 +499,95 @@ def test_forward_sums_all_segmentations():
         assert got == pytest.approx(np.log(total("▁" + word)))
 
 
+def _log_sum(text, p):
+    """Logarithm of the sum over all segmentations, by exact fractions."""
+    sums = [fractions.Fraction(1)]
+    for end in range(1, len(text) + 1):
+        known = [(k, p[text[end - k : end]]) for k in range(1, min(end, 6) + 1) if text[end - k : end] in p]
+        if text[end - 1] not in p:
+            known.append((1, fractions.Fraction(1, 10**7)))
+        sums.append(sum(sums[end - k] * q for k, q in known))
+    return math.log(sums[-1].numerator) - math.log(sums[-1].denominator)
+
+
+@pytest.mark.parametrize("scale", [1, 10**-9, 10**-40])
+def test_long_words_are_summed_whole(scale):
+    pieces = ["▁", "a", "b", "ab", "▁a", "bab", "aabba"]
+    r = np.random.default_rng(8)
+    table = np.append(r.random((7, 2)) * scale, [[1e-7, 1e-7]], axis=0)
+    words = ["".join(r.choice(list("abab?"), n)) for n in (1, 31, 32, 33, 64, 100, 777, 2000, 5, 5)]
+    got = language_pieces.log_probabilities(_pieces(*pieces), table, words)
+    for k in range(2):
+        p = {w: fractions.Fraction(x) for w, x in zip(pieces, table[:, k], strict=False)}
+        want = [_log_sum("▁" + w, p) for w in words]
+        assert np.allclose(got[:, k], want, rtol=1e-12)
+
+
+def test_expected_uses_are_slopes_of_the_logarithm():
+    pieces = _pieces("▁", "a", "b", "ab", "▁a", "bab")
+    r = np.random.default_rng(2)
+    table = np.append(r.random((6, 2)) * 1e-8, [[1e-12, 1e-12]], axis=0)
+    words = ["ab", "babab", "".join(r.choice(list("ab?"), 90)), "b" * 33]
+    n = r.random((4, 2)) * 5
+    uses = language_pieces.expected_uses(pieces, table, words, n)
+    for i in range(7):
+        more = table.copy()
+        more[i] *= 1 + 1e-6
+        rise = (language_pieces.log_probabilities(pieces, more, words) - language_pieces.log_probabilities(pieces, table, words)) * n
+        assert np.allclose(uses[i], rise.sum(axis=0) / 1e-6, rtol=1e-3, atol=1e-4)
+
+
+def test_rare_languages_are_learned_whole(spark):
+    assert language_pieces.parts_of({"a": 5, "b": 1000, "c": 10**12}, 900) == {"a": 5, "b": 447, "c": 448}
+    rows = [(i, f"text {i}", "common") for i in range(3000)] + [(i, f"rare {i}", "rare") for i in range(7)]
+    known = spark.createDataFrame([*rows, (None, "x", "common")], "id long, text string, lang string")
+    taken = language_pieces.chosen(known, {"common": 3001, "rare": 7}, 600).groupBy("lang").count().collect()
+    taken = {r["lang"]: r["count"] for r in taken}
+    assert taken["rare"] == 7 and 500 < taken["common"] < 690
+    huge = language_pieces.chosen(known, {"common": 10**14, "rare": 10**13}, 20_000)
+    assert huge.count() == 0  # shares far below a millionth are numbers still
+
+
+def test_whole_prediction(spark):
+    """Scores of the table that was learned, word by word."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    found = {r["id"]: r for r in language_pieces.predict_language(docs, docs, path).collect()}
+    rows = docs.collect()
+    pieces = language_pieces.vocabulary(path)
+    counts = collections.Counter(r["lang"] for r in rows if r["text"] is not None and r["lang"] is not None)
+    langs = sorted(counts)
+    known = docs.where("text is not null and lang is not null").withColumnRenamed("doc_id", "id")
+    table = language_pieces.learn(known, pieces, langs)
+    p = [dict(zip(pieces, table[:, k], strict=False)) for k in range(len(langs))]
+    longest = max(map(len, pieces))
+
+    def log_sum(word, k):
+        sums, scale = [1.0], 0.0
+        for end in range(1, len(word) + 1):
+            now = 0.0 if word[end - 1] in p[k] else sums[end - 1] * table[-1, k]
+            for n in range(1, min(end, longest) + 1):
+                if (q := p[k].get(word[end - n : end])) is not None:
+                    now += sums[end - n] * q
+            sums.append(now)
+            if now < 1e-200:
+                sums, scale = [x / now for x in sums], scale + math.log(now)
+        return math.log(sums[-1]) + scale
+
+    total, cache = sum(counts.values()), {}
+    for r in rows[:40]:
+        if not r["text"]:
+            continue
+        score = [math.log(counts[x] / total) for x in langs]
+        for word in brute.words(r["text"].lower()):
+            if word not in cache:
+                cache[word] = [log_sum("▁" + word, k) for k in range(len(langs))]
+            score = [a + b for a, b in zip(score, cache[word], strict=True)]
+        best = max(range(len(langs)), key=lambda k: score[k])
+        assert found[r["doc_id"]]["lang"] == langs[best]
+        assert found[r["doc_id"]]["score"] == pytest.approx(1 / sum(math.exp(x - score[best]) for x in score), rel=1e-6)
+
+
 def test_expected_uses_raise_likelihood():
     pieces = _pieces("▁", "a", "b", "ab", "▁a", "bab")
     table = np.full((7, 1), 1 / 7)
