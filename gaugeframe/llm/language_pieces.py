@@ -42,7 +42,8 @@ from .words import mixed, powers, spread, word_chunks
 UNKNOWN = "und"
 #: Languages whose probabilities, 32,000 or so each, a task can hold.
 MAX_LANGUAGES = 200
-#: Characters between two scalings, and numbers of a batch of words.
+#: Characters between two scalings, and numbers of a batch of words. Probabilities down to 1e-15
+#: keep their digits over the longest piece and that many characters.
 RESCALE, BATCH = 4, 4_000_000
 MARK = "▁"
 SMOOTHING = 0.05
