@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import as_text, n_log_n, ref
+from ..functions.expressions import as_text, n_log_n, pearson, ref
 from ..plans.checks import (
     categorical_features,
     column_list,
@@ -20,71 +20,114 @@ from ..plans.checks import (
 from ..plans.rows import number
 
 
+#: Columns of a block; a tile is two blocks, its sums one row of generated code.
+BLOCK = 4
+
+
 def pearson_matrix(
     df: DataFrame, columns: Sequence[str] | None = None, diagonal: bool = False
 ) -> DataFrame:
     """``(kind, col_a, col_b, score)`` over pairwise-complete rows.
 
-    NULL for constant columns. ``diagonal`` adds the cells a heat map needs.
-    Tasks sum products of all columns as matrices, one row for each pair and
-    task is shuffled, so hundreds of columns are as one plan of fixed size.
+    NULL for constant columns and where no row has both. ``diagonal`` adds the cells a heat map
+    needs. Each pair is computed once. Few columns are aggregates of one row; more
+    are cut into blocks, and a task adds up the products of each two blocks before one
+    row of them is shuffled, so the plan does not grow with the columns.
     """
     columns = column_list(columns, numeric_features(df))
     require_columns(df, columns, "numeric column")
     if len(columns) < 2 and not (columns and diagonal):
         raise ValueError("correlation needs at least two numeric columns")
-    # values around zero, so that no digits are lost in the sums
-    means = df.agg(F.array(*[F.avg(number(df, c)) for c in columns]).alias("m")).first()["m"]
-    shifted = F.array(*[number(df, c) - F.lit(m) for c, m in zip(columns, means, strict=True)])
-    sums = (
-        df.select(shifted.alias("x"))
-        .mapInArrow(_pair_sums, "i int, j int, n double, x double, y double, xx double, yy double, xy double")
-        .groupBy("i", "j")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    pairs = _few_pairs if len(columns) <= BLOCK else _tiled_pairs
+    found = pairs(df, columns, diagonal)
+    names = F.array(*[F.lit(c) for c in columns])
+    both = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    return found.select(F.explode(F.array_distinct(both)).alias("p"), "score").select(
+        F.lit("pearson").alias("kind"),
+        F.get(names, F.col("p.i")).alias("col_a"),
+        F.get(names, F.col("p.j")).alias("col_b"),
+        "score",
     )
-    spread_x = F.col("n") * F.col("xx") - F.col("x") * F.col("x")
-    spread_y = F.col("n") * F.col("yy") - F.col("y") * F.col("y")
 
-    def some(spread: Column, squares: str) -> Column:
-        # what is left of a constant by rounding is no spread
-        return F.when(spread > F.col("n") * F.col(squares) * 1e-12, spread)
 
-    score = (F.col("n") * F.col("xy") - F.col("x") * F.col("y")) / (
-        F.sqrt(some(spread_x, "xx")) * F.sqrt(some(spread_y, "yy"))
+def _few_pairs(df: DataFrame, columns: Sequence[str], diagonal: bool) -> DataFrame:
+    cells = [
+        F.struct(
+            F.lit(i).alias("i"),
+            F.lit(j).alias("j"),
+            pearson(number(df, columns[i]), number(df, columns[j])).alias("score"),
+        )
+        for i in range(len(columns))
+        for j in range(i + (not diagonal), len(columns))
+    ]
+    return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
+
+
+def _tiled_pairs(df: DataFrame, columns: Sequence[str], diagonal: bool) -> DataFrame:
+    # values around zero, so that no digits are lost in the sums
+    means = df.agg(F.array(*[F.avg(number(df, c)) for c in columns]).alias("m")).first()["m"]
+    shifted = [
+        number(df, c) - F.lit(m).cast("double") for c, m in zip(columns, means, strict=True)
+    ]
+    missing = F.lit(None).cast("double")
+    blocks = [
+        F.array(*(shifted[k : k + BLOCK] + [missing] * (k + BLOCK - len(columns))))
+        for k in range(0, len(columns), BLOCK)
+    ]
+    last = F.lit(len(blocks) - 1)
+    rows = df.select(F.array(*blocks).alias("x"))
+    # a row of missing values gives every tile, also if the table is empty
+    nothing = F.array(*[F.array(*[missing] * BLOCK)] * len(blocks))
+    rows = rows.union(df.sparkSession.range(1, numPartitions=1).select(nothing))
+
+    def tile(p: Column, q: Column) -> Column:
+        return F.struct(
+            p.alias("p"),
+            q.alias("q"),
+            *[F.get(F.get(F.col("x"), p), F.lit(k)).alias(f"a{k}") for k in range(BLOCK)],
+            *[F.get(F.get(F.col("x"), q), F.lit(k)).alias(f"b{k}") for k in range(BLOCK)],
+        )
+
+    tiles = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), last),
+            lambda p: F.transform(F.sequence(p, last), lambda q: tile(p, q)),
+        )
     )
-    names = F.array(*[F.lit(c) for c in columns])
-    wanted = (F.col("i") != F.col("j")) | F.lit(diagonal)
-    return sums.where(wanted).select(
-        F.lit("pearson").alias("kind"),
-        F.get(names, F.col("i")).alias("col_a"),
-        F.get(names, F.col("j")).alias("col_b"),
-        score.alias("score"),
+    cells = [(i, j) for i in range(BLOCK) for j in range(BLOCK)]
+    sums = []
+    for i, j in cells:
+        a, b = F.col(f"a{i}"), F.col(f"b{j}")
+        x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+        values = {"n": F.count(a * b), "x": F.sum(x), "y": F.sum(y)}
+        values |= {"xx": F.sum(x * x), "yy": F.sum(y * y), "xy": F.sum(a * b)}
+        sums += [v.alias(f"{name}_{i}_{j}") for name, v in values.items()]
+    added = rows.select(F.inline(tiles)).groupBy("p", "q").agg(*sums)
+    scores = F.array(
+        *[
+            F.struct(
+                (F.col("p") * BLOCK + i).alias("i"),
+                (F.col("q") * BLOCK + j).alias("j"),
+                _score(*[F.col(f"{name}_{i}_{j}") for name in ("n", "x", "y", "xx", "yy", "xy")]).alias(
+                    "score"
+                ),
+            )
+            for i, j in cells
+        ]
+    )
+    i, j = F.col("i"), F.col("j")
+    return added.select(F.inline(scores)).where(
+        ((i <= j) if diagonal else (i < j)) & (j < len(columns))
     )
 
 
-def _pair_sums(batches):
-    """Sums over the rows of a task that have both columns of a pair."""
-    import numpy as np
-    import pyarrow as pa
-
-    total = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        values = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-        for rows in np.array_split(values.reshape(batch.num_rows, -1), -(-batch.num_rows // 1024)):
-            has = (~np.isnan(rows)).astype(float)
-            x = np.nan_to_num(rows)
-            square = x * x
-            found = (has.T @ has, x.T @ has, has.T @ x, square.T @ has, has.T @ square, x.T @ x)
-            total = found if total is None else [a + b for a, b in zip(total, found, strict=True)]
-    if total is not None:
-        i, j = np.indices(total[0].shape)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(k.ravel().astype(np.int32)) for k in (i, j)]
-            + [pa.array(np.asarray(t).ravel()) for t in total],
-            names=["i", "j", "n", "x", "y", "xx", "yy", "xy"],
-        )
+def _score(n: Column, x: Column, y: Column, xx: Column, yy: Column, xy: Column) -> Column:
+    def root(square: Column, total: Column) -> Column:
+        spread = n * square - total * total
+        # what is left of a constant by rounding is no spread
+        return F.sqrt(F.when(spread > n * square * 1e-12, spread))
+
+    return (n * xy - x * y) / (root(xx, x) * root(yy, y))
 
 
 def theil_u_matrix(

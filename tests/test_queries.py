@@ -7,8 +7,8 @@ import __spark_entry__ as entry
 import workload
 
 # the operators for training data have tests of their own
-# archives are decoded, and sums of products of all columns made, in Arrow batches
-WITH_PYTHON = {"npz_rows", "pearson_matrix", "pearson_heatmap", "pearson_wide", "correlations"}
+# archives are decoded in Arrow batches
+WITH_PYTHON = {"npz_rows"}
 QUERIES, ORACLES = workload.QUERIES, workload.ORACLES
 
 
