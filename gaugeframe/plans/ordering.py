@@ -2,17 +2,13 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sizing import settled
 
-PREFIX_LENGTH = 4
-BUCKETS_PER_E_FOLD = 32.0
-
 
 def running_total(
     values: DataFrame,
@@ -24,61 +20,26 @@ def running_total(
 ) -> DataFrame:
     """Adds ``out`` = inclusive running sum of ``weight`` in value order, per ``by``.
 
-    Sums run inside buckets that follow the order (the characters after what all
-    texts begin with, logarithmic steps of numbers); the bucket totals are then
-    summed in order. The value table is settled, as it is read for both.
+    The table is dealt to ranges of the order, cut where a sample of it says so, and settled
+    with the number of the range. Sums run inside ranges; the totals of the ranges, a few
+    numbers whatever the values, are summed in order and added.
     """
     by = list(by)
-    values = settled(values)
-    prefix = F.coalesce(F.substring(F.col(text), F.lit(1), _cut(values, by, text)), F.lit(""))
-    if number is None:
-        step, order = F.lit(0.0), [F.col(text)]
-    else:
-        x = F.col(number)
-        step = F.coalesce(
-            F.floor(F.signum(x) * F.log1p(F.abs(x)) * F.lit(BUCKETS_PER_E_FOLD)).cast("double"),
-            F.lit(0.0),
-        )
-        prefix = F.when(x.isNull(), prefix).otherwise(F.lit(""))
-        order = [x, F.col(text)]
-    bucketed = values.withColumn("__step", step).withColumn("__prefix", prefix)
-    bucket = [*by, "__step", "__prefix"]
-
-    totals = bucketed.groupBy(*bucket).agg(F.sum(weight).alias("__bucket_total"))
-    before = Window.partitionBy(*by).orderBy("__step", "__prefix")
+    order = [F.col(text)] if number is None else [F.col(number), F.col(text)]
+    dealt = values.repartitionByRange(*[F.col(b) for b in by], *order)
+    ranged = settled(dealt.withColumn("__range", F.spark_partition_id()))
+    part = [*by, "__range"]
+    totals = ranged.groupBy(*part).agg(F.sum(weight).alias("__total"))
+    before = Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
-        *bucket,
-        (
-            F.sum("__bucket_total").over(
-                before.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-            )
-            - F.col("__bucket_total")
-        ).alias("__offset"),
+        *part, F.coalesce(F.sum("__total").over(before), F.lit(0)).alias("__offset")
     )
-    inside = Window.partitionBy(*bucket).orderBy(*order)
+    inside = Window.partitionBy(*part).orderBy(*order)
+    inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a row for each range, and one more for each value of ``by``
     return (
-        bucketed.withColumn(
-            "__inside",
-            F.sum(weight).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-        )
-        .join(offsets, bucket)
+        ranged.withColumn("__inside", F.sum(weight).over(inside))
+        .join(F.broadcast(offsets), part)
         .withColumn(out, F.col("__inside") + F.col("__offset"))
-        .drop("__step", "__prefix", "__inside", "__offset")
+        .drop("__range", "__inside", "__offset")
     )
-
-
-def _cut(values: DataFrame, by: Sequence[str], text: str) -> Column:
-    """Length of the common beginning of all texts per ``by``, plus ``PREFIX_LENGTH``."""
-    spans = values.groupBy(*by).agg(F.min(text).alias("first"), F.max(text).alias("last"))
-    lengths = {
-        tuple(row[b] for b in by): len(os.path.commonprefix([row["first"] or "", row["last"] or ""]))
-        for row in spans.collect()
-    }
-    if not by:
-        return F.lit(lengths.get((), 0) + PREFIX_LENGTH)
-    (column,) = by
-    if not lengths:
-        return F.lit(PREFIX_LENGTH)
-    return F.create_map(
-        *[part for (key,), n in lengths.items() for part in (F.lit(key), F.lit(n + PREFIX_LENGTH))]
-    )[F.col(column)]
