@@ -1,6 +1,7 @@
 """Dataset readiness metrics as Spark DataFrame queries."""
 
 from .operators.anonymity import (
+    anonymity_guards,
     class_distances,
     entropy_risk,
     entropy_risk_histogram,
@@ -16,13 +17,14 @@ from .operators.association import correlations, pearson_matrix, theil_u_matrix
 from .operators.fairness import (
     compare_representation,
     demographic_disparity,
+    disparity_guards,
     rate_deviation,
     real_representation_rates,
     representation_rates,
     representation_shares,
     statistical_rates,
 )
-from .operators.imbalance import class_distribution, imbalance_degree
+from .operators.imbalance import class_distribution, imbalance_degree, imbalance_guards
 from .operators.metadata import (
     datacite_checks,
     datacite_scores,
@@ -49,6 +51,7 @@ from .operators.reidentification import (
     combination_risk_statistics,
     combination_risks,
     dataset_risk,
+    reidentification_guards,
     risk_box_plot,
     risk_fliers,
     row_attribute_risks,

@@ -10,15 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expressions import UNKNOWN_MARK, guarded, ref
-from ..plans.checks import column_list, dtype_of, require_columns, with_checks
+from ..functions.expressions import UNKNOWN_MARK, ref
+from ..plans.checks import checked, column_list, dtype_of, require_columns, statuses, with_checks
 from ..plans.quantiles import exact_quantiles
 from ..plans.rows import complete_rows
-from ..plans.sizing import is_small, settled
+from ..plans.sizing import settled
 
 NOTHING_LEFT = "no data left after dropping rows with missing values"
 HISTOGRAM_DECIMALS = 2
@@ -36,8 +36,13 @@ def known_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def equivalence_classes(df: DataFrame, quasi_identifiers: Sequence[str]) -> DataFrame:
     """``(*quasi_identifiers, n)``: the size of every class."""
+    return _some(_classes(df, quasi_identifiers))
+
+
+def _classes(df: DataFrame, quasi_identifiers: Sequence[str]) -> DataFrame:
+    """The classes, unchecked: for statistics, which check their own row."""
     require_columns(df, quasi_identifiers, "quasi-identifier")
-    return _some(
+    return (
         known_rows(df, quasi_identifiers)
         .groupBy(*[ref(q) for q in quasi_identifiers])
         .agg(F.count("*").alias("n"))
@@ -69,24 +74,22 @@ def _size_histogram(classes: DataFrame, size: str) -> DataFrame:
 
 def _size_statistics(histogram: DataFrame, name: str) -> DataFrame:
     size, weight = F.col("size"), F.col("n_classes")
-    return histogram.agg(
+    row = histogram.agg(
         F.min(size).alias("min"),
         F.max(size).alias("max"),
         (F.sum(size * weight) / F.sum(weight).cast("double")).alias("mean"),
         F.percentile(size, F.lit(0.5), weight).cast("bigint").alias("median"),
-    ).select(
-        guarded(F.col("min"), (F.col("min").isNull(), NOTHING_LEFT)).alias(name),
-        "min",
-        "max",
-        "mean",
-        "median",
     )
+    return _known(row).select(F.col("min").alias(name), "min", "max", "mean", "median")
+
+
+def _known(row: DataFrame) -> DataFrame:
+    return checked(row, (F.col("min").isNull(), NOTHING_LEFT))
 
 
 def k_anonymity(df: DataFrame, quasi_identifiers: Sequence[str]) -> DataFrame:
     """``(k, min, max, mean, median)`` of class sizes; the median is truncated."""
-    classes = equivalence_classes(df, quasi_identifiers)
-    return _size_statistics(_size_histogram(classes, "n"), "k")
+    return _size_statistics(_size_histogram(_classes(df, quasi_identifiers), "n"), "k")
 
 
 def k_anonymity_histogram(df: DataFrame, quasi_identifiers: Sequence[str]) -> DataFrame:
@@ -97,7 +100,7 @@ def k_anonymity_histogram(df: DataFrame, quasi_identifiers: Sequence[str]) -> Da
 
 def _diversity(df: DataFrame, qis: Sequence[str], sensitive: str) -> DataFrame:
     counts = _sensitive_counts(_sensitive_rows(df, qis, sensitive))
-    return _some(counts.groupBy(*[f"q{i}" for i in range(len(qis))]).agg(F.count("*").alias("l")))
+    return counts.groupBy(*[f"q{i}" for i in range(len(qis))]).agg(F.count("*").alias("l"))
 
 
 def l_diversity(df: DataFrame, quasi_identifiers: Sequence[str], sensitive: str) -> DataFrame:
@@ -111,10 +114,22 @@ def l_diversity_histogram(
     df: DataFrame, quasi_identifiers: Sequence[str], sensitive: str
 ) -> DataFrame:
     """``(metric, bucket, n_classes)``: number of classes per diversity."""
-    classes = _diversity(df, quasi_identifiers, sensitive)
+    classes = _some(_diversity(df, quasi_identifiers, sensitive))
     return _as_histogram(_size_histogram(classes, "l"), "l_diversity")
 
 
+def anonymity_guards(
+    df: DataFrame, quasi_identifiers: Sequence[str], sensitive: str | None = None
+) -> DataFrame:
+    """``(guard, failed)``: what the metrics of these columns would fail with."""
+    classes = (
+        _classes(df, quasi_identifiers)
+        if sensitive is None
+        else _sensitive_counts(_sensitive_rows(df, quasi_identifiers, sensitive))
+    )
+    return statuses(classes.agg(F.count("*").alias("n")), (F.col("n") == 0, NOTHING_LEFT))
+
+
 def class_distances(
     df: DataFrame, quasi_identifiers: Sequence[str], sensitive: str
 ) -> DataFrame:
@@ -125,18 +140,13 @@ def class_distances(
     """
     qis = column_list(quasi_identifiers)
     keys = [f"q{i}" for i in range(len(qis))]
-    rows = _sensitive_rows(df, qis, sensitive)
-    counts = _sensitive_counts(rows)
+    counts = _sensitive_counts(_sensitive_rows(df, qis, sensitive))
     per_value = counts.groupBy("s").agg(F.sum("n").alias("n_s"))
     total = per_value.agg(F.sum("n_s")).scalar().cast("double")
     shares = per_value.select("s", (F.col("n_s") / total).alias("q"))
-    if is_small(rows.select("s").distinct()):
-        # few sensitive values, so a class has few rows here
-        shares = F.broadcast(shares)
-        whole = counts.withColumn("n_class", F.sum("n").over(Window.partitionBy(*keys)))
-    else:
-        sizes = counts.groupBy(*keys).agg(F.sum("n").alias("n_class"))
-        whole = counts.join(sizes, keys)
+    # joins, not windows: adaptive execution broadcasts a small side and splits a hot value
+    sizes = counts.groupBy(*keys).agg(F.sum("n").alias("n_class"))
+    whole = counts.join(sizes, keys)
     p = F.col("n") / F.col("n_class").cast("double")
     distances = (
         whole.join(shares, "s")
@@ -155,10 +165,11 @@ def t_closeness(df: DataFrame, quasi_identifiers: Sequence[str], sensitive: str)
     """``(t, min, max, mean, median)`` of class distances."""
     distances = settled(class_distances(df, quasi_identifiers, sensitive).select("t"))
     median = exact_quantiles(distances, ["t"], [0.5])["t"][0]
-    return distances.agg(
+    row = distances.agg(
         F.min("t").alias("min"), F.max("t").alias("max"), F.avg("t").alias("mean")
-    ).select(
-        guarded(F.col("max"), (F.col("max").isNull(), NOTHING_LEFT)).alias("t"),
+    )
+    return _known(row).select(
+        F.col("max").alias("t"),
         "min",
         "max",
         "mean",
@@ -181,9 +192,9 @@ def entropy_risk(df: DataFrame, quasi_identifiers: Sequence[str]) -> DataFrame:
 
     The risk is the sum over classes divided by the number of rows.
     """
-    sizes = _size_histogram(equivalence_classes(df, quasi_identifiers), "n")
+    sizes = _size_histogram(_classes(df, quasi_identifiers), "n")
     entropy, weight = F.log2(F.col("size").cast("double")), F.col("n_classes")
-    return sizes.agg(
+    row = sizes.agg(
         F.try_divide(
             F.sum(entropy * weight), F.sum(F.col("size") * weight).cast("double")
         ).alias("risk"),
@@ -191,8 +202,9 @@ def entropy_risk(df: DataFrame, quasi_identifiers: Sequence[str]) -> DataFrame:
         F.max(entropy).alias("max"),
         (F.sum(entropy * weight) / F.sum(weight).cast("double")).alias("mean"),
         F.percentile(entropy, F.lit(0.5), weight).alias("median"),
-    ).select(
-        guarded(F.col("risk"), (F.col("min").isNull(), NOTHING_LEFT)).alias("entropy_risk"),
+    )
+    return _known(row).select(
+        F.col("risk").alias("entropy_risk"),
         "min",
         "max",
         "mean",

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import ref
-from ..plans.checks import dtype_of, require_columns, require_rows, with_checks
+from ..plans.checks import dtype_of, require_columns, require_rows, statuses, with_checks
 from ..plans.counts import value_counts
 from ..plans.ordering import running_total
-from ..plans.pairing import combine
+from ..plans.pairing import grid, unordered_pairs
 from ..plans.rows import complete_rows
 
 
@@ -20,23 +20,21 @@ def representation_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
     One row per unordered pair of values, the more frequent one first and ties
     in value order. The pairs are the result; they are built on the table of
-    value counts, spread over tasks.
+    value counts, in blocks that tasks share evenly.
     """
     require_columns(df, columns, "sensitive column")
-    counts = value_counts(df, columns)
-    left = counts.select("column", F.col("value").alias("value_a"), F.col("n").alias("n_a"))
-    right = counts.select("column", F.col("value").alias("value_b"), F.col("n").alias("n_b"))
+    counts = value_counts(df, columns).select("column", "value", "n")
+    a, b = F.col("a"), F.col("b")
+    swap = (a["n"] < b["n"]) | ((a["n"] == b["n"]) & (a["value"] > b["value"]))
+    ordered = F.when(swap, F.struct(b.alias("a"), a.alias("b"))).otherwise(F.struct("a", "b"))
     return (
-        combine(left, right, spread_by=["value_b"], on=["column"])
-        .filter(
-            (F.col("n_a") > F.col("n_b"))
-            | ((F.col("n_a") == F.col("n_b")) & (F.col("value_a") < F.col("value_b")))
-        )
+        unordered_pairs(counts, by=["column"], key="value")
+        .select("column", ordered.alias("p"))
         .select(
             "column",
-            "value_a",
-            "value_b",
-            (F.col("n_a").cast("double") / F.col("n_b").cast("double")).alias("ratio"),
+            F.col("p.a.value").alias("value_a"),
+            F.col("p.b.value").alias("value_b"),
+            (F.col("p.a.n").cast("double") / F.col("p.b.n").cast("double")).alias("ratio"),
         )
     )
 
@@ -71,23 +69,21 @@ def real_representation_rates(populations: DataFrame, column: str) -> DataFrame:
     ``populations`` holds ``(value, population)``, one row per value.
     """
     require_columns(populations, ["value", "population"], "population column")
-    left = populations.select(
-        F.col("value").cast("string").alias("value_a"),
-        F.col("population").cast("bigint").alias("n_a"),
-    )
-    right = populations.select(
-        F.col("value").cast("string").alias("value_b"),
-        F.col("population").cast("bigint").alias("n_b"),
+    known = populations.select(
+        F.col("value").cast("string").alias("value"), F.col("population").cast("bigint").alias("n")
     )
-    return (
-        combine(left, right, spread_by=["value_b"])
-        .filter(F.col("value_a") != F.col("value_b"))
-        .select(
-            F.lit(column).alias("column"),
-            "value_a",
-            "value_b",
-            F.try_divide(F.col("n_a").cast("double"), F.col("n_b").cast("double")).alias("ratio"),
+
+    def ratio(of: str, to: str) -> Column:
+        return F.struct(
+            F.col(f"{of}.value").alias("value_a"),
+            F.col(f"{to}.value").alias("value_b"),
+            F.try_divide(F.col(f"{of}.n").cast("double"), F.col(f"{to}.n").cast("double")).alias("ratio"),
         )
+
+    return (
+        unordered_pairs(known, by=[], key="value")
+        .select(F.inline(F.array(ratio("a", "b"), ratio("b", "a"))))
+        .select(F.lit(column).alias("column"), "value_a", "value_b", "ratio")
     )
 
 
@@ -133,7 +129,7 @@ def statistical_rates(df: DataFrame, target: str, sensitive: str) -> DataFrame:
     classes = counts.select("class").distinct()
     n = F.coalesce(F.col("n"), F.lit(0))
     return (
-        combine(groups, classes, spread_by=["class"])
+        grid(groups, classes, "group", "class")
         .join(counts, ["group", "class"], "left")
         .select("group", "class", n.alias("n"), (n / F.col("total").cast("double")).alias("rate"))
     )
@@ -166,17 +162,10 @@ def rate_deviation(df: DataFrame, target: str, sensitive: str) -> DataFrame:
     )
 
 
-def demographic_disparity(df: DataFrame, target: str, sensitive: str, accepted) -> DataFrame:
-    """``(group, accepted, rejected, share_of_accepted, share_of_rejected, disparity)``.
-
-    A missing outcome counts as rejected, a missing group is left out. A group
-    is at a disadvantage if its share of the rejected exceeds its share of the
-    accepted. ``accepted`` is cast to the type of the outcome column.
-    """
+def _accepted_counts(df: DataFrame, target: str, sensitive: str, accepted) -> DataFrame:
     require_columns(df, [target, sensitive])
-    require_rows(df, "target and sensitive columns are empty")
     is_accepted = ref(target).eqNullSafe(F.lit(accepted).cast(dtype_of(df, target)))
-    groups = (
+    return (
         df.filter(ref(sensitive).isNotNull())
         .groupBy(ref(sensitive).alias("group"))
         .agg(
@@ -184,17 +173,37 @@ def demographic_disparity(df: DataFrame, target: str, sensitive: str, accepted)
             F.count_if(~is_accepted).alias("rejected"),
         )
     )
-    totals = groups.agg(
-        F.struct(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")).alias("t")
-    ).scalar()
-    of_accepted = F.try_divide(F.col("accepted").cast("double"), F.col("t.accepted").cast("double"))
-    of_rejected = F.try_divide(F.col("rejected").cast("double"), F.col("t.rejected").cast("double"))
-    checks = [
+
+
+def _disparity_guards(groups: DataFrame, target: str, sensitive: str, accepted):
+    facts = groups.agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+    return facts, [
         (F.col("accepted").isNull(), f"no group left in '{sensitive}'"),
         (F.col("accepted") == 0, f"no accepted value '{accepted}' in '{target}'"),
         (F.col("rejected") == 0, f"no rejected value in '{target}'"),
     ]
-    facts = groups.agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected"))
+
+
+def disparity_guards(df: DataFrame, target: str, sensitive: str, accepted) -> DataFrame:
+    """``(guard, failed)``: what ``demographic_disparity`` of these arguments would fail with."""
+    groups = _accepted_counts(df, target, sensitive, accepted)
+    facts, checks = _disparity_guards(groups, target, sensitive, accepted)
+    return statuses(facts, *checks)
+
+
+def demographic_disparity(df: DataFrame, target: str, sensitive: str, accepted) -> DataFrame:
+    """``(group, accepted, rejected, share_of_accepted, share_of_rejected, disparity)``.
+
+    A missing outcome counts as rejected, a missing group is left out. A group
+    is at a disadvantage if its share of the rejected exceeds its share of the
+    accepted. ``accepted`` is cast to the type of the outcome column.
+    """
+    groups = _accepted_counts(df, target, sensitive, accepted)
+    require_rows(df, "target and sensitive columns are empty")
+    facts, checks = _disparity_guards(groups, target, sensitive, accepted)
+    totals = facts.select(F.struct("accepted", "rejected").alias("t")).scalar()
+    of_accepted = F.try_divide(F.col("accepted").cast("double"), F.col("t.accepted").cast("double"))
+    of_rejected = F.try_divide(F.col("rejected").cast("double"), F.col("t.rejected").cast("double"))
     shares = groups.withColumn("t", totals).select(
         "group",
         "accepted",

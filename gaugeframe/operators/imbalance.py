@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expressions import as_double, as_text, ref
-from ..plans.checks import dtype_of, is_number, require_columns, with_checks
+from ..plans.checks import dtype_of, is_number, require_columns, statuses, with_checks
 
 METRICS = ("EU", "CH", "KL", "HE", "TV", "CS")
 MAX_CLASSES = 50
@@ -40,6 +40,13 @@ def _checks(df: DataFrame, column: str, k: Column, n: Column) -> list[tuple[Colu
     return checks
 
 
+def imbalance_guards(df: DataFrame, column: str) -> DataFrame:
+    """``(guard, failed)``: what the class metrics of this column would fail with."""
+    require_columns(df, [column], "target")
+    facts = _class_counts(df, column).agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    return statuses(facts, *_checks(df, column, F.col("k"), F.col("n")))
+
+
 def class_distribution(df: DataFrame, column: str) -> DataFrame:
     """``(class, count, pct)``, most frequent first; percentages to one decimal."""
     require_columns(df, [column], "target")

@@ -14,8 +14,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expressions import guarded, ref
-from ..plans.checks import column_list, dtype_of, is_number, require_columns, with_checks
+from ..functions.expressions import ref
+from ..plans.checks import (
+    checked,
+    column_list,
+    dtype_of,
+    is_number,
+    require_columns,
+    statuses,
+    with_checks,
+)
 from ..plans.counts import cells
 from ..plans.quantiles import quantiles
 from ..plans.rows import complete_rows, number
@@ -70,6 +78,19 @@ def attribute_risks(
     )
     n, total = F.col("n"), F.col("t.total")
     score = F.lit(1.0) - n / total.cast("double") * (F.lit(1.0) - F.lit(1.0) / n)
+    facts, checks = _attribute_guards(df, id_column, qis, counts, check_id)
+    labels = F.create_map(*[part for c, q in zip(columns, qis) for part in (F.lit(c), F.lit(q))])
+    risks = (
+        counts.withColumn("t", totals[F.col("column")])
+        .select(labels[F.col("column")].alias("qi"), "value", "n", score.alias("score"))
+        .withColumn("risk", F.round("score", DECIMALS))
+    )
+    return with_checks(risks, facts, *checks)
+
+
+def _attribute_guards(
+    df: DataFrame, id_column: str, qis: Sequence[str], counts: DataFrame, check_id: bool
+) -> tuple[DataFrame, list[tuple[Column, str]]]:
     numeric = [f"q{i}" for i, q in enumerate(qis) if is_number(dtype_of(df, q))]
     facts = (
         counts.groupBy("column")
@@ -80,18 +101,25 @@ def attribute_risks(
             F.max(F.when(F.col("column").isin(numeric), F.col("k"))).alias("most"),
         )
     )
-    checks = _id_check(df, id_column, check_id) + [
+    return facts, _id_check(df, id_column, check_id) + [
         (F.col("seen") < len(qis), NO_DATA),
         (F.col("least") == 1, "a quasi-identifier has only one value"),
         (F.col("most") > MAX_NUMERIC_VALUES, "a numeric quasi-identifier has too many values"),
     ]
-    labels = F.create_map(*[part for c, q in zip(columns, qis) for part in (F.lit(c), F.lit(q))])
-    risks = (
-        counts.withColumn("t", totals[F.col("column")])
-        .select(labels[F.col("column")].alias("qi"), "value", "n", score.alias("score"))
-        .withColumn("risk", F.round("score", DECIMALS))
+
+
+def reidentification_guards(
+    df: DataFrame, id_column: str, quasi_identifiers: Sequence[str]
+) -> DataFrame:
+    """``(guard, failed)``: what the single-attribute risks of these columns would fail with."""
+    qis = column_list(quasi_identifiers)
+    _check_names(df, id_column, qis)
+    columns = [f"q{i}" for i in range(len(qis))]
+    counts = cells(_complete(df, id_column, qis), columns).groupBy("column", "value").agg(
+        F.count("*").alias("n")
     )
-    return with_checks(risks, facts, *checks)
+    facts, checks = _attribute_guards(df, id_column, qis, counts, True)
+    return statuses(facts, *checks)
 
 
 def attribute_risk_statistics(
@@ -166,8 +194,9 @@ def combination_risk_statistics(
     """
     risks = combination_risks(df, id_column, quasi_identifiers, check_id)
     by_risk = _by_risk(risks)
-    return _weighted_statistics(by_risk).select(
-        guarded(F.col("root_mean_square"), (F.col("mean").isNull(), NO_DATA)).alias("dataset_risk"),
+    row = checked(_weighted_statistics(by_risk), (F.col("mean").isNull(), NO_DATA))
+    return row.select(
+        F.col("root_mean_square").alias("dataset_risk"),
         "mean",
         "std",
         "min",

@@ -2,8 +2,8 @@
 
 Checks on names and types run at once on the schema and raise ``ValueError``.
 Checks on values are part of the plan (``with_checks``) and fail when the result
-is computed, whichever part of it and also if it has no rows; they read the same
-counts as the result.
+is computed, whichever part of it, under a limit and also if it has no rows; they read
+the same counts as the result.
 """
 
 from __future__ import annotations
@@ -38,20 +38,50 @@ def require_rows(df: DataFrame, message: str) -> None:
         raise ValueError(message)
 
 
-def with_checks(df: DataFrame, facts: DataFrame, *checks: tuple[Column, str]) -> DataFrame:
-    """``df``; its computation fails with the message of the first condition that holds.
+def passes(facts: DataFrame, *checks: tuple[Column, str]) -> Column:
+    """True, or an error with the message of the first condition that holds.
 
-    The conditions are on the one row of ``facts``. They stand in a filter of a
-    branch without rows, so neither a projection nor a count can leave them out.
+    The conditions are on the one row of ``facts``; as a scalar subquery they are computed
+    before any row that is filtered by them.
     """
-    broken = F.lit(False)
+    return facts.select(_verdict(checks).alias("passes")).scalar()
+
+
+def _verdict(checks) -> Column:
+    verdict = F.lit(True)
     for condition, message in reversed(checks):
         error = F.raise_error(F.lit(message)).cast("boolean")
-        broken = F.when(condition, error).otherwise(broken)
-    nothing = facts.filter(broken).select(
+        verdict = F.when(condition, error).otherwise(verdict)
+    return verdict
+
+
+def checked(row: DataFrame, *checks: tuple[Column, str]) -> DataFrame:
+    """The one row ``row``; reading any part of it fails if a condition on it holds."""
+    return row.filter(_verdict(checks))
+
+
+def with_checks(df: DataFrame, facts: DataFrame, *checks: tuple[Column, str]) -> DataFrame:
+    """``df``; its computation fails with the message of the first condition that holds.
+
+    The conditions are on the one row of ``facts``. Every row of ``df`` waits for them, so a
+    limit or a projection fails as well; where ``df`` has no rows at all, a
+    branch that never has any asks for the same subquery.
+    """
+    verdict = passes(facts, *checks)
+    one = df.sparkSession.range(1, numPartitions=1)
+    nothing = one.filter(~verdict).select(
         *[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields]
     )
-    return df.union(nothing)
+    return df.filter(verdict).union(nothing)
+
+
+def statuses(facts: DataFrame, *checks: tuple[Column, str]) -> DataFrame:
+    """``(guard, failed)``: the conditions on the one row of ``facts``, in order, none raised."""
+    rows = [
+        F.struct(F.lit(message).alias("guard"), F.coalesce(condition, F.lit(False)).alias("failed"))
+        for condition, message in checks
+    ]
+    return facts.select(F.inline(F.array(*rows)))
 
 
 def dtype_of(df: DataFrame, column: str) -> T.DataType:

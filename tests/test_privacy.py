@@ -7,7 +7,6 @@ import numpy as np
 import pytest
 
 import gaugeframe as gf
-from gaugeframe.operators import anonymity
 from gaugeframe.plans import sizing
 
 
@@ -77,14 +76,15 @@ def class_distances():
     return out
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_t_closeness(df, monkeypatch, small):
-    monkeypatch.setattr(anonymity, "is_small", lambda _: small)
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_t_closeness(df, broadcast):
+    df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
     want = class_distances()
     got = {(r["city"], r["job"]): r["t"] for r in gf.class_distances(df, ["city", "job"], "ill").collect()}
     assert got == {key: pytest.approx(t) for key, t in want.items()}
     low, high, mean, median = stats(list(want.values()))
     row = gf.t_closeness(df, ["city", "job"], "ill").first()
+    df.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert tuple(row) == pytest.approx((high, low, high, mean, median))
 
 

@@ -5,10 +5,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import gaugeframe as gf
-from gaugeframe.plans import sizing
-from gaugeframe.plans.pairing import combine
+from gaugeframe.plans import pairing, sizing
+from gaugeframe.plans.ordering import running_total
+from gaugeframe.plans.pairing import grid, unordered_pairs
 
 
 def scores(df):
@@ -165,10 +167,10 @@ def test_class_distribution_order(spark):
     assert got == [("c", 2, 50.0), ("a", 1, 25.0), ("b", 1, 25.0)]
 
 
-def test_combine_is_the_full_product(spark):
+def test_grid_is_the_full_product(spark):
     left = spark.createDataFrame([(i,) for i in range(7)], "a int")
     right = spark.createDataFrame([(i,) for i in range(50)], "b int")
-    got = {tuple(r) for r in combine(left, right, spread_by=["b"]).collect()}
+    got = {tuple(r) for r in grid(left, right, "a", "b").collect()}
     assert got == {(a, b) for a in range(7) for b in range(50)}
 
 
@@ -214,3 +216,98 @@ def test_disparity_guards(spark, data, message):
         gf.demographic_disparity(df, "y", "g", 1).collect()
     with pytest.raises(ValueError):
         gf.demographic_disparity(df.limit(0), "y", "g", 1)
+
+
+@pytest.mark.parametrize("slot", [512, 3, 1])
+def test_pairs_are_made_once(spark, monkeypatch, slot):
+    monkeypatch.setattr(pairing, "SLOT", slot)
+    rows = [("x", i, -i) for i in range(23)] + [("y", i, i) for i in range(2)] + [("z", 0, 0)]
+    df = spark.createDataFrame(rows, "c string, k int, v int")
+    got = [(r["c"], frozenset((r["a"]["k"], r["b"]["k"]))) for r in unordered_pairs(df, ["c"], "k").collect()]
+    want = {(c, frozenset((i, j))) for c, i, _ in rows for d, j, _ in rows if c == d and i < j}
+    assert set(got) == want and len(got) == len(want)
+    alone = unordered_pairs(df.where("c = 'x'").select("k", "v"), [], "k")
+    assert alone.count() == 23 * 22 / 2
+    left = df.where("c = 'x'").select(F.col("k").alias("a"))
+    right = df.where("c = 'x'").select(F.col("k").alias("b"))
+    assert grid(left, right, "a", "b").distinct().count() == 23 * 23
+    assert unordered_pairs(df.limit(0), ["c"], "k").count() == 0
+
+
+def test_running_totals_are_spread_evenly(spark):
+    """Texts with one beginning, and numbers that differ by little against their size."""
+    texts = spark.range(40_000).select(
+        F.lit("url").alias("column"),
+        F.concat(F.lit("https://example.org/page/"), F.col("id").cast("string")).alias("value"),
+        F.lit(None).cast("double").alias("number"),
+        (F.col("id") % 7 + 1).alias("n"),
+    )
+    numbers = spark.range(40_000).select(
+        F.lit("id").alias("column"),
+        (F.lit(10**12) + F.col("id")).cast("string").alias("value"),
+        (F.lit(10**12) + F.col("id")).cast("double").alias("number"),
+        (F.col("id") % 5 + 1).alias("n"),
+    )
+    out = running_total(texts.unionByName(numbers), "n", "upto")
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 2 * 80_000 / min(8, max(len(sizes), 1)) or len(sizes) == 1
+    rows = sorted(out.collect(), key=lambda r: (r["column"], r["number"] or 0, r["value"]))
+    total = {"url": 0, "id": 0}
+    for r in rows:
+        total[r["column"]] += r["n"]
+        assert r["upto"] == total[r["column"]]
+
+
+def test_wide_pearson_equals_few_columns_at_a_time(spark):
+    r = np.random.default_rng(3)
+    data = r.normal(1e6, 1, (300, 11)) + r.normal(0, 1, (300, 1))
+    data[:, 3] = 0.1
+    rows = [[None if q < 0.1 else float(x) for x, q in zip(row, r.random(11), strict=True)] for row in data]
+    rows = [[*row[:10], None] for row in rows]
+    names = [f"c.{i}" for i in range(11)]
+    df = spark.createDataFrame(rows, ", ".join(f"`{c}` double" for c in names))
+    got = scores(gf.pearson_matrix(df, diagonal=True))
+    assert len(got) == 121
+    few = scores(gf.pearson_matrix(df, names[:3] + [names[9]], diagonal=True))
+    for key, value in few.items():
+        assert got[key] == (None if value is None else pytest.approx(value, abs=1e-9))
+    assert got["c.3", "c.4"] is None and got["c.10", "c.2"] is None
+    nothing = scores(gf.pearson_matrix(df.limit(0), diagonal=True))
+    assert len(nothing) == 121 and set(nothing.values()) == {None}
+    plan = gf.pearson_matrix(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+PARTS = [
+    lambda d: d.limit(1).collect(),
+    lambda d: d.head(),
+    lambda d: d.take(2),
+    lambda d: d.show(),
+    lambda d: d.count(),
+    lambda d: d.select(d.columns[-1]).limit(1).collect(),
+    lambda d: d.collect(),
+]
+
+
+@pytest.mark.parametrize("part", range(len(PARTS)))
+def test_guards_fire_whatever_is_read(spark, part):
+    people = spark.createDataFrame(
+        [(1, "a", "x"), (1, "b", "y"), (2, "a", "y")], "id int, city string, job string"
+    )
+    one = spark.createDataFrame([(1, "a"), (2, "a")], "id int, city string")
+    broken = [
+        gf.attribute_risks(people, "id", ["city", "job"]),
+        gf.row_risks(people, "id", ["city", "job"]),
+        gf.combination_risks(people, "id", ["city", "job"]),
+        gf.class_distribution(one, "city"),
+        gf.imbalance_degree(one, "city"),
+        gf.demographic_disparity(people, "job", "city", "nobody"),
+        gf.equivalence_classes(people.where("id > 9"), ["city"]),
+        gf.k_anonymity(people.where("id > 9"), ["city"]),
+        gf.entropy_risk(people.where("id > 9"), ["city"]),
+        gf.l_diversity(people.where("id > 9"), ["city"], "job"),
+        gf.dataset_risk(people.where("id > 9"), "id", ["city", "job"]),
+    ]
+    for df in broken:
+        with pytest.raises(Exception, match="unique|only one class|no accepted|no data left"):
+            PARTS[part](df)

@@ -160,3 +160,49 @@ def demographic_disparity(spark, sf_dir):
     return rounded(
         gf.demographic_disparity(labelled_documents(spark, sf_dir), "quality", "lang", "1")
     )
+
+
+def _disparity_guards_sql(accepted):
+    return f"""
+SELECT unnest(['no group left in ''o_orderpriority''', 'no accepted value ''{accepted}'' in ''o_orderstatus''',
+               'no rejected value in ''o_orderstatus''']) AS guard,
+       unnest([count(o_orderpriority) = 0, count(*) FILTER (o_orderstatus = '{accepted}') = 0,
+               count(*) FILTER (o_orderstatus IS DISTINCT FROM '{accepted}') = 0]) AS failed
+FROM orders WHERE o_orderpriority IS NOT NULL"""
+
+
+@query("disparity_guards", _disparity_guards_sql("F") + " UNION ALL " + _disparity_guards_sql("nobody"))
+def disparity_guards(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    found = [gf.disparity_guards(orders, "o_orderstatus", "o_orderpriority", x) for x in ("F", "nobody")]
+    return found[0].unionByName(found[1])
+
+
+GUARDED = {"o_orderstatus": False, "o_custkey": True, "o_orderkey": True, "constant": True}
+
+
+def _imbalance_guards_sql(column, is_number):
+    many = [f"'''{column}'' has too many values for classes'"] if is_number else []
+    above = ["k > 100"] if is_number else []
+    guards = [
+        f"'no valid data in ''{column}'' after dropping missing values'",
+        f"'''{column}'' needs at least two rows'",
+        f"'''{column}'' has only one class'",
+        *many,
+        f"'''{column}'' has more than 50 classes'",
+    ]
+    failed = ["n = 0", "n < 2", "k < 2", *above, "k > 50"]
+    return f"""
+SELECT unnest([{", ".join(guards)}]) AS guard, unnest([{", ".join(failed)}]) AS failed
+FROM (SELECT count(DISTINCT {column}) AS k, count({column}) AS n
+      FROM (SELECT *, 1 AS constant FROM orders))"""
+
+
+@query("imbalance_guards", " UNION ALL ".join(_imbalance_guards_sql(c, x) for c, x in GUARDED.items()))
+def imbalance_guards(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").withColumn("constant", F.lit(1))
+    parts = [gf.imbalance_guards(orders, c) for c in GUARDED]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

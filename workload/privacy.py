@@ -330,3 +330,45 @@ def noisy_table_written(spark, sf_dir):
     return spark.read.parquet(path).withColumn(
         "noisy_o_totalprice", F.round("noisy_o_totalprice", 6)
     )
+
+
+@query("anonymity_guards", """
+SELECT 'all' AS rows, 'no data left after dropping rows with missing values' AS guard,
+       count(*) FILTER (o_orderstatus <> '?' AND o_orderpriority IS NOT NULL) = 0 AS failed FROM orders
+UNION ALL SELECT 'none', 'no data left after dropping rows with missing values',
+       count(*) FILTER (o_totalprice < 0) = 0 FROM orders
+""")
+def anonymity_guards(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders")
+    found = gf.anonymity_guards(orders, ["o_orderstatus"], "o_orderpriority")
+    none = gf.anonymity_guards(orders.where("o_totalprice < 0"), ["o_orderstatus"])
+    return found.select(F.lit("all").alias("rows"), "*").unionByName(none.select(F.lit("none").alias("rows"), "*"))
+
+
+def _risk_guards_sql(name, id_column, qis):
+    """Guards of ``qis``: pairs of a column and whether it holds numbers."""
+    distinct = ", ".join(f"count(DISTINCT {q})" for q, _ in qis)
+    numbers = ", ".join(f"count(DISTINCT {q})" for q, is_number in qis if is_number) or "0"
+    return f"""
+SELECT '{name}' AS name, unnest(['identifier is not unique for each row',
+  'no data left after dropping rows with missing values', 'a quasi-identifier has only one value',
+  'a numeric quasi-identifier has too many values']) AS guard,
+  unnest([count(*) > count(DISTINCT {id_column}), count(*) = 0, least({distinct}) = 1,
+          greatest({numbers}) > 100]) AS failed
+FROM customer"""
+
+
+RISK_GUARDS = {
+    "good": ("c_custkey", [("c_mktsegment", False), ("c_nationkey", True)]),
+    "bad": ("c_nationkey", [("c_custkey", True), ("c_mktsegment", False)]),
+}
+
+
+@query("reidentification_guards", " UNION ALL ".join(_risk_guards_sql(n, *x) for n, x in RISK_GUARDS.items()))
+def reidentification_guards(spark, sf_dir):
+    customer = table(spark, sf_dir, "customer")
+    parts = [
+        gf.reidentification_guards(customer, id_column, [q for q, _ in qis]).select(F.lit(n).alias("name"), "*")
+        for n, (id_column, qis) in RISK_GUARDS.items()
+    ]
+    return parts[0].unionByName(parts[1])
