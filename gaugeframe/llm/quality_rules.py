@@ -3,9 +3,12 @@
 Row-wise SQL expressions measure each text. Sequential covering then learns rules from
 the measures of labelled rows: a rule is grown by adding the threshold with the best
 information gain, pruned on rows held out from growing, and accepted if it is precise
-there; the rows it covers leave, and the next rule is grown. The list becomes one
+there; the rows it covers leave, and the next rule is grown. A rule that is not accepted
+leaves the direction of its first threshold out of the next try, and the list ends when no
+direction is left that gains, however many rules that takes. The list becomes one
 conditional expression. Only counts by measure and bin reach the driver, as many
-whatever the size of the data.
+whatever the size of the data. Rules are fitted on about ``max_labelled`` labelled rows, chosen
+by a hash of the id; everything else reads all rows.
 
 Defined cases: a null or empty text has no words and fails the base; labels that are null
 or not 0/1 teach nothing; without rows of both kinds there are no rules and the base
@@ -183,17 +186,18 @@ def learn_rules(
     labelled: DataFrame,
     *,
     cuts: int = 24,
-    max_rules: int = 8,
+    max_rules: int | None = None,
     max_length: int = 3,
     min_precision: float = 0.9,
     min_cover: int = 4,
+    min_held: int = 2,
 ) -> list[Rule]:
     """Rules for rejection from ``labelled(bad boolean, grow boolean, <MEASURES>)``.
 
     Thresholds are quantiles of the growing rows that no earlier rule covers, of either
     kind, so that a rare kind has thresholds too. A rule is kept if at least
-    ``min_precision`` of the held-out rows it covers are bad, and it covers ``min_cover``
-    bad rows in all.
+    ``min_precision`` of the held-out rows it covers are bad, ``min_held`` at least, and it
+    covers ``min_cover`` bad rows in all.
     """
     at = [(i + 0.5) / cuts for i in range(cuts)]
     rows = written(labelled.select("bad", "grow", *MEASURES))
@@ -223,7 +227,9 @@ def learn_rules(
             ]
         )
 
-    def best(rest: Column, points: list[list[float]], rule: Rule) -> Threshold | None:
+    def best(
+        rest: Column, points: list[list[float]], rule: Rule, failed: set[tuple[str, bool]]
+    ) -> Threshold | None:
         part = rows.where(F.col("grow") & rest & rule_column(rule))
         found = (
             part.select("bad", F.posexplode(bins_of(points)).alias("m", "bin"))
@@ -242,20 +248,18 @@ def learn_rules(
                 # a value in bin i is above exactly i of the points
                 p, n = (x + y for x, y in zip((p, n), by_bin.get(i, (0, 0)), strict=True))
                 for above, (a, b) in ((False, (p, n)), (True, (p0 - p, n0 - n))):
+                    if not rule and (m, above) in failed:
+                        continue
                     if p0 and (gain := _gain(a, b, p0, n0)) > score:
                         top, score = Threshold(m, above, value), gain
         return top
 
     rules: list[Rule] = []
-    while len(rules) < max_rules:
-        rest = F.lit(True)
-        for rule in rules:
-            rest = rest & ~rule_column(rule)
-        points = points_of(rest)
-        if points is None:
-            break
+    failed: set[tuple[str, bool]] = set()
+    rest, points = F.lit(True), points_of(F.lit(True))
+    while points is not None and (max_rules is None or len(rules) < max_rules):
         grown: Rule = ()
-        while len(grown) < max_length and (step := best(rest, points, grown)) is not None:
+        while len(grown) < max_length and (step := best(rest, points, grown, failed)) is not None:
             grown = (*grown, step)
         if not grown:
             break
@@ -274,23 +278,21 @@ def learn_rules(
         worth = [(held[f"{i}_True"], held[f"{i}_False"]) for i in range(len(shorter))]
         value, at_ = max(((p - n) / max(p + n, 1), -i) for i, (p, n) in enumerate(worth))
         p, n = worth[-at_]
-        if not p or held[f"{-at_}_all"] < min_cover or p < min_precision * (p + n):
-            break
+        if p < min_held or held[f"{-at_}_all"] < min_cover or p < min_precision * (p + n):
+            failed.add((grown[0].measure, grown[0].above))
+            continue
         rules.append(shorter[-at_])
+        failed = set()
+        rest = rest & ~rule_column(rules[-1])
+        points = points_of(rest)
     return rules
 
 
-def labelled_rows(
-    narrow: DataFrame, labels: DataFrame, max_labelled: int, seed: str = "rules"
-) -> DataFrame:
-    """Labelled measures that pass the base: about ``max_labelled`` rows, chosen by hash of the id.
+def labelled_rows(narrow: DataFrame, chosen: DataFrame, seed: str = "rules") -> DataFrame:
+    """Measures ``narrow(id, q)`` of the rows ``chosen(id, bad)`` that pass the base.
 
-    ``narrow(id, q)`` holds the measures of all documents, ``labels(id, bad)`` the labels.
     A third is held out from growing.
     """
-    n = labels.count()
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col("id")), F.lit(1_000_000))
-    chosen = labels.where(place < int(1_000_000 * min(1.0, max_labelled / max(n, 1))))
     held = F.pmod(F.xxhash64(F.lit(seed + "-held"), F.col("id")), F.lit(3)) == 0
     return (
         narrow.join(chosen, "id")
@@ -299,16 +301,15 @@ def labelled_rows(
     )
 
 
-def learned(
-    narrow: DataFrame,
+def chosen_labels(
     labels: DataFrame,
     *,
     label_id_col: str = "doc_id",
     label_col: str = "quality",
     max_labelled: int = 30_000,
-    **options,
-) -> list[Rule]:
-    """Rules for ``narrow(id, q)``, fitted on about ``max_labelled`` labelled rows chosen by hash."""
+    seed: str = "rules",
+) -> DataFrame:
+    """``id, bad`` of about ``max_labelled`` labels, chosen by a hash of the id."""
     known = (
         labels.select(
             labels[label_id_col].alias("id"), labels[label_col].cast("double").alias("label")
@@ -316,7 +317,10 @@ def learned(
         .where("label in (0, 1) and id is not null")
         .select("id", (F.col("label") == 0).alias("bad"))
     )
-    return learn_rules(labelled_rows(narrow, known, max_labelled), **options)
+    bits = 60  # a share far below a millionth is a number still
+    limit = (1 << bits) * max_labelled // max(known.count(), max_labelled)
+    place = F.xxhash64(F.lit(seed), F.col("id")).bitwiseAND(F.lit((1 << bits) - 1))
+    return known.where(place < F.lit(limit))
 
 
 def kept(rules: Sequence[Rule]) -> Column:
@@ -324,13 +328,21 @@ def kept(rules: Sequence[Rule]) -> Column:
     return ~F.col("q.base_failed") & verdict(rules)
 
 
+def _label_options(options: dict) -> tuple[dict, dict]:
+    names = ("label_id_col", "label_col", "max_labelled")
+    return {k: v for k, v in options.items() if k in names}, {
+        k: v for k, v in options.items() if k not in names
+    }
+
+
 def judged_ids(
     docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options
 ) -> tuple[DataFrame, list[Rule]]:
     """``id, q, kept`` of each row, and the rules. Texts are read once."""
+    of_labels, of_rules = _label_options(options)
     rows = measured(docs.select(id_col, text_col), text_col=text_col)
     narrow = written(rows.select(F.col("doc")[id_col].alias("id"), "q"))
-    rules = learned(narrow, labels, **options)
+    rules = learn_rules(labelled_rows(narrow, chosen_labels(labels, **of_labels)), **of_rules)
     return narrow.withColumn("kept", kept(rules)), rules
 
 
@@ -339,7 +351,14 @@ def keep_good(
 ) -> DataFrame:
     """The rows of ``docs`` that pass base and rules.
 
-    Rows are measured once to learn and once to judge; neither shuffles a text.
+    Only the texts of chosen labels are measured to learn; then each row is measured once.
     """
-    _, rules = judged_ids(docs, labels, id_col=id_col, text_col=text_col, **options)
+    of_labels, of_rules = _label_options(options)
+    chosen = written(chosen_labels(labels, **of_labels))
+    # as many ids as ``max_labelled`` says
+    few = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).join(
+        F.broadcast(chosen.select("id").distinct()), "id", "left_semi"
+    )
+    narrow = measured(few).select(F.col("doc.id").alias("id"), "q")
+    rules = learn_rules(labelled_rows(narrow, chosen), **of_rules)
     return measured(docs, text_col=text_col).where(kept(rules)).select("doc.*")
