@@ -21,8 +21,8 @@ million; beyond it far less.
 
 Defined cases: a null text, or one without words, has an empty set and stays alone; a text
 of fewer words than a shingle is one shingle; rows with the same id share its component; a
-null id is linked with rows of equal sets only; an empty table
-gives an empty table; other columns, whatever their names, pass through.
+null id is linked by similarity like any other, and is no component's name: the component of
+rows without an id alone is null; an empty table gives an empty table; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -36,9 +36,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.expressions import EXACT_TIMES, ref
 from .components import components
 from .storage import written
-from .words import mixed, shingle_hashes, spread, word_chunks
+from .words import chunks, mixed, shingle_hashes, spread, word_chunks
 
 BUCKET_BITS = 7
 REGISTERS = 1 << BUCKET_BITS
@@ -49,6 +50,8 @@ STAR_ROUNDS = 1
 CROWD = 64
 BLOCK_ROWS = 256
 BLOCK_BYTES = 1 << 22
+#: Bytes of text whose sets are in memory at once.
+SKETCH_BYTES = 1 << 22
 #: Standard errors below the threshold at which an estimate rules a pair out.
 MARGIN = 5.5
 _FIRST = (np.arange(REGISTERS, dtype=np.uint64)) << np.uint64(64 - BUCKET_BITS)
@@ -132,27 +135,19 @@ class _Sketch:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
-            at = 0
-            while at < len(texts):
-                part = texts.slice(at, 2048)
-                sets = list(shingle_sets(part, self.size))
-                found = registers([s for s in sets if len(s)]).astype("<u2")
-                rows = iter(found)
+            for i, j in chunks(texts, SKETCH_BYTES):
+                sets = list(shingle_sets(texts.slice(i, j - i), self.size))
+                rows = iter(registers([s for s in sets if len(s)]).astype("<u2"))
+                regs = [next(rows).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(at, 2048),
+                        ids.slice(i, j - i),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(
-                            [_digest(s) for s in sets],
-                            pa.binary(),
-                        ),
-                        pa.array(
-                            [next(rows).tobytes() if len(s) else None for s in sets], pa.binary()
-                        ),
+                        pa.array([_digest(s) for s in sets], pa.binary()),
+                        pa.array(regs, pa.binary()),
                     ],
                     names=["id", "n", "digest", "regs"],
                 )
-                at += 2048
 
 
 class _Likely:
@@ -312,21 +307,25 @@ def _empty(spark: SparkSession, *names: str) -> DataFrame:
 def _class_texts(plain: DataFrame, sketches: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """``id, text``: a text of each class of ``wanted(id, doc)``, by digest ``id`` and smallest id ``doc``.
 
-    An id of one row tells its text; texts of repeated ids are told apart by their digests.
+    An id of one row tells its text; texts of repeated ids, and of rows without an id, are told
+    apart by their digests.
     """
     ids = sketches.where(F.col("id").isNotNull()).groupBy(F.col("id").alias("doc"))
     repeated = written(ids.agg(F.count("*").alias("k")).where("k > 1").select("doc"))
     plain = plain.select(F.col("id").alias("doc"), "text")
-    single = plain.join(wanted.join(repeated, "doc", "left_anti"), "doc").select("id", "text")
-    if repeated.isEmpty():
+    single = plain.join(wanted.where("doc IS NOT NULL").join(repeated, "doc", "left_anti"), "doc")
+    single = single.select("id", "text")
+    unnamed = wanted.where("doc IS NULL")
+    if repeated.isEmpty() and unnamed.isEmpty():
         return single
+    apart = plain.join(repeated, "doc", "left_semi").unionByName(plain.where("doc IS NULL"))
+    asked = wanted.join(repeated, "doc", "left_semi").select("id").unionByName(unnamed.select("id"))
     told = (
-        plain.join(repeated, "doc", "left_semi")
-        .select(_digest_of(size)("text").alias("id"), "text")
+        apart.select(_digest_of(size)("text").alias("id"), "text")
         .where("id is not null")
         .groupBy("id")
         .agg(F.min("text").alias("text"))
-        .join(wanted.join(repeated, "doc", "left_semi"), "id", "left_semi")
+        .join(asked, "id", "left_semi")
     )
     return single.unionByName(told)
 
@@ -442,9 +441,7 @@ def _grouped(
             F.first("regs").alias("regs"),
         )
     )
-    reps = classes.where(F.col("id").isNotNull()).select(
-        F.col("digest").alias("id"), F.col("id").alias("doc"), "n", "regs"
-    )
+    reps = classes.select(F.col("digest").alias("id"), F.col("id").alias("doc"), "n", "regs")
     known = linked_components(
         plain, sketches, reps, size=size, percent=percent, star_rounds=star_rounds
     ).select(F.col("id").alias("digest"), F.col("c").alias("root"))
@@ -498,7 +495,7 @@ def keep_one(
     """One row of ``docs`` for each component: that of the smallest id.
 
     Rows are dropped by id and text, so that a row whose id is null or repeated goes only
-    with its own text. Of copies that have no id in their component one stays. Rows of
+    with its own text. Of rows that have no id in their component one stays. Rows of
     the smallest id that differ in columns besides the text stay each. Texts without words
     stay.
     """
@@ -516,8 +513,8 @@ def keep_one(
     rest = docs.where(docs[id_col].isNull()).unionByName(
         docs.join(repeated, docs[id_col] == repeated["_dropped"], "left_semi")
     )
-    others = [rest[c] for c in docs.columns if c not in (id_col, text_col)]
-    others = F.to_json(F.struct(*others)) if others else F.lit("")
+    others = [ref(c) for c in docs.columns if c not in (id_col, text_col)]
+    others = F.to_json(F.struct(*others), EXACT_TIMES) if others else F.lit("")
     marked = rest.select(
         F.struct("*").alias("doc"),
         rest[id_col].alias("id"),

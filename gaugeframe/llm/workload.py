@@ -134,7 +134,37 @@ def op3_cost_packing(spark, sf_dir):
     return packing.digest(packing.pack(docs, word_tokenizer()))
 
 
-@query("op4_hyperminhash")
+@query(
+    "op4_hyperminhash",
+    r"""
+    WITH RECURSIVE texts AS (
+      SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+      FROM documents),
+    sets AS (
+      SELECT doc_id, CASE
+        WHEN len(w) = 0 THEN []
+        WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')))
+        END AS s
+      FROM texts),
+    shingles AS (SELECT doc_id, unnest(s) AS shingle FROM sets),
+    shared AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+      FROM shingles a JOIN shingles b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (
+      SELECT a, b FROM shared JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+      WHERE 100 * n >= 75 * (len(x.s) + len(y.s) - n)),
+    ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reached(doc_id, other) AS (
+      SELECT doc_id, doc_id FROM documents
+      UNION SELECT r.doc_id, w.b FROM reached r JOIN ways w ON w.a = r.other),
+    groups AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY doc_id)
+    SELECT doc_id, len(s) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM sets JOIN groups USING (doc_id)
+    """,
+)
 def op4_hyperminhash(spark, sf_dir):
     found = hyperminhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(
@@ -145,7 +175,25 @@ def op4_hyperminhash(spark, sf_dir):
     )
 
 
-@query("op5_fm_index")
+@query(
+    "op5_fm_index",
+    r"""
+    WITH texts AS (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    starts AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM texts),
+    windows AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 34], ' ')) AS h FROM starts),
+    repeated AS (SELECT h FROM windows GROUP BY h HAVING count(*) > 1),
+    gone AS (
+      SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS place FROM windows JOIN repeated USING (h)),
+    words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM texts),
+    kept AS (
+      SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY place) AS text
+      FROM words ANTI JOIN gone USING (doc_id, place) GROUP BY doc_id)
+    SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed,
+           sha256(coalesce(kept.text, '')) AS kept_sha256
+    FROM texts LEFT JOIN kept USING (doc_id)
+    """,
+)
 def op5_fm_index(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.remove_repeated(docs).select(

@@ -71,10 +71,7 @@ def shingles(text, size=5):
 
 
 def near_groups(rows, percent=75):
-    """Smallest id that links lead to, by position in ``rows`` (id, text).
-
-    A row without an id is linked with equal sets only.
-    """
+    """Smallest id that links lead to, by position in ``rows`` (id, text)."""
     sets = [shingles(t) for _, t in rows]
     group = list(range(len(rows)))
 
@@ -87,8 +84,7 @@ def near_groups(rows, percent=75):
         for b in range(a):
             both = len(sets[a] & sets[b])
             same_id = rows[a][0] is not None and rows[a][0] == rows[b][0]
-            least = 100 if None in (rows[a][0], rows[b][0]) else percent
-            linked = both and 100 * both >= least * len(sets[a] | sets[b])
+            linked = both and 100 * both >= percent * len(sets[a] | sets[b])
             if linked or same_id:
                 group[root(a)] = root(b)
     first = {}

@@ -8,10 +8,10 @@ import random
 CLASHING = (
     "id", "doc", "q", "key", "keys", "keeper", "src", "size", "place", "repeats", "lines", "left",
     "kept", "range", "text_", "c", "n", "digest", "regs", "anchors", "ranges", "copies", "label",
-    "target", "copy", "threshold", "_dropped", "letters", "score", "start", "length",
+    "target", "copy", "threshold", "_dropped", "letters", "score", "start", "length", "a.dotted.name",
 )
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(
-    f"{c} string" for c in CLASHING
+    f"`{c}` string" for c in CLASHING
 )
 
 

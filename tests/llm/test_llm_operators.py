@@ -139,6 +139,26 @@ def test_rules_are_learned_and_hold(spark):
         assert r["kept"] == (not r["q"]["base_failed"] and not rejected)
 
 
+def test_many_kinds_of_junk_are_learned(spark):
+    """More kinds than eight, each with a mark of its own, and one that is learned by no rule."""
+    r = np.random.default_rng(12)
+    rows = []
+    for i in range(2400):
+        kind = i % 12
+        values = r.random(len(quality_rules.MEASURES)) * 0.4 + 0.3
+        if kind < 9:
+            values[kind] = 0.9 + r.random() * 0.1
+        bad = kind < 9 or (kind == 9 and r.random() < 0.5)
+        rows.append((bool(bad), bool(r.random() < 0.67), *map(float, values)))
+    names = ", ".join(f"{m} double" for m in quality_rules.MEASURES)
+    df = spark.createDataFrame(rows, f"bad boolean, grow boolean, {names}").coalesce(1).cache()
+    rules = quality_rules.learn_rules(df, max_length=1)
+    assert {rule[0].measure for rule in rules} >= set(quality_rules.MEASURES) and len(rules) >= 9
+    left = df.select("bad", quality_rules.verdict(rules, "").alias("kept"))
+    caught = left.where("bad and not kept").count()
+    assert caught >= 9 * 200 * 0.97 and left.where("not bad and not kept").count() < 60
+
+
 def test_quality_without_labels(spark, odd, empty):
     none = _labels(spark).limit(0)
     kept = quality_rules.keep_good(odd, none)
@@ -279,6 +299,29 @@ def test_one_row_of_each_group_stays(spark):
     assert ordered(got) == ordered(want)
 
 
+def test_rows_without_ids_are_linked_by_similarity(spark):
+    words = [f"w{k}" for k in range(101)]
+    edited = [*words[:50], "other", *words[51:]]
+    t, u, v = " ".join(words), " ".join(edited), " ".join(f"v{k}" for k in range(60))
+    rows = [(None, u), (4, t), (None, v), (None, v + " end"), (9, v + " of all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = hyperminhash.near_duplicates(df).collect()
+    assert ordered((r["id"], r["component_id"]) for r in got) == ordered([(None, 4), (4, 4), (None, 9), (None, 9), (9, 9)])
+    assert ordered(tuple(r) for r in hyperminhash.keep_one(df).collect()) == ordered([(4, t), (9, v + " of all")])
+    alone = spark.createDataFrame(rows[2:4], "doc_id long, text string")
+    assert {r["component_id"] for r in hyperminhash.near_duplicates(alone).collect()} == {None}
+    assert hyperminhash.keep_one(alone).count() == 1
+
+
+def test_rows_that_differ_in_other_columns_stay(spark):
+    t = " ".join(f"t{k}" for k in range(30))
+    rows = [(5, t, f"2024-01-01 00:00:00.00000{k}", "x") for k in (1, 2, 2)] + [(None, "a", None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, at string, `a.b` string").selectExpr(
+        "doc_id", "text", "cast(at AS timestamp) AS at", "`a.b`"
+    )
+    assert hyperminhash.keep_one(df).where("doc_id = 5").count() == 2
+
+
 def test_texts_of_a_repeated_id_keep_their_links(spark):
     """Both texts of id 5 have a near copy; so do the ids that link them."""
     a, b, other = (" ".join(f"{x}{k}" for k in range(60)) for x in "abo")
