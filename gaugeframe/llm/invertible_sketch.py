@@ -25,12 +25,12 @@ an empty table gives an empty table; other columns, whatever their names, are no
 from __future__ import annotations
 
 import base64
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +42,7 @@ GROWTH = 4
 #: Most words in a paragraph.
 LONGEST = 12
 #: Text that a range holds, on average, unless the table is small.
-RANGE_BYTES = 1 << 24
+RANGE_BYTES = 1 << 22
 #: Beyond so many rounds the sets are compared directly.
 ROUNDS = 12
 _ENDS = np.zeros(256, bool)
@@ -280,16 +280,19 @@ def _follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = batch.slice(batch.num_rows - 1)
 
 
-def _range_of(cuts: list[int]):
-    """The number of cuts at or below an id, in 64-bit integers."""
-    edges = np.array(cuts, np.int64)
+def _range_of(cuts: list[int]) -> Column:
+    """The number of cuts at or below ``id``: first among some of the cuts, then between two of those."""
+    if not cuts:
+        return F.lit(0)
+    step = math.isqrt(len(cuts) - 1) + 1
+    id_ = F.coalesce(F.col("id").cast("long"), F.lit(-(2**63)))  # a null comes before all ids
 
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.to_numpy(np.int64), side="right").astype(np.int32))
+    def upto(values: Column) -> Column:
+        return F.size(F.filter(values, lambda c: c <= id_))
 
-    # a null comes before all ids, and never reaches NumPy, which would turn the batch to floats
-    return range_of(F.coalesce(F.col("id").cast("long"), F.lit(-(2**63))))
+    block = upto(F.lit(cuts[::step]))
+    inside = upto(F.slice(F.lit(cuts), (block - 1) * step + 1, step))
+    return F.when(block == 0, 0).otherwise((block - 1) * step + inside)
 
 
 def _cuts(rows: DataFrame, ranges: int) -> list[int]:
@@ -337,8 +340,8 @@ def fingerprints(
 
     ``edited`` is the text with its last quarter from the next row's; ``n_changed`` counts the
     paragraph digests recovered from the difference of both fingerprints. Ids are integers of
-    any size. There are as many ranges as hold about ``RANGE_BYTES`` of text each, so a task
-    reads as much whatever the size of the table.
+    any size. There are as many ranges as hold about ``RANGE_BYTES`` of text each, several for
+    a task, so tasks read about as much as each other.
     """
     if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
         raise ValueError(f"{id_col} must hold integers")
@@ -348,7 +351,7 @@ def fingerprints(
     kind = rows.schema["id"].dataType.simpleString()
     if ranges is None:
         total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        least = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        least = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         ranges = max(least, -(-total // RANGE_BYTES))
     dealt = ranged(rows, ranges).repartition("range")
     return dealt.sortWithinPartitions("range", "borrowed", F.asc_nulls_first("id"), "text").mapInArrow(
