@@ -4,14 +4,14 @@ Spark's ``percentile`` gathers every distinct value of a column in the task that
 merges the partial results. Here each wanted quantile is a rank that is closed
 in from both sides, in three narrow passes over the columns:
 
-1. a sketch of fixed size per column proposes a value range around each rank;
+1. a sketch of fixed size per column proposes a value range around each rank, and values
+   that cut the range into parts of about as many rows;
 2. one aggregate counts the rows below, at both ends of and inside each range.
    That proves where the rank is. If it is outside, a wider range is tried, at
    last the whole column. If it is at an end, its value is known: so a value
    that holds a third of the rows is settled here;
-3. the few rows strictly inside are grouped by value and ranked. Each range is
-   divided into ``BUCKETS`` parts in value order, so a running count covers one
-   part only.
+3. the few rows strictly inside are grouped by value and ranked, part by part. As parts are
+   of equal depth, not width, long tails and infinities do not gather in one of them.
 
 The sketch decides how fast this goes, never the result. All passes return a few
 numbers per column; like ``approxQuantile`` they run at once.
@@ -26,29 +26,38 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import ref
 from .rows import number
 
 SKETCH_SIZE = 16_000
 MARGINS = (0.0005, 0.01)  # ranks around the wanted one, as shares of all rows
-BUCKETS = 1_024
+PARTS = 64
 
 
 @dataclass
 class Search:
-    """One wanted quantile: its two ranks and the value range that should hold them."""
+    """One wanted quantile: its two ranks and the values that should hold them.
+
+    ``cuts`` run from the lower to the upper end of the range.
+    """
 
     column: int
     slot: int
     position: float
-    low: float
-    high: float
+    cuts: list[float]
     below: int = 0
     at_low: int = 0
     under_high: int = 0
     upto_high: int = 0
     values: dict[int, float] = field(default_factory=dict)
 
+    @property
+    def low(self) -> float:
+        return self.cuts[0]
+
+    @property
+    def high(self) -> float:
+        return self.cuts[-1]
+
     @property
     def ranks(self) -> tuple[int, int]:
         return math.floor(self.position), math.ceil(self.position)
@@ -83,28 +92,21 @@ def exact_quantiles(
     start = df.agg(
         *[_sketch(x, probabilities).alias(f"v{i}") for i, x in enumerate(numbers)]
     ).first()
-    # NaN stays in: no range ever holds it
-    cells = df.select(
-        F.posexplode(F.array(*[ref(c).cast("double") for c in columns])).alias("c", "v")
-    )
     searches = [
-        Search(c, slot, p * (seen["n"] - 1), *_cut(seen, slot, 0))
+        Search(c, slot, p * (seen["n"] - 1), _cuts(seen, slot, 0))
         for c, seen in enumerate(start)
         for slot, p in enumerate(probabilities)
         if seen["n"]
     ]
-    grid = _Grid(len(columns), len(probabilities))
-    _count(cells, grid, searches)
+    _count(df, numbers, searches)
     for attempt in range(1, len(MARGINS) + 1):
         missed = [s for s in searches if not s.is_covered]
         for s in missed:
-            seen = start[s.column]
-            wider = (seen["min"], seen["max"])
-            s.low, s.high = _cut(seen, s.slot, attempt) if attempt < len(MARGINS) else wider
-        _count(cells, grid, missed)
+            s.cuts = _cuts(start[s.column], s.slot, attempt)
+        _count(df, numbers, missed)
     for s in searches:
         s.settle_ends()
-    _rank(cells, grid, [s for s in searches if s.inner_ranks])
+    _rank(df, numbers, [s for s in searches if s.inner_ranks])
 
     found = {(s.column, s.slot): s.result() for s in searches}
     return {
@@ -134,15 +136,14 @@ def quantiles(
 
 
 def _sketch(value: Column, probabilities: Sequence[float]) -> Column:
-    """Count, extremes and, per probability and margin, the values around it."""
+    """Count, extremes and, per probability and margin, the values around it; and of all parts."""
     n = F.count(value)
     sketch = F.kll_sketch_agg_double(value, F.lit(SKETCH_SIZE))
-
+    spans = [(p - margin, p + margin) for p in probabilities for margin in MARGINS] + [(0.0, 1.0)]
     ranks = [
-        F.lit(min(1.0, max(0.0, p + side * margin)))
-        for p in probabilities
-        for margin in MARGINS
-        for side in (-1, 1)
+        F.lit(min(1.0, max(0.0, low + (high - low) * k / PARTS)))
+        for low, high in spans
+        for k in range(PARTS + 1)
     ]
     cuts = F.kll_sketch_get_quantile_double(sketch, F.array(*ranks))
     return F.struct(
@@ -153,75 +154,63 @@ def _sketch(value: Column, probabilities: Sequence[float]) -> Column:
     )
 
 
-def _cut(seen, slot: int, attempt: int) -> list[float]:
-    """The two values proposed around a rank, at a margin."""
-    at = 2 * (slot * len(MARGINS) + attempt)
-    return seen["cuts"][at : at + 2]
-
+def _cuts(seen, slot: int, attempt: int) -> list[float]:
+    """The values proposed around a rank, at a margin; at last those of the whole column."""
+    width = PARTS + 1
+    if attempt < len(MARGINS):
+        at = width * (slot * len(MARGINS) + attempt)
+        return list(seen["cuts"][at : at + width])
+    return [seen["min"], *seen["cuts"][-width + 1 : -1], seen["max"]]
 
-class _Grid:
-    """Numbers per column and slot, looked up by the column number of a cell."""
 
-    def __init__(self, n_columns: int, n_slots: int) -> None:
-        self.n_columns, self.n_slots = n_columns, n_slots
+def _double(value: float) -> Column:
+    return F.lit(value).cast("double")
 
-    def lookup(self, searches: list[Search], slot: int, name: str) -> Column:
-        by_column = {s.column: getattr(s, name) for s in searches if s.slot == slot}
-        numbers = [f"double('{by_column[c]!r}')" if c in by_column else "double(NULL)"
-                   for c in range(self.n_columns)]
-        return F.expr(f"array({', '.join(numbers)})[c]")
 
-
-def _count(cells: DataFrame, grid: _Grid, searches: list[Search]) -> None:
-    """Counts the rows below, at the ends of and inside every range, in one pass."""
+def _count(df: DataFrame, numbers: Sequence[Column], searches: list[Search]) -> None:
+    """Counts the rows below, at the ends of and inside every range, as one row in one pass."""
     if not searches:
         return
     counts = []
-    for slot in range(grid.n_slots):
-        low = grid.lookup(searches, slot, "low")
-        high = grid.lookup(searches, slot, "high")
-        v = F.col("v")
+    for k, s in enumerate(searches):
+        v, low, high = numbers[s.column], _double(s.low), _double(s.high)
         tests = (v < low, v == low, v < high, v <= high)
-        counts.append(F.array(*[F.count_if(t) for t in tests]).alias(f"s{slot}"))
-    rows = {row["c"]: row for row in cells.groupBy("c").agg(*counts).collect()}
-    for s in searches:
-        s.below, s.at_low, s.under_high, s.upto_high = rows[s.column][f"s{s.slot}"]
+        counts += [F.count_if(t).alias(f"s{k}_{i}") for i, t in enumerate(tests)]
+    row = df.agg(*counts).first()
+    for k, s in enumerate(searches):
+        s.below, s.at_low, s.under_high, s.upto_high = (row[f"s{k}_{i}"] for i in range(4))
 
 
-def _rank(cells: DataFrame, grid: _Grid, searches: list[Search]) -> None:
+def _rank(df: DataFrame, numbers: Sequence[Column], searches: list[Search]) -> None:
     """Finds the values at the inner ranks from the rows inside the ranges alone."""
     if not searches:
         return
-    v = F.col("v")
     any_hit, hits = F.lit(False), []
-    for slot in range(grid.n_slots):
-        low = grid.lookup(searches, slot, "low")
-        high = grid.lookup(searches, slot, "high")
-        width = high - low
-        is_inside = (v > low) & (v < high)
-        part = F.least(F.floor((v - low) / width * F.lit(float(BUCKETS))), F.lit(BUCKETS - 1))
-        bucket = F.when((width > 0) & (width < F.lit(math.inf)), part).otherwise(F.lit(0))
-        hit = F.struct(
-            (F.col("c") + F.lit(slot * grid.n_columns)).alias("i"),
-            bucket.cast("int").alias("bucket"),
-            v.alias("v"),
-        )
+    for k, s in enumerate(searches):
+        v = numbers[s.column]
+        is_inside = (v > _double(s.low)) & (v < _double(s.high))
+        inner = sorted({c for c in s.cuts if s.low < c < s.high})
+        part = F.lit(0)
+        if inner:
+
+            def below(value: Column):
+                return lambda c: c < value
+
+            part = F.size(F.filter(F.array(*[_double(c) for c in inner]), below(v)))
+        hit = F.struct(F.lit(k).alias("i"), part.alias("bucket"), v.alias("v"))
         any_hit = any_hit | is_inside
         hits.append(F.when(is_inside, hit))
     counts = (
-        cells.filter(any_hit)
-        .select(F.explode_outer(F.array(*hits)).alias("h"))
-        .select("h.*")
-        .filter(F.col("i").isNotNull() & F.col("bucket").isNotNull())
-        .groupBy("i", "bucket", "v")
+        df.filter(any_hit)
+        .select(F.explode(F.array_compact(F.array(*hits))).alias("h"))
+        .groupBy("h.i", "h.bucket", "h.v")
         .agg(F.count("*").alias("n"))
     )
-    by_number = {s.column + s.slot * grid.n_columns: s for s in searches}
     ends = F.create_map(
         *[
             part
-            for i, s in by_number.items()
-            for part in (F.lit(i), F.array(*[F.lit(end) for end in _inner_ends(s)]))
+            for k, s in enumerate(searches)
+            for part in (F.lit(k), F.array(*[F.lit(end) for end in _inner_ends(s)]))
         ]
     )[F.col("i")]
 
@@ -232,7 +221,7 @@ def _rank(cells: DataFrame, grid: _Grid, searches: list[Search]) -> None:
     def holds(before: Column, upto: Column) -> Column:
         return (ends[0] < upto) & (ends[1] >= before)
 
-    # at most searches x BUCKETS rows, of which at most two per search stay
+    # at most searches x PARTS rows, of which at most two per search stay
     upto = F.sum("total").over(running("i", order="bucket"))
     targets = (
         counts.groupBy("i", "bucket")
@@ -251,7 +240,7 @@ def _rank(cells: DataFrame, grid: _Grid, searches: list[Search]) -> None:
         .collect()
     )
     for row in found:
-        s = by_number[row["i"]]
+        s = searches[row["i"]]
         start = s.below + s.at_low
         for r in s.inner_ranks:
             if start + row["before"] <= r < start + row["upto"]:
