@@ -58,6 +58,7 @@ from .operators.reidentification import (
     row_risks,
 )
 from .operators.relevance import (
+    chi_square_independence,
     feature_relevance,
     impute_categorical,
     impute_mean,
@@ -74,6 +75,7 @@ from .sources.readers import (
     json_rows,
     keep_keys,
     read_csv,
+    read_documents,
     read_json_rows,
     read_npz,
 )

@@ -27,7 +27,8 @@ def add_laplace_noise(
     """All columns of the complete rows, plus ``noisy_<column>`` for each column.
 
     The scale is ``sensitivity / epsilon``, whatever the range of the column.
-    Without ``key`` every run draws new noise. With it the noise is a function
+    Without ``key`` every run draws new noise: write the table once and measure what was
+    written, or statistics and table are of different draws. With ``key`` the noise is a function
     of the key columns and the seed: repeatable on any partitioning, but open to
     anybody who knows the seed, so of use in tests only.
     """

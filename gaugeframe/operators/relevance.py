@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.distributions import chi_square_tail
 from ..functions.expressions import as_text, pearson, ref
 from ..plans.checks import (
     dtype_of,
@@ -15,6 +16,7 @@ from ..plans.checks import (
     is_numeric_feature,
     require_columns,
 )
+from ..plans.counts import cells
 from ..plans.ordering import running_total
 from ..plans.rows import number
 from ..plans.sizing import broadcast_if_small
@@ -162,7 +164,7 @@ def _one_hot_scores(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
             F.stddev_pop("__y").alias("std"),
         ).alias("t")
     ).scalar()
-    cells = [
+    entries = [
         F.struct(
             F.lit(c).alias("column"),
             F.coalesce(as_text(ref(c), dtype_of(rows, c)), F.lit(MISSING_LABEL)).alias("value"),
@@ -171,7 +173,7 @@ def _one_hot_scores(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     ]
     share = F.col("n") / F.col("t.n")
     return (
-        rows.select(F.inline(F.array(*cells)), "__y")
+        rows.select(F.inline(F.array(*entries)), "__y")
         .groupBy("column", "value")
         .agg(F.count("*").alias("n"), F.avg("__y").alias("mean"))
         .withColumn("t", total)
@@ -183,3 +185,64 @@ def _one_hot_scores(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
             ).alias("corr"),
         )
     )
+
+
+def chi_square_independence(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
+    """``(feature, chi2, degrees, p_value, n)``: Pearson's test of each column against the target.
+
+    Rows that miss one of the two are left out. Two values on each side get Yates' correction. All
+    columns share one shuffle of value-pair counts; what is joined are the counts of values.
+    A column or target of one value has no degrees of freedom and no probability.
+    """
+    require_columns(df, columns, "feature")
+    require_columns(df, [target], "target")
+    if target in columns:
+        raise ValueError(f"target '{target}' is also listed as a feature")
+    y = as_text(ref(target), dtype_of(df, target))
+    pairs = (
+        cells(df, columns, y.alias("y"))
+        .where("value IS NOT NULL AND y IS NOT NULL")
+        .groupBy("column", "value", "y")
+        .agg(F.count("*").cast("double").alias("n"))
+    )
+    of_value = pairs.groupBy("column", "value").agg(F.sum("n").alias("r"))
+    of_class = pairs.groupBy("column", "y").agg(F.sum("n").alias("c"))
+
+    def margin(counts: DataFrame, size: str, prefix: str) -> DataFrame:
+        return counts.groupBy("column").agg(
+            F.count("*").alias(f"{prefix}_kinds"),
+            F.sum(1 / F.col(size)).alias(f"{prefix}_inverse"),
+            F.sum(size).alias(f"{prefix}_total"),
+        )
+
+    total = margin(of_value, "r", "r").join(F.broadcast(margin(of_class, "c", "c")), "column")
+    degrees = (F.col("r_kinds") - 1) * (F.col("c_kinds") - 1)
+    n, expected = F.col("r_total"), F.col("r") * F.col("c") / F.col("r_total")
+    # cells without rows are in the margins: their share follows from the others
+    found = (
+        pairs.join(of_value, ["column", "value"])
+        .join(of_class, ["column", "y"])
+        .join(F.broadcast(total.select("column", "r_total")), "column")
+        .groupBy("column")
+        .agg(
+            F.sum(F.col("n") * F.col("n") / expected).alias("squares"),
+            F.max(F.abs(F.col("n") - expected)).alias("most"),
+        )
+        .join(F.broadcast(total), "column")
+    )
+    # of two by two cells all are as far from what is expected
+    moved = F.col("most") - F.least(F.col("most"), F.lit(0.5))
+    corrected = moved * moved * n * F.col("r_inverse") * F.col("c_inverse")
+    plain = F.greatest(F.col("squares") - n, F.lit(0.0))
+    scored = found.select(
+        F.col("column").alias("feature"),
+        F.when((F.col("r_kinds") == 2) & (F.col("c_kinds") == 2), corrected)
+        .when(degrees > 0, plain)
+        .otherwise(F.lit(0.0))
+        .alias("chi2"),
+        degrees.alias("degrees"),
+        n.cast("bigint").alias("n"),
+    )
+    return scored.select(
+        "feature", "chi2", "degrees", chi_square_tail(F.col("chi2"), F.col("degrees")).alias("p_value"), "n"
+    )

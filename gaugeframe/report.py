@@ -15,17 +15,28 @@ from .operators import (
     association,
     fairness,
     imbalance,
+    metadata,
+    noise,
     profile,
     quality,
     reidentification,
     relevance,
 )
+from .plans.sizing import settled
 
 DECIMALS = 2
 
+
+def _noise(df: DataFrame, columns, **options) -> DataFrame:
+    """Statistics of one draw of noise; the noisy rows are written once, then measured."""
+    return noise.noise_statistics(settled(noise.add_laplace_noise(df, columns, **options)), columns)
+
+
 # metric name -> dimension, function, columns that name the subject of a row
 METRICS: dict[str, tuple[str, Callable[..., DataFrame], tuple[str, ...]]] = {
     "summary_statistics": ("profile", profile.summary_statistics, ("column",)),
+    "class_candidates": ("profile", profile.class_candidates, ("column",)),
+    "density": ("profile", profile.density, ("column", "point")),
     "completeness": ("quality", quality.completeness_by_column, ("column",)),
     "overall_completeness": ("quality", quality.overall_completeness, ()),
     "duplicity": ("quality", quality.duplicity, ()),
@@ -33,6 +44,7 @@ METRICS: dict[str, tuple[str, Callable[..., DataFrame], tuple[str, ...]]] = {
     "overall_outliers": ("quality", quality.outlier_score, ()),
     "correlations": ("impact", association.correlations, ("col_a", "col_b")),
     "feature_relevance": ("impact", relevance.feature_relevance, ("feature",)),
+    "independence": ("impact", relevance.chi_square_independence, ("feature",)),
     "class_distribution": ("fairness", imbalance.class_distribution, ("class",)),
     "imbalance_degree": ("fairness", imbalance.imbalance_degree, ("column", "metric")),
     "representation_rates": (
@@ -47,6 +59,9 @@ METRICS: dict[str, tuple[str, Callable[..., DataFrame], tuple[str, ...]]] = {
     "entropy_risk": ("privacy", anonymity.entropy_risk, ()),
     "attribute_risk": ("privacy", reidentification.attribute_risk_statistics, ("qi",)),
     "combination_risk": ("privacy", reidentification.combination_risk_statistics, ()),
+    "noise": ("privacy", _noise, ("column",)),
+    "fair_dcat": ("metadata", metadata.dcat_scores, ("doc_id", "principle")),
+    "fair_datacite": ("metadata", metadata.datacite_scores, ("doc_id", "principle")),
 }
 
 
@@ -55,7 +70,8 @@ def readiness_report(df: DataFrame, metrics: Mapping[str, Mapping[str, Any]]) ->
 
     ``metrics`` names the metrics to run and their arguments, for example
     ``{"duplicity": {}, "k_anonymity": {"quasi_identifiers": ["age", "sex"]}}``.
-    Each metric reads ``df`` on its own: persist it first if it is expensive.
+    Each metric reads ``df`` on its own: persist it first if it is expensive. The FAIR metrics
+    score a table of documents ``(doc_id, doc)``, each of which is a subject.
     """
     if not metrics:
         raise ValueError("no metric chosen")

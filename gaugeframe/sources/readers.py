@@ -121,6 +121,35 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def read_documents(
+    spark: SparkSession, path: str | list[str], max_bytes: int = 1 << 28
+) -> DataFrame:
+    """``(doc_id, doc, status)`` of metadata files, one document each; ``doc_id`` is the path.
+
+    ``status`` is ``ok`` for a JSON object, ``invalid`` for other text, ``not text`` for bytes
+    that are no UTF-8 and ``too large`` beyond ``max_bytes``; only an ``ok`` document is what
+    the FAIR checks score. A file that cannot be used has a row like any other, so it stops
+    nothing; only files of no bytes have none, as Spark does not list them. Tasks read the files.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    small = F.col("length") <= max_bytes
+    text = F.try_validate_utf8(F.when(small, F.col("content")).cast("string"))
+    doc = F.regexp_replace(text, "^\ufeff", "")
+    known = files.select(
+        F.col("path").alias("doc_id"), doc.alias("doc"), small.alias("small")
+    )
+    judged = F.try_variant_get(F.try_parse_json("doc"), "$", "map<string,variant>").isNotNull()
+    return known.select(
+        "doc_id",
+        "doc",
+        F.when(~F.col("small"), "too large")
+        .when(F.col("doc").isNull(), "not text")
+        .when(F.coalesce(judged, F.lit(False)), "ok")
+        .otherwise("invalid")
+        .alias("status"),
+    )
+
+
 def json_rows(docs: DataFrame) -> DataFrame:
     """Every object inside a list becomes a row; rows of all lists are united by name.
 

@@ -57,6 +57,25 @@ def test_depth_is_measured(spark):
     assert {r["key"]: r["value"] for r in got if r["doc_id"] == 2} == quoted
 
 
+def test_files_that_cannot_be_used_have_a_status(spark, tmp_path):
+    bodies = {
+        "a b+c%.json": b'{"title": "t"}', "bom.json": b"\xef\xbb\xbf" + b'{"title": "t"}', "list.json": b"[1]",
+        "empty.json": b"", "broken.json": b'{"title": ', "bytes.json": b'{"title": "\xff"}', "large.json": b'{"x": "' + b"y" * 500 + b'"}',
+    }
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    docs = gf.read_documents(spark, str(tmp_path), max_bytes=400)
+    got = {r["doc_id"].rsplit("/", 1)[1]: r["status"] for r in docs.collect()}
+    assert got == {
+        "a b+c%.json": "ok", "bom.json": "ok", "list.json": "invalid",
+        "broken.json": "invalid", "bytes.json": "not text", "large.json": "too large",
+    }
+    scores = gf.dcat_scores(docs).filter("principle = 'Total'").collect()
+    assert [r["passed"] for r in scores] == [1, 1]
+    report = gf.readiness_report(docs.select("doc_id", "doc"), {"fair_dcat": {}})
+    assert report.filter("key = 'passed' and subject like '%bom.json | Total'").first()["value"] == 1
+
+
 def test_two_hundred_levels_beside_flat_documents(spark):
     nested = {"end": "x"}
     for level in range(199, 0, -1):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import gaugeframe as gf
+from gaugeframe.functions.distributions import chi_square_tail
 from gaugeframe.plans import pairing, sizing
 from gaugeframe.plans.ordering import running_total
 from gaugeframe.plans.pairing import grid, unordered_pairs
@@ -311,3 +312,53 @@ def test_guards_fire_whatever_is_read(spark, part):
     for df in broken:
         with pytest.raises(Exception, match="unique|only one class|no accepted|no data left"):
             PARTS[part](df)
+
+
+# Upper five and one per cent points of the chi-square distribution by degrees of freedom.
+CHI_SQUARE_POINTS = {
+    1: (3.841459, 6.634897), 2: (5.991465, 9.210340), 3: (7.814728, 11.344867), 5: (11.070498, 15.086272),
+    10: (18.307038, 23.209251), 30: (43.772972, 50.892181), 100: (124.342113, 135.806723),
+}
+
+
+def test_chi_square_tail_has_the_known_points(spark):
+    rows = [(d, x, p) for d, points in CHI_SQUARE_POINTS.items() for x, p in zip(points, (0.05, 0.01), strict=True)]
+    rows += [(2, x, math.exp(-x / 2)) for x in (0.0, 0.3, 3.9, 4.1, 60.0, 700.0)]
+    rows += [(4, x, math.exp(-x / 2) * (1 + x / 2)) for x in (0.5, 5.9, 6.1, 50.0)]
+    rows += [(1, x, math.erfc(math.sqrt(x / 2))) for x in (0.01, 1.0, 2.9, 3.1, 40.0)]
+    df = spark.createDataFrame(rows, "d long, x double, p double")
+    for r in df.select("*", chi_square_tail(F.col("x"), F.col("d")).alias("q")).collect():
+        table_digits = r["p"] in (0.05, 0.01)
+        assert r["q"] == pytest.approx(r["p"], rel=2e-6 if table_digits else 1e-10)
+    middle = spark.createDataFrame([(10_000, 9_999.333338)], "d long, x double")
+    assert middle.select(chi_square_tail(F.col("x"), F.col("d"))).first()[0] == pytest.approx(0.5, abs=1e-6)
+
+
+def test_chi_square_of_a_table(spark):
+    """Two by two with the correction, three by two, a missing value, one value."""
+    data = [("a", "x", "u", "k")] * 12 + [("a", "y", "v", "k")] * 5 + [("b", "x", "w", "k")] * 7 + [("b", "y", "u", "k")] * 9
+    data += [(None, "x", None, "k"), ("a", None, "u", "k")]
+    df = spark.createDataFrame(data, "p string, y string, q string, one string")
+    got = {r["feature"]: r for r in gf.chi_square_independence(df, "y", ["p", "q", "one"]).collect()}
+
+    def plain(column, correct):
+        pairs = Counter((r[column], r[1]) for r in data if r[column] and r[1])
+        n = sum(pairs.values())
+        left, right = Counter(), Counter()
+        for (a, b), k in pairs.items():
+            left[a] += k
+            right[b] += k
+        out = 0.0
+        for a in left:
+            for b in right:
+                e = left[a] * right[b] / n
+                d = abs(pairs[a, b] - e)
+                out += (d - min(0.5, d) if correct else d) ** 2 / e
+        return out, n
+
+    assert (got["p"]["chi2"], got["p"]["n"]) == (pytest.approx(plain(0, True)[0]), plain(0, True)[1])
+    assert (got["q"]["chi2"], got["q"]["n"]) == (pytest.approx(plain(2, False)[0]), plain(2, False)[1])
+    assert got["p"]["p_value"] == pytest.approx(math.erfc(math.sqrt(got["p"]["chi2"] / 2)))
+    assert got["q"]["degrees"] == 2 and got["q"]["p_value"] == pytest.approx(math.exp(-got["q"]["chi2"] / 2))
+    assert (got["one"]["chi2"], got["one"]["degrees"], got["one"]["p_value"]) == (0.0, 0, None)
+    assert gf.chi_square_independence(df.limit(0), "y", ["p"]).collect() == []

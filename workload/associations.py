@@ -277,3 +277,46 @@ def _register_imbalance(metric):
 
 for _metric in DISTANCES:
     _register_imbalance(_metric)
+
+
+def _chi_square_sql(feature, target, source):
+    return f"""
+SELECT '{feature}' AS feature, round(CASE WHEN r = 2 AND c = 2 THEN yates ELSE plain END, 6) AS chi2,
+       (r - 1) * (c - 1) AS degrees, n FROM (
+  SELECT count(DISTINCT x) AS r, count(DISTINCT y) AS c, sum(o)::BIGINT AS n,
+         sum((o - e) * (o - e) / e) AS plain,
+         sum((abs(o - e) - least(0.5, abs(o - e))) * (abs(o - e) - least(0.5, abs(o - e))) / e) AS yates
+  FROM (SELECT x, y, coalesce(o, 0)::DOUBLE AS o, sum(o) OVER (PARTITION BY x) * sum(o) OVER (PARTITION BY y)
+               / sum(o) OVER ()::DOUBLE AS e
+        FROM (SELECT a.x, b.y, count(s.x) AS o
+              FROM (SELECT DISTINCT {feature} AS x FROM {source} WHERE {feature} IS NOT NULL AND {target} IS NOT NULL) AS a
+              CROSS JOIN (SELECT DISTINCT {target} AS y FROM {source} WHERE {feature} IS NOT NULL AND {target} IS NOT NULL) AS b
+              LEFT JOIN (SELECT {feature} AS x, {target} AS y FROM {source}) AS s ON s.x = a.x AND s.y = b.y
+              GROUP BY ALL)))"""
+
+
+CHI_SOURCE = """(SELECT *, o_totalprice > 200000 AS dear, o_custkey % 2 = 0 AS even, o_custkey % 40 AS many
+FROM orders)"""
+
+
+@query(
+    "chi_square",
+    " UNION ALL ".join(
+        _chi_square_sql(f, "o_orderstatus", CHI_SOURCE) for f in ("o_orderpriority", "dear", "many")
+    ),
+)
+def chi_square(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "*", "o_totalprice > 200000 AS dear", "o_custkey % 40 AS many"
+    )
+    found = gf.chi_square_independence(orders, "o_orderstatus", ["o_orderpriority", "dear", "many"])
+    return rounded(found.drop("p_value"))
+
+
+@query("chi_square_corrected", _chi_square_sql("dear", "even", CHI_SOURCE))
+def chi_square_corrected(spark, sf_dir):
+    """Two values on each side."""
+    orders = table(spark, sf_dir, "orders").selectExpr(
+        "*", "o_totalprice > 200000 AS dear", "o_custkey % 2 = 0 AS even"
+    )
+    return rounded(gf.chi_square_independence(orders, "even", ["dear"]).drop("p_value"))

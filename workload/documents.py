@@ -292,3 +292,25 @@ def fair_status(spark, sf_dir):
     )
     scores = gf.fair_scores(gf.dcat_checks(docs)).filter("principle = 'Total'").select("doc_id", "passed")
     return gf.document_status(docs).join(scores, "doc_id", "left")
+
+
+@query("fair_files", """
+SELECT s_suppkey AS doc_id, CASE WHEN s_suppkey % 10 = 0 THEN 'invalid' ELSE 'ok' END AS status,
+       CASE WHEN s_suppkey % 10 <> 0 THEN 2::BIGINT END AS passed FROM supplier
+""")
+def fair_files(spark, sf_dir):
+    """A file for each supplier; every tenth is broken off."""
+    path = new_folder(spark)
+    doc = F.to_json(F.struct(F.col("s_name").alias("title"), F.struct(F.col("s_nationkey").alias("format")).alias("file")))
+    broken = F.when(F.col("s_suppkey") % 10 == 0, F.substring(doc, 1, 12)).otherwise(doc)
+    (
+        table(spark, sf_dir, "supplier")
+        .select(F.col("s_suppkey").alias("file"), broken.alias("value"))
+        .coalesce(1)
+        .write.partitionBy("file")
+        .text(path)
+    )
+    docs = gf.read_documents(spark, f"{path}/*/*.txt")
+    docs = docs.withColumn("doc_id", F.regexp_extract("doc_id", r"file=(\d+)", 1).cast("bigint"))
+    scores = gf.dcat_scores(docs).filter("principle = 'Total'").select("doc_id", "passed")
+    return docs.select("doc_id", "status").join(scores, "doc_id", "left")
