@@ -18,7 +18,9 @@ gamma gives back what the discounts took; the last share is that of an unknown w
 text starts after a mark and its end is a token.
 
 The model grows with the number of different pairs and must fit the shared folder, which
-must be mounted as a file system on all machines. Larger orders would not fit the disk
+must be mounted as a file system on all machines. There are as many ranges as the bytes of text
+ask for, so what one task merges does not grow; counts have 64 bits; more than 2**32 different
+words are an error. Larger orders would not fit the disk
 budget of the check tool: see the README.
 
 Defined cases: a null text is empty and has the end alone; words have A-Z in lower case;
@@ -75,16 +77,16 @@ def coded(keys: np.ndarray, counts: np.ndarray) -> bytes:
     tails = keys.astype("<u4")
     planes = [
         np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T)
-        for x in (heads, tails, np.minimum(counts, 2**32 - 1).astype("<u4"))
+        for x in (heads, tails, counts.astype("<u4"), (counts >> np.uint64(32)).astype("<u4"))
     ]
     return zlib.compress(b"".join(p.tobytes() for p in planes), 1)
 
 
 def decoded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(3, 4, -1)
-    heads, tails, counts = (np.ascontiguousarray(x.T).view("<u4").ravel() for x in raw)
+    raw = np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, 4, -1)
+    heads, tails, low, high = (np.ascontiguousarray(x.T).view("<u4").ravel() for x in raw)
     keys = (np.cumsum(heads.astype(np.uint64)) << np.uint64(32)) | tails
-    return keys, counts.astype(np.uint64)
+    return keys, (high.astype(np.uint64) << np.uint64(32)) | low
 
 
 class Counts:
@@ -112,11 +114,10 @@ class Counts:
             return
         keys, counts = merged(np.concatenate(self.keys), np.concatenate(self.counts))
         self.keys, self.counts, self.n = [], [], 0
-        cuts = [0, *np.searchsorted(keys, self.edges), len(keys)]
+        cuts = np.concatenate(([0], np.searchsorted(keys, self.edges), [len(keys)]))
         rows = [
-            (k, coded(keys[a:b], counts[a:b]))
-            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True))
-            if b > a
+            (int(k), coded(keys[cuts[k] : cuts[k + 1]], counts[cuts[k] : cuts[k + 1]]))
+            for k in np.flatnonzero(np.diff(cuts))
         ]
         if rows:
             yield pa.RecordBatch.from_arrays(
@@ -337,6 +338,11 @@ def _by_context(model: Model, k: int, keys: np.ndarray, counts: np.ndarray) -> N
         model.store.write(name, k, values.astype(np.uint64))
 
 
+def narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in 32 bits if all of them fit."""
+    return counts.astype(np.uint32) if not len(counts) or counts.max() < 2**32 else counts
+
+
 class _WritePairs:
     def __init__(self, model: Model):
         self.model = model
@@ -344,7 +350,7 @@ class _WritePairs:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, keys, counts in ranges(batches):
             self.model.store.write("pairs", k, keys)
-            self.model.store.write("pair_counts", k, np.minimum(counts, 2**32 - 1).astype(np.uint32))
+            self.model.store.write("pair_counts", k, narrow(counts))
             _by_context(self.model, k, keys, counts)
             yield _totals(k, [len(keys), *(int((counts == i).sum()) for i in range(1, 5))])
 
@@ -399,13 +405,15 @@ def train(texts: DataFrame, *, folder: str | None = None, range_bytes: int = RAN
     spark: SparkSession = texts.sparkSession
     folder = local_path(folder or shared_folder(spark))
     size = texts.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 1
-    bits = max(3, min(16, (size // range_bytes).bit_length()))
+    bits = max(3, (size // range_bytes).bit_length())
     store = Store(folder)
     texts = texts.select("text")
     counted = texts.mapInArrow(_CountWords(bits), "range int, data binary")
     totals = _collected(counted, _WriteWords(store))
     sizes = [totals.get(k, [0])[0] for k in range(1 << bits)]
     _, tokens, types = _sums(totals, 3)
+    if sum(sizes) >= 2**32:  # a pair is two numbers in 64 bits
+        raise ValueError("more than 2**32 different words")
     bases = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
     model = Model(store, bits, bases, tokens, types)
     if not tokens:

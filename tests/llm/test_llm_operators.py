@@ -510,6 +510,28 @@ def test_probabilities_sum_to_one(odd):
         assert total == pytest.approx(1)
 
 
+def test_counts_beyond_32_bits():
+    keys = np.array([3, 2**33 + 1, 2**40, 2**64 - 1], np.uint64)
+    counts = np.array([1, 2**32, 7, 2**45 + 5], np.uint64)
+    got = kneser_ney.decoded(kneser_ney.coded(keys, counts))
+    assert got[0].tolist() == keys.tolist() and got[1].tolist() == counts.tolist()
+    assert kneser_ney.narrow(counts).tolist() == counts.tolist()
+    assert kneser_ney.narrow(counts[:1]).dtype == np.uint32
+    parts = [(k, x) for batch in _handed_out(keys, counts) for k, x in zip(*map(pa_list, batch.columns), strict=True)]
+    assert [k for k, _ in parts] == [0, 2, 3]
+
+
+def pa_list(column):
+    return column.to_pylist()
+
+
+def _handed_out(keys, counts):
+    held = kneser_ney.Counts(np.array([2**33, 2**34, 2**50], np.uint64))
+    yield from held.add(keys[[0]], counts[[0]])
+    yield from held.add(keys[2:], counts[2:])
+    yield from held.out()
+
+
 def test_language_model_without_training(odd, empty):
     model = kneser_ney.train(empty.select("text"))
     got = kneser_ney.score(odd, model).collect()
