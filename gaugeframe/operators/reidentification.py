@@ -150,9 +150,10 @@ def combination_risks(
     pairs = list(zip(keys, keys[1:])) if len(keys) > 2 else []
     shared = [[k] for k in keys] + [list(pair) for pair in pairs]
     joined = table
-    for columns, is_few in zip(shared, few_combinations(rows, shared)):
+    for columns in shared:
+        # adaptive execution broadcasts small counts and splits a value that most combinations share
         counts = table.groupBy(*columns).agg(F.sum("n").cast("double").alias(_count_of(columns)))
-        joined = joined.join(F.broadcast(counts) if is_few else counts, columns)
+        joined = joined.join(counts, columns)
     joined = joined.withColumn("t", totals)
     total = F.col("t.total").cast("double")
 
