@@ -3,9 +3,9 @@
 Row-wise SQL expressions measure each text. Sequential covering then learns rules from
 the measures of labelled rows: a rule is grown by adding the threshold with the best
 information gain, pruned on rows held out from growing, and accepted if it is precise
-there; the rows it covers leave, and the next rule is grown. A rule that is not accepted
-leaves the direction of its first threshold out of the next try, and the list ends when no
-direction is left that gains, however many rules that takes. The list becomes one
+there; the rows it covers leave, and the next rule is grown. If the rule from the best first
+threshold is not accepted, that from the best one of another measure or direction is tried, and
+so on; the list ends when none of them is accepted, however many rules that takes. The list becomes one
 conditional expression. Only counts by measure and bin reach the driver, as many
 whatever the size of the data. Rules are fitted on about ``max_labelled`` labelled rows, chosen
 by a hash of the id; everything else reads all rows.
@@ -227,20 +227,44 @@ def learn_rules(
             ]
         )
 
-    def best(
-        rest: Column, points: list[list[float]], rule: Rule, failed: set[tuple[str, bool]]
-    ) -> Threshold | None:
-        part = rows.where(F.col("grow") & rest & rule_column(rule))
-        found = (
-            part.select("bad", F.posexplode(bins_of(points)).alias("m", "bin"))
-            .groupBy("m", "bin")
-            .agg(F.sum(F.col("bad").cast("long")).alias("p"), F.count("*").alias("all"))
-            .collect()
-        )
-        seen = [{} for _ in MEASURES]
-        for r in found:
-            seen[r["m"]][r["bin"]] = (r["p"], r["all"] - r["p"])
-        top, score = None, 1e-9
+    def grown(rest: Column, points: list[list[float]]) -> list[Rule]:
+        """For each direction of a first threshold that gains, the rule grown from it; best first.
+
+        All of them are grown together, a pass for each length.
+        """
+        out: list[tuple[float, Rule]] = [(0.0, ())]
+        for length in range(max_length):
+            places = [k for k, (_, rule) in enumerate(out) if len(rule) == length]
+            if not places:
+                break
+            holds = [F.when(rule_column(out[k][1]), F.lit(k)) for k in places]
+            found = (
+                rows.where(F.col("grow") & rest)
+                .select("bad", bins_of(points).alias("bins"), F.explode(F.array_compact(F.array(*holds))).alias("k"))
+                .select("k", "bad", F.posexplode("bins").alias("m", "bin"))
+                .groupBy("k", "m", "bin")
+                .agg(F.sum(F.col("bad").cast("long")).alias("p"), F.count("*").alias("all"))
+                .collect()
+            )
+            seen: dict[int, list[dict]] = {k: [{} for _ in MEASURES] for k in places}
+            for r in found:
+                seen[r["k"]][r["m"]][r["bin"]] = (r["p"], r["all"] - r["p"])
+            if not length:
+                out = sorted(
+                    ((gain, (t,)) for t, gain in steps(seen[0], points).values()), key=lambda x: -x[0]
+                )
+            else:
+                for k in places:
+                    better = max(steps(seen[k], points).values(), key=lambda x: x[1], default=None)
+                    if better is not None:
+                        out[k] = (out[k][0], (*out[k][1], better[0]))
+        return [rule for _, rule in out if rule]
+
+    def steps(
+        seen: list[dict], points: list[list[float]]
+    ) -> dict[tuple[str, bool], tuple[Threshold, float]]:
+        """The threshold of each measure and direction that gains most, with its gain."""
+        top: dict[tuple[str, bool], tuple[Threshold, float]] = {}
         for m, by_bin, values in zip(MEASURES, seen, points, strict=True):
             p0, n0 = (sum(v[k] for v in by_bin.values()) for k in (0, 1))
             p = n = 0
@@ -248,42 +272,39 @@ def learn_rules(
                 # a value in bin i is above exactly i of the points
                 p, n = (x + y for x, y in zip((p, n), by_bin.get(i, (0, 0)), strict=True))
                 for above, (a, b) in ((False, (p, n)), (True, (p0 - p, n0 - n))):
-                    if not rule and (m, above) in failed:
-                        continue
-                    if p0 and (gain := _gain(a, b, p0, n0)) > score:
-                        top, score = Threshold(m, above, value), gain
+                    gain = _gain(a, b, p0, n0) if p0 else 0.0
+                    if gain > top.get((m, above), (None, 1e-9))[1]:
+                        top[m, above] = (Threshold(m, above, value), gain)
         return top
 
-    rules: list[Rule] = []
-    failed: set[tuple[str, bool]] = set()
-    rest, points = F.lit(True), points_of(F.lit(True))
-    while points is not None and (max_rules is None or len(rules) < max_rules):
-        grown: Rule = ()
-        while len(grown) < max_length and (step := best(rest, points, grown, failed)) is not None:
-            grown = (*grown, step)
-        if not grown:
-            break
-        shorter = [grown[:k] for k in range(1, len(grown) + 1)]
+    def accepted(rest: Column, tries: list[Rule]) -> Rule | None:
+        """The first try that has a valid beginning, cut to its best; judged in one pass."""
+        whos = {"True": "bad and not grow", "False": "not bad and not grow", "all": "bad"}
         held = rows.where(rest).agg(
             *[
-                F.count(F.when(rule_column(r) & F.expr(who), 1)).alias(f"{i}_{name}")
-                for i, r in enumerate(shorter)
-                for name, who in (
-                    ("True", "bad and not grow"),
-                    ("False", "not bad and not grow"),
-                    ("all", "bad"),
-                )
+                F.count(F.when(rule_column(rule[:k]) & F.expr(who), 1)).alias(f"{t}_{k}_{name}")
+                for t, rule in enumerate(tries)
+                for k in range(1, len(rule) + 1)
+                for name, who in whos.items()
             ]
         ).first()
-        worth = [(held[f"{i}_True"], held[f"{i}_False"]) for i in range(len(shorter))]
-        value, at_ = max(((p - n) / max(p + n, 1), -i) for i, (p, n) in enumerate(worth))
-        p, n = worth[-at_]
-        if p < min_held or held[f"{-at_}_all"] < min_cover or p < min_precision * (p + n):
-            failed.add((grown[0].measure, grown[0].above))
-            continue
-        rules.append(shorter[-at_])
-        failed = set()
-        rest = rest & ~rule_column(rules[-1])
+        for t, rule in enumerate(tries):
+            worth = [(held[f"{t}_{k}_True"], held[f"{t}_{k}_False"]) for k in range(1, len(rule) + 1)]
+            _, at = max(((p - n) / max(p + n, 1), -k) for k, (p, n) in enumerate(worth))
+            p, n = worth[-at]
+            if p >= min_held and held[f"{t}_{1 - at}_all"] >= min_cover and p >= min_precision * (p + n):
+                return rule[: 1 - at]
+        return None
+
+    rules: list[Rule] = []
+    rest, points = F.lit(True), points_of(F.lit(True))
+    while points is not None and (max_rules is None or len(rules) < max_rules):
+        tries = grown(rest, points)
+        rule = accepted(rest, tries) if tries else None
+        if rule is None:
+            break
+        rules.append(rule)
+        rest = rest & ~rule_column(rule)
         points = points_of(rest)
     return rules
 
