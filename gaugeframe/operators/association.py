@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expressions import as_text, n_log_n, pearson, ref
@@ -22,6 +23,8 @@ from ..plans.rows import number
 
 #: Columns of a block; a tile is two blocks, its sums one row of generated code.
 BLOCK = 4
+#: Columns up to which a task holds the products of all pairs; more are cut into tiles.
+WIDE = 256
 
 
 def pearson_matrix(
@@ -30,15 +33,19 @@ def pearson_matrix(
     """``(kind, col_a, col_b, score)`` over pairwise-complete rows.
 
     NULL for constant columns and where no row has both. ``diagonal`` adds the cells a heat map
-    needs. Each pair is computed once. Few columns are aggregates of one row; more
-    are cut into blocks, and a task adds up the products of each two blocks before one
-    row of them is shuffled, so the plan does not grow with the columns.
+    needs. Each pair is computed once. Few columns are aggregates of one row. Up to
+    ``WIDE`` columns a row is a vector and its products with itself are added up as
+    one matrix in each task; more are cut into blocks, and a task adds up the products of
+    each two blocks before one row of them is shuffled. The plan does not grow with the columns.
     """
     columns = column_list(columns, numeric_features(df))
     require_columns(df, columns, "numeric column")
     if len(columns) < 2 and not (columns and diagonal):
         raise ValueError("correlation needs at least two numeric columns")
-    pairs = _few_pairs if len(columns) <= BLOCK else _tiled_pairs
+    if len(columns) <= BLOCK:
+        pairs = _few_pairs
+    else:
+        pairs = _matrix_pairs if len(columns) <= WIDE else _tiled_pairs
     found = pairs(df, columns, diagonal)
     names = F.array(*[F.lit(c) for c in columns])
     both = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
@@ -63,6 +70,77 @@ def _few_pairs(df: DataFrame, columns: Sequence[str], diagonal: bool) -> DataFra
     return df.agg(F.array(*cells).alias("cells")).select(F.inline("cells"))
 
 
+@contextmanager
+def _compiled_methods(spark: SparkSession) -> Iterator[None]:
+    """For jobs inside: code of many columns runs in small methods.
+
+    HotSpot never compiles a method above 8000 bytes; below that limit of its own
+    Spark would write all columns into one.
+    """
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, str(min(int(before), 8000)))
+    try:
+        yield
+    finally:
+        spark.conf.set(limit, before)
+
+
+def _matrix_pairs(df: DataFrame, columns: Sequence[str], diagonal: bool) -> DataFrame:
+    """Sums over pairwise-complete rows are cells of one Gramian matrix.
+
+    A row is the vector of its values (0 for a missing one), of 1 and, if the table has gaps,
+    of the squares and of a 1 for each present value of a column with gaps.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.mllib.linalg.distributed import RowMatrix
+    from pyspark.mllib.util import MLUtils
+
+    values = [number(df, c) for c in columns]
+    with _compiled_methods(df.sparkSession):
+        seen = df.agg(
+            F.count("*").alias("rows"),
+            F.array(*[F.count(v) for v in values]).alias("n"),
+            # values around zero, so that no digits are lost in the sums
+            F.array(*[F.avg(v) for v in values]).alias("m"),
+        ).first()
+        shifted = [
+            F.coalesce(v - F.lit(m).cast("double"), F.lit(0.0))
+            for v, m in zip(values, seen["m"], strict=True)
+        ]
+        gaps = [k for k, n in enumerate(seen["n"]) if n < seen["rows"]]
+        one = len(columns)
+        squares = range(one + 1, 2 * one + 1) if gaps else range(one)
+        present = {k: 2 * one + 1 + at for at, k in enumerate(gaps)}
+        parts = [*shifted, F.lit(1.0)]
+        if gaps:
+            parts += [v * v for v in shifted]
+            parts += [values[k].isNotNull().cast("double") for k in gaps]
+        sums = None
+        if seen["rows"]:
+            vectors = df.select(array_to_vector(F.array(*parts)).alias("x"))
+            rows = MLUtils.convertVectorColumnsFromML(vectors, "x")
+            sums = RowMatrix(rows, numCols=len(parts)).computeGramianMatrix().toArray()
+
+    def cell(i: int, j: int) -> tuple:
+        if sums is None:
+            return (i, j, *[0.0] * 6)
+        a, b = present.get(i, one), present.get(j, one)
+        # without gaps the squares are on the diagonal
+        xx, yy = (sums[squares[k], other if gaps else k] for k, other in ((i, b), (j, a)))
+        found = (sums[a, b], sums[i, b], sums[j, a], xx, yy, sums[i, j])
+        return (i, j, *[float(v) for v in found])
+
+    cells = [
+        cell(i, j) for i in range(len(columns)) for j in range(i + (not diagonal), len(columns))
+    ]
+    names = ("n", "x", "y", "xx", "yy", "xy")
+    added = df.sparkSession.createDataFrame(
+        cells, "i int, j int, " + ", ".join(f"{name} double" for name in names)
+    )
+    return added.select("i", "j", _score(*[F.col(name) for name in names]).alias("score"))
+
+
 def _tiled_pairs(df: DataFrame, columns: Sequence[str], diagonal: bool) -> DataFrame:
     # values around zero, so that no digits are lost in the sums
     means = df.agg(F.array(*[F.avg(number(df, c)) for c in columns]).alias("m")).first()["m"]

@@ -279,6 +279,42 @@ def test_wide_pearson_equals_few_columns_at_a_time(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_wide_pearson_adds_up_one_matrix(spark, monkeypatch):
+    """No row is spread into tiles; tiles, for still more columns, give the same."""
+    limit = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(limit)
+    r = np.random.default_rng(4)
+    data = r.normal(1e6, 1, (400, 9)) + r.normal(0, 1, (400, 1))
+    data[:, 2] = 0.1
+    full = [[float(x) for x in row] for row in data]
+    # gaps in some columns, a NaN, and two columns that never share a row
+    gaps = [
+        [*row[:4], *[None if q < 0.2 else x for x, q in zip(row[4:7], r.random(3), strict=True)],
+         row[7] if k % 2 else None, float("nan") if k % 2 else row[8]]
+        for k, row in enumerate(full)
+    ]
+    schema = ", ".join(f"c{i} double" for i in range(9))
+    for rows in (full, gaps, [[*row[:8], None] for row in full], []):
+        df = spark.createDataFrame(rows, schema).repartition(3)
+        found = gf.pearson_matrix(df, diagonal=True)
+        assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+        got = scores(found)
+        assert len(got) == 81 and spark.conf.get(limit) == before
+        with monkeypatch.context() as patch:
+            patch.setattr(gf.operators.association, "WIDE", 4)
+            tiles = scores(gf.pearson_matrix(df, diagonal=True))
+        clean = np.array([[np.nan if x is None else x for x in row] for row in rows]).reshape(-1, 9)
+        for i in range(9):
+            for j in range(9):
+                both = clean[~np.isnan(clean[:, i]) & ~np.isnan(clean[:, j])][:, [i, j]]
+                if 2 in (i, j) or len(both) == 0:
+                    want = None
+                else:
+                    want = pytest.approx(np.corrcoef(both.T)[0, 1], abs=1e-9)
+                assert got[f"c{i}", f"c{j}"] == want
+                assert tiles[f"c{i}", f"c{j}"] == want
+
+
 PARTS = [
     lambda d: d.limit(1).collect(),
     lambda d: d.head(),
