@@ -122,7 +122,10 @@ def _united(parts: list[DataFrame]) -> DataFrame:
 
 
 def read_documents(
-    spark: SparkSession, path: str | list[str], max_bytes: int = 1 << 28
+    spark: SparkSession,
+    path: str | list[str],
+    max_bytes: int = 1 << 28,
+    recursive: bool = False,
 ) -> DataFrame:
     """``(doc_id, doc, status)`` of metadata files, one document each; ``doc_id`` is the path.
 
@@ -130,8 +133,11 @@ def read_documents(
     that are no UTF-8 and ``too large`` beyond ``max_bytes``; only an ``ok`` document is what
     the FAIR checks score. A file that cannot be used has a row like any other, so it stops
     nothing; only files of no bytes have none, as Spark does not list them. Tasks read the files.
+    ``recursive`` reads the files of all levels below a folder, many folders listed at a time;
+    a pattern such as ``*/*.json`` is followed by the driver alone, folder by folder.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
+    files = reader.load(path).select("path", "length", "content")
     small = F.col("length") <= max_bytes
     text = F.try_validate_utf8(F.when(small, F.col("content")).cast("string"))
     doc = F.regexp_replace(text, "^\ufeff", "")

@@ -3,10 +3,12 @@
 import io
 import json
 
+import compare
 import numpy as np
 import pytest
 
 import gaugeframe as gf
+import workload
 from gaugeframe.operators import metadata
 
 
@@ -76,6 +78,27 @@ def test_files_that_cannot_be_used_have_a_status(spark, tmp_path):
     assert report.filter("key = 'passed' and subject like '%bom.json | Total'").first()["value"] == 1
 
 
+def test_documents_of_all_levels(spark, tmp_path):
+    """Folders that look like keys stay part of the path and add no column."""
+    places = [tmp_path / "a.json", tmp_path / "in" / "b.json", tmp_path / "in" / "key=1" / "c.json"]
+    for place in places:
+        place.parent.mkdir(exist_ok=True)
+        place.write_text("{}")
+    names = lambda docs: sorted(r["doc_id"].rsplit("/", 1)[1] for r in docs.collect())
+    found = gf.read_documents(spark, str(tmp_path), recursive=True)
+    assert found.columns == ["doc_id", "doc", "status"]
+    assert names(found) == ["a.json", "b.json", "c.json"]
+
+
+def test_fair_files_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    folders = iter([tmp_path / "files", tmp_path / "read"])
+    monkeypatch.setattr(workload.documents, "new_folder", lambda _: str(next(folders)))
+    rows = workload.QUERIES["fair_files"](spark, compare.SF_DIR).collect()
+    files = list((tmp_path / "files").glob("*/*.txt"))
+    assert len(files) == len(rows) == len({r["doc_id"] for r in rows})
+    assert len({f.name.split("-")[1] for f in files}) > 1
+
+
 def test_two_hundred_levels_beside_flat_documents(spark):
     nested = {"end": "x"}
     for level in range(199, 0, -1):

@@ -306,11 +306,13 @@ def fair_files(spark, sf_dir):
     (
         table(spark, sf_dir, "supplier")
         .select(F.col("s_suppkey").alias("file"), broken.alias("value"))
-        .coalesce(1)
+        .repartition(spark.sparkContext.defaultParallelism, "file")
         .write.partitionBy("file")
         .text(path)
     )
-    docs = gf.read_documents(spark, f"{path}/*/*.txt")
+    read = new_folder(spark)
+    gf.write_table(gf.read_documents(spark, path, recursive=True), read)
+    docs = spark.read.parquet(read)
     docs = docs.withColumn("doc_id", F.regexp_extract("doc_id", r"file=(\d+)", 1).cast("bigint"))
     scores = gf.dcat_scores(docs).filter("principle = 'Total'").select("doc_id", "passed")
     return docs.select("doc_id", "status").join(scores, "doc_id", "left")
